@@ -27,13 +27,24 @@ def per_type_sums(types: dict[str, str], value: Column, type_col: str = "work_ty
     ]
 
 
+def rounded_ratio(part: Column, whole: Column, scale: int, digits: int) -> Column:
+    """scale * part / whole, rounded half up in integers.
+
+    Integer arithmetic gives the same digit on every engine; rounding a
+    binary fraction would not.  Null where the denominator is null or zero.
+    """
+    unit = 10**digits
+    part, whole = part.cast("bigint"), whole.cast("bigint")
+    num, den = part * (2 * scale * unit) + whole, whole * 2
+    return F.when(whole > 0, ((num - num % den) / den) / F.lit(float(unit)))
+
+
 def pct(part: Column, whole: Column, digits: int = 1) -> Column:
-    """Percentage; null where the denominator is null or zero."""
-    return F.when(whole > 0, F.round(part * 100.0 / whole, digits))
+    return rounded_ratio(part, whole, 100, digits)
 
 
 def ratio(part: Column, whole: Column, digits: int = 2) -> Column:
-    return F.when(whole > 0, F.round(part / whole, digits))
+    return rounded_ratio(part, whole, 1, digits)
 
 
 def joined_set(col: Column | str, sep: str = "|") -> Column:

@@ -1,11 +1,16 @@
-"""Report shaping: rosters, joined cells, nested payloads, dictionaries."""
+"""Report shaping: rosters, joined cells, nested payloads, dictionaries.
+
+Nested results are cut into parts of bounded size, so no anchor and no work
+is ever collected whole into one row; the parts together hold every row.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from jointwork.functions.text import college_anchor_key, truncate, unit_anchor_key
-from jointwork.model import in_kind
+from jointwork.functions.expressions import joined_set, top_k
+from jointwork.functions.text import truncate
+from jointwork.model import UNIT_TYPES, WORK_TYPES, in_kind
 from jointwork.operators.skew import CHUNK, chunk_no, dense_index, pair_up
 
 
@@ -17,7 +22,7 @@ def detail_keys(member: DataFrame, affil: DataFrame, kind: str) -> DataFrame:
     """
     units = affil.groupBy("pid").agg(F.collect_set("unit_id").alias("units"))
     mine = in_kind(affil.filter("NOT is_ext"), kind).groupBy("pid").agg(F.collect_set("unit_id").alias("own"))
-    rows = member.join(units, "pid").join(mine, "pid", "left")
+    rows = member.join(units, "pid").join(mine, "pid", "left").drop("n_internal")
     pairs = pair_up(rows, "wid", "pid", "n_people", ordered=True, focal=F.col("own").isNotNull())
     flat = pairs.select("wid", F.col("pid_l").alias("pid"), F.col("pid_r").alias("cpid"), "is_ext_r", "units_r",
                         F.explode("own_l").alias("unit_id"))
@@ -27,3 +32,179 @@ def detail_keys(member: DataFrame, affil: DataFrame, kind: str) -> DataFrame:
         F.filter(F.array(F.when(near, F.lit(0)), F.when(far, F.lit(1))), lambda x: x.isNotNull())
     )
     return flat.select(F.col("unit_id").cast("string").alias("unit_id"), F.explode(rel).alias("rel"), "pid", "cpid", "wid")
+
+
+def work_roster(member: DataFrame, person: DataFrame, first_n: int = 10) -> DataFrame:
+    """One row per work: internal people first, the first n and the rest's number.
+
+    Only the first n people of a work leave the map tasks (row_number limit);
+    the overflow comes from the head count that members carry.
+    """
+    rows = member.join(person.select("pid", "pname", "inst"), "pid")
+    first = top_k(rows, first_n, [F.asc("is_ext"), F.asc("pname"), F.asc("pid")], ["wid"])
+    shown = first.groupBy("wid").agg(
+        F.max("n_people").alias("n_people"),
+        F.array_sort(F.collect_list(F.struct("rnk", "pid", "pname", "inst", "is_ext"))).alias("people"),
+    )
+    return shown.select(
+        "wid", F.col("people"), F.greatest(F.col("n_people") - first_n, F.lit(0)).cast("bigint").alias("more")
+    )
+
+
+def shape_affiliations(affil: DataFrame, concat: bool, sep: str = "; ") -> DataFrame:
+    """Affiliations of a person as one cell per attribute or one row per value."""
+    cols = ["unit_label", "college", "discipline", "broad_field"]
+    if not concat:
+        return affil.select("pid", *cols).distinct()
+    return affil.groupBy("pid").agg(*[joined_set(c, sep).alias(c) for c in cols])
+
+
+def units_by_type(affil: DataFrame, sep: str = "; ") -> DataFrame:
+    """One column of unit labels per unit type; the type list is fixed."""
+    return affil.groupBy("pid").agg(
+        *[joined_set(F.when(F.col("unit_type") == u, F.col("unit_label")), sep).alias(f"{u.lower()}_units") for u in UNIT_TYPES]
+    )
+
+
+def truncate_columns(df: DataFrame, widths: dict[str, int]) -> DataFrame:
+    return df.select(*[truncate(F.col(c), widths[c]).alias(c) if c in widths else F.col(c) for c in df.columns])
+
+
+def _anchors_of_row() -> Column:
+    from jointwork.functions.text import college_anchor_key, unit_anchor_key
+
+    return F.filter(
+        F.array(unit_anchor_key(F.col("unit_id")), college_anchor_key(F.col("college"))), lambda a: a.isNotNull()
+    )
+
+
+def anchor_rows(rows: DataFrame) -> DataFrame:
+    """Each row under its unit anchor and, if it has one, its college anchor."""
+    return rows.withColumn("anchor", F.explode(_anchors_of_row()))
+
+
+def anchor_payload(rows: DataFrame, entry: list[str], work_size: str | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Rows nested per (anchor, work, part).
+
+    ``work_size`` names the column with an upper bound for the rows of one
+    anchor and work; a group is cut into parts of about ``chunk`` rows.
+    """
+    a = anchor_rows(rows)
+    ident = F.concat_ws("-", *[F.col(c).cast("string") for c in entry])
+    part = F.lit(0).cast("bigint") if work_size is None else chunk_no(ident, F.col(work_size), chunk)
+    return (
+        a.withColumn("part", part)
+        .groupBy("anchor", "wid", "part")
+        .agg(F.collect_list(F.struct(*entry)).alias("rows"), F.count(F.lit(1)).alias("n_rows"))
+    )
+
+
+def interned_payload(rows: DataFrame, strings: list[str], plain: list[str], chunk: int = CHUNK) -> DataFrame:
+    """Self-contained payload parts with a shared string table each.
+
+    The number of parts of an anchor follows from its row count; rows go to
+    parts by hash, so a huge anchor or a huge work spreads evenly.  Every
+    part carries its own ``strs`` and the rows hold positions in it.
+    """
+    a = anchor_rows(rows).select("anchor", "wid", *plain, *strings)
+    sizes = a.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"))
+    ident = F.concat_ws("-", *[F.col(c).cast("string") for c in ["wid", *plain, *strings]])
+    parts = (
+        a.join(sizes, "anchor")
+        .withColumn("part", chunk_no(ident, F.col("_n"), chunk))
+        .groupBy("anchor", "part")
+        .agg(F.collect_list(F.struct("wid", *plain, *strings)).alias("raw"))
+        .withColumn("strs", F.array_sort(F.array_distinct(F.filter(
+            F.flatten(F.transform("raw", lambda r: F.array(*[r[c].cast("string") for c in strings]))), lambda s: s.isNotNull()
+        ))))
+    )
+    coded = F.transform("raw", lambda r: F.struct(
+        r["wid"].alias("wid"), *[r[c].alias(c) for c in plain],
+        *[(F.array_position("strs", r[c].cast("string")) - 1).cast("int").alias(c) for c in strings],
+    ))
+    return parts.select("anchor", "part", "strs", coded.alias("rows"))
+
+
+def explode_payload(payload: DataFrame, strings: list[str], plain: list[str]) -> DataFrame:
+    """Payload parts back to flat rows, decoding the string positions."""
+    flat = payload.select("anchor", "strs", F.explode("rows").alias("r"))
+    return flat.select(
+        "anchor", F.col("r.wid").alias("wid"), *[F.col(f"r.{c}").alias(c) for c in plain],
+        *[F.when(F.col(f"r.{c}") >= 0, F.element_at("strs", F.col(f"r.{c}") + 1)).alias(c) for c in strings],
+    )
+
+
+def string_dictionary(df: DataFrame, cols: list[str]) -> DataFrame:
+    """One shared code per distinct string of several columns."""
+    values = df.select(F.explode(F.array(*[F.col(c).cast("string") for c in cols])).alias("value"))
+    return dense_index(values.filter("value IS NOT NULL").distinct(), ["value"], "code")
+
+
+def encode(df: DataFrame, dictionary: DataFrame, cols: list[str]) -> DataFrame:
+    """Replace the columns by their codes."""
+    out = df
+    for c in cols:
+        out = out.join(dictionary.select(F.col("value").alias(c), F.col("code").alias(f"{c}_code")), c, "left")
+    return out.drop(*cols)
+
+
+def extract_anchor_rows(details: DataFrame, unit_id) -> DataFrame:
+    """All rows of one unit; the filter reaches the affiliation scan, or the
+    partition directory when the fact is stored by unit."""
+    return details.filter(F.col("unit_id") == unit_id)
+
+
+def payload_stats(rows: DataFrame) -> DataFrame:
+    """Size of every anchor's payload.
+
+    Rows per (anchor, work, person) are counted first; the distinct counts
+    then run on that much smaller table.
+    """
+    a = anchor_rows(rows)
+    works = a.groupBy("anchor", "wid").agg(F.count(F.lit(1)).alias("n"))
+    per_work = works.groupBy("anchor").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_works"), F.max("n").alias("max_rows"))
+    people = a.select("anchor", F.explode(F.array("pid", "cpid")).alias("p")).distinct().groupBy("anchor").agg(
+        F.count(F.lit(1)).alias("n_people")
+    )
+    return per_work.join(people, "anchor").withColumn("rows_per_work", F.round(F.col("n_rows") / F.col("n_works"), 3))
+
+
+def work_index(work: DataFrame) -> DataFrame:
+    """0-based position of every work in id order and its type's position."""
+    types = F.array(*[F.lit(x) for x in WORK_TYPES])
+    idx = dense_index(work.select("wid", "work_type"), ["wid"], "work_idx")
+    return idx.select("wid", "work_idx", (F.array_position(types, F.col("work_type")) - 1).cast("int").alias("type_idx"))
+
+
+def export_nested(pairs: DataFrame, meta: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Long table to nested rows; the three category arrays always exist.
+
+    One row per (entity, part).  The number of parts follows from the
+    entity's row count, so the whole institution is many rows, not one.
+    """
+    key = ["unit_kind", "level", "id"]
+    sizes = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    entry = F.struct("wid", "pairs")
+    has = lambda c: F.array_sort(F.collect_list(F.when(F.col("category") == c, entry))).alias(c)
+    nested = (
+        pairs.join(sizes, key)
+        .withColumn("part", chunk_no(F.col("wid"), F.col("_n"), chunk))
+        .groupBy(*key, "part")
+        .agg(has("within"), has("across"), has("inter"))
+    )
+    empty = F.lit(0).cast("bigint")
+    full = meta.select(*key, "label").join(nested, key, "left")
+    none = F.array().cast(nested.schema["within"].dataType)
+    return full.select(
+        *key, "label", F.coalesce("part", empty).alias("part"),
+        *[F.coalesce(F.col(c), none).alias(c) for c in ("within", "across", "inter")],
+    )
+
+
+def summary_dataset(rollup: DataFrame, partners: DataFrame) -> DataFrame:
+    """Works, pairs and the strongest partners of every key."""
+    best = partners.groupBy("unit_kind", "level", F.col("unit").alias("id")).agg(
+        F.array_sort(F.collect_list(F.struct("rnk", "partner", "works"))).alias("top")
+    )
+    text = F.array_join(F.transform("top", lambda x: F.concat(x["partner"], F.lit(":"), x["works"].cast("string"))), ";")
+    return rollup.join(best, ["unit_kind", "level", "id"], "left").withColumn("top_partners", F.coalesce(text, F.lit(""))).drop("top")

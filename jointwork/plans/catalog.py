@@ -1,4 +1,12 @@
 """All registered queries."""
 
-from jointwork.plans import counting, networking, relating  # noqa: F401
+from jointwork.plans import (  # noqa: F401
+    administering,
+    checking,
+    counting,
+    extracting,
+    networking,
+    relating,
+    trending,
+)
 from jointwork.plans.registry import ORACLES, QUERIES  # noqa: F401

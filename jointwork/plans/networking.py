@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from jointwork.model import KIND_UNIT_TYPES, SCOPES, WITHIN
 from jointwork.operators import network as n, relations as r, scopes as s
+from jointwork.operators.skew import cut_lineage
 from jointwork.plans.registry import register
 
 
@@ -13,8 +14,11 @@ def edges(t):
     return n.pair_works(t.member, t.work_all)
 
 
-def anchor_edges(t):
-    return s.relate_edges(n.pair_works(t.member), members(t), t.person)
+def anchor_edges(t, stored: bool = False):
+    """Edges per anchor.  Queries that read them several times store them
+    once (reliable checkpoint) instead of rebuilding the pairs each time."""
+    out = s.relate_edges(n.pair_works(t.member), members(t), t.person)
+    return cut_lineage(out) if stored else out
 
 
 def members(t):
@@ -91,13 +95,13 @@ def _visible(t, ae):
 
 @register("person_graph_nodes", "SELECT anchor, pid, deg, role FROM vis", ctes=_VISIBLE)
 def _(t):
-    return _visible(t, anchor_edges(t))
+    return _visible(t, anchor_edges(t, stored=True))
 
 
 @register("person_graph", """SELECT e.anchor, e.a, e.b, e.works, e.rel FROM fx_aedges e
 JOIN vis v ON e.anchor = v.anchor AND e.a = v.pid JOIN vis z ON e.anchor = z.anchor AND e.b = z.pid""", ctes=_VISIBLE)
 def _(t):
-    ae = anchor_edges(t)
+    ae = anchor_edges(t, stored=True)
     return n.person_graph(ae, _visible(t, ae))
 
 
@@ -108,7 +112,7 @@ JOIN (SELECT anchor, COUNT(CASE WHEN role = 'anchor' THEN 1 END) AS shown_anchor
         COUNT(CASE WHEN role = 'partner' THEN 1 END) AS shown_partners FROM vis GROUP BY anchor) v ON m.anchor = v.anchor""",
           ctes=_VISIBLE)
 def _(t):
-    ae = anchor_edges(t)
+    ae = anchor_edges(t, stored=True)
     return n.person_graph_summary(ae, members(t), _visible(t, ae))
 
 
@@ -123,7 +127,7 @@ focus AS (SELECT anchor, pid FROM (
   SELECT x.*, CAST(row_number() OVER (PARTITION BY x.anchor ORDER BY x.works DESC, x.other) AS INT) AS rnk
   FROM fx_arcs x JOIN focus f ON x.anchor = f.anchor AND x.pid = f.pid) WHERE rnk <= 20""", ctes=_FOCUS)
 def _(t):
-    ae = anchor_edges(t)
+    ae = anchor_edges(t, stored=True)
     return n.ego(ae, n.strongest_people(ae, members(t)), 20).select("anchor", "pid", "other", "works", "rel", "rnk")
 
 
@@ -206,7 +210,7 @@ def _(t):
 
 def bridge_rows(t):
     kinds = r.anchor_list(t.affil).filter("kind = 'unit'").select(F.col("key").alias("anchor"), "unit_type")
-    return n.bridge_details(anchor_edges(t), members(t), kinds)
+    return cut_lineage(n.bridge_details(anchor_edges(t), members(t), kinds))
 
 
 _BRIDGE = """bdet AS (
@@ -304,7 +308,7 @@ def _(t):
     JOIN fx_member a ON a.pid = x.pid JOIN fx_member b ON b.pid = x.other AND a.wid = b.wid) WHERE first_rn = 1) c
 JOIN fx_work w ON c.wid = w.wid WHERE c.rnk <= 60""", ctes=_FOCUS)
 def _(t):
-    ae = anchor_edges(t)
+    ae = anchor_edges(t, stored=True)
     near = n.both_ways(ae.select("anchor", "a", "b", "works", "rel")).join(
         n.strongest_people(ae, members(t)), ["anchor", "pid"], "left_semi"
     )
