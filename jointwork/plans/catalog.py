@@ -5,8 +5,10 @@ from jointwork.plans import (  # noqa: F401
     checking,
     counting,
     extracting,
+    ingesting,
     networking,
     relating,
+    reporting,
     trending,
 )
 from jointwork.plans.registry import ORACLES, QUERIES  # noqa: F401
