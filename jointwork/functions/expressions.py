@@ -49,7 +49,7 @@ def ratio(part: Column, whole: Column, digits: int = 2) -> Column:
 
 def joined_set(col: Column | str, sep: str = "|") -> Column:
     """Distinct values of a short multi-valued attribute in one sorted cell."""
-    return F.array_join(F.array_sort(F.collect_set(col)), sep)
+    return F.array_join(F.sort_array(F.collect_set(col)), sep)
 
 
 def split_pipe(cell: Column, sep: str = r"\|") -> Column:

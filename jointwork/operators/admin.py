@@ -166,7 +166,7 @@ def whitespace_pairs(
                  [F.desc("score"), F.asc("a"), F.asc("b")])
     common = top_k(met.join(best.select("a", "b"), ["a", "b"], "left_semi").withColumn("low", F.least("na", "nb")),
                    n_shared, [F.desc("low"), F.asc("discipline")], ["a", "b"])
-    names = common.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("rnk", "discipline"))).alias("d"))
+    names = common.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("rnk", "discipline"))).alias("d"))
     return best.join(names, ["a", "b"]).select(
         "a", "b", F.col("sa").alias("size_a"), F.col("sb").alias("size_b"), F.round("sim", 3).alias("sim"), "actual", "score",
         F.array_join(F.transform("d", lambda x: x["discipline"]), ",").alias("shared_disc"),

@@ -247,7 +247,7 @@ def set_rollup(pairs: DataFrame) -> DataFrame:
 
 def person_units(affil: DataFrame) -> DataFrame:
     """Sorted unit ids per person over all unit types (a few per person)."""
-    return affil.groupBy("pid").agg(F.array_sort(F.collect_set(F.col("unit_id").cast("string"))).alias("units"))
+    return affil.groupBy("pid").agg(F.sort_array(F.collect_set(F.col("unit_id").cast("string"))).alias("units"))
 
 
 def person_min_rel(member: DataFrame, affil: DataFrame) -> DataFrame:
@@ -381,7 +381,7 @@ def multi_affil_people(affil: DataFrame, kind: str = "Department") -> DataFrame:
     rows = in_kind(affil.filter("NOT is_ext"), kind).select("pid", "unit_id").distinct()
     many = rows.groupBy("pid").agg(
         F.count(F.lit(1)).alias("n_units"),
-        F.array_join(F.array_sort(F.collect_set(F.lpad(F.col("unit_id").cast("string"), 6, "0"))), ",").alias("units"),
+        F.array_join(F.sort_array(F.collect_set(F.lpad(F.col("unit_id").cast("string"), 6, "0"))), ",").alias("units"),
     ).filter("n_units > 1")
     return rows.join(many, "pid").select("unit_id", "pid", "n_units", "units")
 

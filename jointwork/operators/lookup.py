@@ -64,7 +64,7 @@ def answer(questions: DataFrame, resolved: DataFrame, rollup: DataFrame, partner
     q = F.lower("question")
     asked = questions.select("qid", question_scope(q).alias("scope"), question_metric(q).alias("metric"))
     names = partners.filter(F.col("rnk") <= n_partners).groupBy(F.col("unit").alias("unit_id")).agg(
-        F.array_sort(F.collect_list(F.struct("rnk", "partner", "works"))).alias("p")
+        F.sort_array(F.collect_list(F.struct("rnk", "partner", "works"))).alias("p")
     )
     value = None
     for metric, scopes in (("works", SCOPE_WORDS), ("collabs", ("within", "across", "inter"))):

@@ -19,7 +19,7 @@ from jointwork.model import ACROSS, EXTERNAL, SCOPES, TYPE_COLUMNS, WITHIN, in_k
 def person_profile(affil: DataFrame, kind: str | None, level: str = "department") -> DataFrame:
     """Sorted keys per internal person at a level (a handful per person)."""
     rows = in_kind(affil.filter("NOT is_ext"), kind).select("pid", level_key(level).alias("k")).filter("k IS NOT NULL")
-    return rows.groupBy("pid").agg(F.array_sort(F.collect_set("k")).alias("keys"))
+    return rows.groupBy("pid").agg(F.sort_array(F.collect_set("k")).alias("keys"))
 
 
 def work_signatures(
@@ -46,7 +46,7 @@ def work_signatures(
     )
     n = F.col("n") if head_cap is None else F.least("n", F.lit(head_cap))
     per_work = heads.groupBy("wid").agg(
-        F.array_sort(F.collect_list(F.struct("keys", n.cast("bigint").alias("n")))).alias("signature")
+        F.sort_array(F.collect_list(F.struct("keys", n.cast("bigint").alias("n")))).alias("signature")
     )
     if extra:
         per_work = per_work.join(work.select("wid", *extra), "wid")
@@ -267,7 +267,7 @@ def anchor_members(affil: DataFrame) -> DataFrame:
 def anchors_of_person(members: DataFrame) -> DataFrame:
     """The inverted map; a person has a few anchors."""
     return members.groupBy("pid").agg(
-        F.count(F.lit(1)).alias("n_anchors"), F.array_join(F.array_sort(F.collect_set("anchor")), ",").alias("anchors")
+        F.count(F.lit(1)).alias("n_anchors"), F.array_join(F.sort_array(F.collect_set("anchor")), ",").alias("anchors")
     )
 
 

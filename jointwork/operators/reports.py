@@ -6,7 +6,7 @@ is ever collected whole into one row; the parts together hold every row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from jointwork.functions.expressions import joined_set, top_k
 from jointwork.functions.text import truncate
@@ -44,7 +44,7 @@ def work_roster(member: DataFrame, person: DataFrame, first_n: int = 10) -> Data
     first = top_k(rows, first_n, [F.asc("is_ext"), F.asc("pname"), F.asc("pid")], ["wid"])
     shown = first.groupBy("wid").agg(
         F.max("n_people").alias("n_people"),
-        F.array_sort(F.collect_list(F.struct("rnk", "pid", "pname", "inst", "is_ext"))).alias("people"),
+        F.sort_array(F.collect_list(F.struct("rnk", "pid", "pname", "inst", "is_ext"))).alias("people"),
     )
     return shown.select(
         "wid", F.col("people"), F.greatest(F.col("n_people") - first_n, F.lit(0)).cast("bigint").alias("more")
@@ -104,30 +104,47 @@ def interned_payload(rows: DataFrame, strings: list[str], plain: list[str], chun
 
     The number of parts of an anchor follows from its row count; rows go to
     parts by hash, so a huge anchor or a huge work spreads evenly.  Every
-    part carries its own ``strs`` and the rows hold positions in it.
+    part carries its own sorted ``strs`` and the rows hold positions in it.
+    A part is packed by a vectorised Arrow function: array functions would
+    scan the string table once per cell.
     """
-    a = anchor_rows(rows).select("anchor", "wid", *plain, *strings)
+    a = anchor_rows(rows).select("anchor", "wid", *plain, *[F.col(c).cast("string").alias(c) for c in strings])
     sizes = a.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"))
     ident = F.concat_ws("-", *[F.col(c).cast("string") for c in ["wid", *plain, *strings]])
-    parts = (
-        a.join(sizes, "anchor")
-        .withColumn("part", chunk_no(ident, F.col("_n"), chunk))
-        .groupBy("anchor", "part")
-        .agg(F.collect_list(F.struct("wid", *plain, *strings)).alias("raw"))
-        .withColumn("strs", F.array_sort(F.array_distinct(F.filter(
-            F.flatten(F.transform("raw", lambda r: F.array(*[r[c].cast("string") for c in strings]))), lambda s: s.isNotNull()
-        ))))
-    )
-    coded = F.transform("raw", lambda r: F.struct(
-        r["wid"].alias("wid"), *[r[c].alias(c) for c in plain],
-        *[(F.array_position("strs", r[c].cast("string")) - 1).cast("int").alias(c) for c in strings],
-    ))
-    return parts.select("anchor", "part", "strs", coded.alias("rows"))
+    parts = a.join(sizes, "anchor").withColumn("part", chunk_no(ident, F.col("_n"), chunk)).drop("_n")
+    kept = ["wid", *plain]
+    entry = T.StructType([parts.schema[c] for c in kept] + [T.StructField(c, T.IntegerType()) for c in strings])
+    schema = T.StructType([
+        T.StructField("anchor", T.StringType()), T.StructField("part", T.LongType()),
+        T.StructField("strs", T.ArrayType(T.StringType())), T.StructField("rows", T.ArrayType(entry)),
+    ])
+
+    def pack(key, table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        cells = {c: table.column(c).combine_chunks() for c in table.column_names}
+        words = pc.drop_null(pc.unique(pa.chunked_array([cells[c] for c in strings])))
+        words = words.take(pc.sort_indices(words))
+        coded = [cells[c] for c in kept] + [pc.index_in(cells[c], value_set=words) for c in strings]
+        entries = pa.StructArray.from_arrays(coded, names=kept + strings)
+        return pa.table({
+            "anchor": pa.array([key[0].as_py()]),
+            "part": pa.array([key[1].as_py()], pa.int64()),
+            "strs": pa.ListArray.from_arrays([0, len(words)], words),
+            "rows": pa.ListArray.from_arrays([0, len(entries)], entries),
+        })
+
+    return parts.groupBy("anchor", "part").applyInArrow(pack, schema)
 
 
 def explode_payload(payload: DataFrame, strings: list[str], plain: list[str]) -> DataFrame:
-    """Payload parts back to flat rows, decoding the string positions."""
-    flat = payload.select("anchor", "strs", F.explode("rows").alias("r"))
+    """Payload parts back to flat rows, decoding the string positions.
+
+    Parts are never empty.  ``explode_outer`` keeps the optimizer from adding
+    a "not empty" filter that would build the coded rows a second time.
+    """
+    flat = payload.select("anchor", "strs", F.explode_outer("rows").alias("r"))
     return flat.select(
         "anchor", F.col("r.wid").alias("wid"), *[F.col(f"r.{c}").alias(c) for c in plain],
         *[F.when(F.col(f"r.{c}") >= 0, F.element_at("strs", F.col(f"r.{c}") + 1)).alias(c) for c in strings],
@@ -185,7 +202,7 @@ def export_nested(pairs: DataFrame, meta: DataFrame, chunk: int = CHUNK) -> Data
     key = ["unit_kind", "level", "id"]
     sizes = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     entry = F.struct("wid", "pairs")
-    has = lambda c: F.array_sort(F.collect_list(F.when(F.col("category") == c, entry))).alias(c)
+    has = lambda c: F.sort_array(F.collect_list(F.when(F.col("category") == c, entry))).alias(c)
     nested = (
         pairs.join(sizes, key)
         .withColumn("part", chunk_no(F.col("wid"), F.col("_n"), chunk))
@@ -204,7 +221,7 @@ def export_nested(pairs: DataFrame, meta: DataFrame, chunk: int = CHUNK) -> Data
 def summary_dataset(rollup: DataFrame, partners: DataFrame) -> DataFrame:
     """Works, pairs and the strongest partners of every key."""
     best = partners.groupBy("unit_kind", "level", F.col("unit").alias("id")).agg(
-        F.array_sort(F.collect_list(F.struct("rnk", "partner", "works"))).alias("top")
+        F.sort_array(F.collect_list(F.struct("rnk", "partner", "works"))).alias("top")
     )
     text = F.array_join(F.transform("top", lambda x: F.concat(x["partner"], F.lit(":"), x["works"].cast("string"))), ";")
     return rollup.join(best, ["unit_kind", "level", "id"], "left").withColumn("top_partners", F.coalesce(text, F.lit(""))).drop("top")

@@ -32,7 +32,7 @@ def country_year_long(intl: DataFrame) -> DataFrame:
     hundred values, not data rows.
     """
     cells = intl.groupBy("country", "pub_year").agg(F.count_distinct("wid").alias("works"))
-    years = intl.select("pub_year").distinct().agg(F.array_sort(F.collect_set("pub_year")).alias("years"))
+    years = intl.select("pub_year").distinct().agg(F.sort_array(F.collect_set("pub_year")).alias("years"))
     spine = (
         intl.select("country").distinct().withColumn("one", F.lit(1))
         .join(years.withColumn("one", F.lit(1)), "one")
@@ -75,7 +75,7 @@ def dept_intl(intl: DataFrame, n_countries: int = 6) -> DataFrame:
         rows.groupBy("unit_label", "country").agg(F.count_distinct("wid").alias("n")),
         n_countries, [F.desc("n"), F.asc("country")], ["unit_label"],
     )
-    best = ranked.groupBy("unit_label").agg(F.array_sort(F.collect_list(F.struct("rnk", "country", "n"))).alias("best"))
+    best = ranked.groupBy("unit_label").agg(F.sort_array(F.collect_list(F.struct("rnk", "country", "n"))).alias("best"))
     return totals.join(best, "unit_label").select(
         "unit_label", "works", "partners", "countries",
         F.array_join(F.transform("best", lambda b: F.concat(b["country"], F.lit(":"), b["n"].cast("string"))), ",").alias(
