@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from jointwork.functions.expressions import choose2, flag_sum, joined_set
 from jointwork.model import (
@@ -86,30 +86,42 @@ def work_meta(member: DataFrame, affil: DataFrame, work: DataFrame) -> DataFrame
     )
 
 
-def person_slots(affil: DataFrame, kinds: Iterable[str], levels: Iterable[str], total_scope: str) -> DataFrame:
+def person_slots(affil: DataFrame, kinds: list[str], levels: list[str], total_scope: str) -> DataFrame:
     """Per internal person the (kind, level, key) cells to be counted.
 
-    A slot with a null key stands for the person in the total T of that kind
-    and level.  ``total_scope='level'`` counts only people who have a key at
-    the level; ``'kind'`` counts everybody who has a unit of the kind.
+    ``slots`` are the keys; column ``t<i>`` says whether the person is part of
+    the total T of the i-th (kind, level).  ``total_scope='level'`` counts only
+    people who have a key at the level; ``'kind'`` counts everybody who has a
+    unit of the kind.  The institution is the same for every kind, so it is
+    one slot without a kind.
     """
     if total_scope not in ("level", "kind"):
         raise ValueError("total_scope must be 'level' or 'kind'")
-    kinds, levels = list(kinds), list(levels)
-    rows = affil.filter(~F.col("is_ext"))
-    parts = []
-    for level in levels:
-        kind_list = F.array(*[F.lit(k) for k in KINDS]) if level == "institution" else kinds_of(F.col("unit_type"))
-        cells = rows.select(
-            "pid", F.explode(kind_list).alias("unit_kind"), F.lit(level).alias("level"), level_key(level).alias("id")
-        ).filter(F.col("unit_kind").isin(*kinds))
-        keyed = cells.filter(F.col("id").isNotNull())
-        base = keyed if total_scope == "level" or level == "institution" else cells
-        parts += [keyed, base.withColumn("id", F.lit(None).cast("string"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.groupBy("pid").agg(F.collect_set(F.struct("unit_kind", "level", "id")).alias("slots"))
+    rows = affil.filter(~F.col("is_ext")).withColumn("ks", kinds_of(F.col("unit_type")))
+    slot = lambda kind, level: F.struct(
+        kind.alias("unit_kind"), F.lit(level).alias("level"), level_key(level).alias("id")
+    )
+    wanted = F.array_intersect("ks", F.array(*[F.lit(k) for k in kinds]))
+
+    def slots_at(level: str) -> Column:
+        if level == "institution":
+            return F.array(slot(F.lit(None).cast("string"), level))
+        return F.transform(wanted, lambda k: slot(k, level))
+
+    found, totals = [slots_at(level) for level in levels], []
+    for i, (kind, level) in enumerate(_targets(kinds, levels)):
+        counted = F.lit(True) if level == "institution" else F.array_contains("ks", kind)
+        if total_scope == "level":
+            counted = counted & level_key(level).isNotNull()
+        totals.append(F.max(F.when(counted, 1).otherwise(0)).alias(f"t{i}"))
+    keyed = F.filter(F.concat(*found), lambda x: x["id"].isNotNull())
+    return rows.withColumn("keyed", keyed).groupBy("pid").agg(
+        F.array_distinct(F.flatten(F.collect_list("keyed"))).alias("slots"), *totals
+    )
+
+
+def _targets(kinds: list[str], levels: list[str]) -> list[tuple[str, str]]:
+    return [(k, v) for v in levels for k in kinds]
 
 
 def work_cells(
@@ -119,38 +131,33 @@ def work_cells(
     levels: Iterable[str] = LEVELS,
     total_scope: str = "level",
 ) -> DataFrame:
-    """m, T and X per (work, kind, level, key), all levels in one pass.
+    """m, T and X per (work, kind, level, key), all levels together.
 
-    ``member`` is read once; every (kind, level) is counted from the same scan
-    and the people are reduced to counts before the first shuffle ends.  The
-    totals ride along as a null key and reach their work through a window
-    over keys (bounded by the number of units), not over people.
+    Both sides of the last join are counts: heads per (work, key), bounded by
+    the number of keys, and one row of totals per work.  People are reduced in
+    the map tasks, so a work with very many people is no hot join key.
     """
     kinds, levels = list(kinds), list(levels)
-    slots = person_slots(affil, kinds, levels, total_scope)
-    everywhere = F.array(
-        *[
-            F.struct(F.lit(k).alias("unit_kind"), F.lit(v).alias("level"), F.lit(None).cast("string").alias("id"))
-            for k in kinds
-            for v in levels
-        ]
-    )
-    placed = member.join(slots, "pid", "left").select(
-        "wid",
-        F.when(F.col("is_ext"), 0).otherwise(1).alias("inside"),
-        F.explode(F.when(F.col("is_ext"), everywhere).otherwise(F.col("slots"))).alias("s"),
+    targets = _targets(kinds, levels)
+    placed = member.select("wid", "pid", "is_ext").join(person_slots(affil, kinds, levels, total_scope), "pid", "left")
+    totals = placed.groupBy("wid").agg(
+        F.sum(F.when(F.col("is_ext"), 1).otherwise(0)).alias("n_ext"),
+        *[F.sum(F.coalesce(f"t{i}", F.lit(0))).alias(f"t{i}") for i in range(len(targets))],
     )
-    counted = placed.groupBy("wid", "s.unit_kind", "s.level", "s.id").agg(
-        F.sum("inside").alias("m"), F.sum(1 - F.col("inside")).alias("x")
-    )
-    w = Window.partitionBy("wid", "unit_kind", "level")
-    is_total = F.col("id").isNull()
-    return (
-        counted.withColumn("total", F.max(F.when(is_total, F.col("m"))).over(w))
-        .withColumn("n_ext", F.max(F.when(is_total, F.col("x"))).over(w))
-        .filter(~is_total)
-        .select("wid", "unit_kind", "level", "id", "m", "total", F.coalesce("n_ext", F.lit(0)).cast("bigint").alias("n_ext"))
+    heads = (
+        placed.filter("NOT is_ext")
+        .select("wid", F.explode("slots").alias("s"))
+        .groupBy("wid", "s.unit_kind", "s.level", "s.id")
+        .agg(F.count(F.lit(1)).alias("m"))
     )
+    if "institution" in levels:
+        every = F.when(F.col("level") == "institution", F.array(*[F.lit(k) for k in kinds])).otherwise(F.array("unit_kind"))
+        heads = heads.withColumn("unit_kind", F.explode(every))
+    total = None
+    for i, (kind, level) in enumerate(targets):
+        hit = (F.col("unit_kind") == kind) & (F.col("level") == level)
+        total = F.when(hit, F.col(f"t{i}")) if total is None else total.when(hit, F.col(f"t{i}"))
+    return heads.join(totals, "wid").select("wid", "unit_kind", "level", "id", "m", total.alias("total"), "n_ext")
 
 
 def _flags() -> dict[str, Column]:

@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from jointwork.model import WORK_TYPES
 from jointwork.operators import extract as ex
+from jointwork.sources.writers import stored
 
 HOME = "HOME"
+_MEMBERS: dict[tuple[str, str], DataFrame] = {}
 
 
 @dataclass
@@ -78,7 +80,15 @@ class Tables:
 
     @cached_property
     def member(self) -> DataFrame:
-        return ex.membership(self.matches, self.person)
+        """The membership table, built once per session and input folder.
+
+        It is the stage table every other operator starts from; all queries
+        of a session read the written Parquet instead of joining again.
+        """
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _MEMBERS:
+            _MEMBERS[key] = stored(ex.membership(self.matches, self.person), "member")
+        return _MEMBERS[key]
 
     @cached_property
     def work_all(self) -> DataFrame:
