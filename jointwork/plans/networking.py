@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jointwork.model import KIND_UNIT_TYPES, SCOPES, WITHIN
+from jointwork.model import KIND_UNIT_TYPES, SCOPES
 from jointwork.operators import network as n, relations as r, scopes as s
 from jointwork.operators.skew import cut_lineage
 from jointwork.plans.registry import register
@@ -177,13 +177,6 @@ def within_edges(t):
     return e.join(side("a"), "a").join(side("b"), "b").filter(F.arrays_overlap("ua", "ub")).select("a", "b", "works")
 
 
-_PATH_CTES = """wedge AS (SELECT e.a, e.b, e.works FROM fx_edges e WHERE EXISTS (
-    SELECT 1 FROM fx_home f JOIN fx_home g ON f.unit_id = g.unit_id
-    WHERE f.pid = e.a AND g.pid = e.b AND f.unit_type = 'Department' AND g.unit_type = 'Department')),
-arc AS (SELECT a AS s, b AS d FROM wedge UNION ALL SELECT b, a FROM wedge)
-"""
-
-
 @register("shortest_path")
 def _(t):
     e = within_edges(t)
@@ -191,6 +184,11 @@ def _(t):
     return n.shortest_path(e, ends["lo"], ends["hi"])
 
 
+@register("betweenness")
+def _(t):
+    return n.betweenness(within_edges(t))
+
+
 @register("bridge_scholars", """SELECT anchor, pid, n_units, n_collaborators, works, rnk FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY anchor ORDER BY n_units DESC, works DESC, pid) AS INT) AS rnk FROM bscore)
 WHERE rnk <= 30""", ctes="""bdet AS (

@@ -34,6 +34,36 @@ def test_no_path_same_person_and_hop_limit(chain):
     assert path(n.shortest_path(chain, 0, 6, max_hops=3)) == []
 
 
+def test_betweenness_against_brute_force(spark, chain):
+    """Count shortest paths through every person with plain BFS."""
+    adj = {}
+    for x in chain.collect():
+        adj.setdefault(x["a"], set()).add(x["b"])
+        adj.setdefault(x["b"], set()).add(x["a"])
+
+    def all_shortest(s, t):
+        level = [[s]]
+        seen = {s}
+        while level:
+            done = [p for p in level if p[-1] == t]
+            if done:
+                return done
+            nxt = [p + [w] for p in level for w in adj[p[-1]] if w not in seen]
+            seen |= {p[-1] for p in nxt}
+            level = nxt
+        return []
+
+    want = dict.fromkeys(adj, 0.0)
+    for s in adj:
+        for t in adj:
+            paths = all_shortest(s, t) if s < t else []
+            for p in paths:
+                for v in p[1:-1]:
+                    want[v] += 1 / len(paths)
+    got = {x["pid"]: x["betweenness"] for x in n.betweenness(chain).collect()}
+    assert got == pytest.approx(want, abs=1e-5)
+
+
 def test_payload_parts_hold_every_row(spark):
     t = Tables(spark, SF)
     strings, plain = ["college", "unit_label", "country"], ["pid"]
