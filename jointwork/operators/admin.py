@@ -137,6 +137,13 @@ def discipline_vector(affil: DataFrame, active: DataFrame, kind: str = "Departme
     return active.join(disc, "pid").groupBy("dept", "discipline").agg(F.count(F.lit(1)).alias("n"))
 
 
+def dept_sizes(roster: DataFrame, active: DataFrame) -> DataFrame:
+    """Roster head count per department, else the number of active people."""
+    r = roster.groupBy("dept").agg(F.count_distinct("pid").alias("faculty"))
+    a = active.groupBy("dept").agg(F.count_distinct("pid").alias("active"))
+    return r.join(a, "dept", "full_outer").select("dept", F.coalesce("faculty", "active").alias("size"))
+
+
 def whitespace_pairs(
     vectors: DataFrame, sizes: DataFrame, shared_works: DataFrame,
     min_size: int = 8, min_sim: float = 0.04, n_shared: int = 5, k: int = 30,

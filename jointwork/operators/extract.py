@@ -166,10 +166,12 @@ def membership(matches: DataFrame, person: DataFrame) -> DataFrame:
     return known.join(sizes, "wid").select("wid", "pid", "is_ext", "n_people", "n_internal")
 
 
-def collab_pairs(member: DataFrame) -> DataFrame:
+def collab_pairs(member: DataFrame, keep_size: bool = False) -> DataFrame:
     """Focal person and collaborator on each work (focal side internal)."""
-    return pair_up(member.select("wid", "pid", "is_ext", "n_people"), "wid", "pid", "n_people",
-                   ordered=True, focal=~F.col("is_ext")).select("wid", F.col("pid_l").alias("pid"), F.col("pid_r").alias("cpid"))
+    rows = member.select("wid", "pid", "is_ext", "n_people", F.col("n_people").alias("people"))
+    pairs = pair_up(rows, "wid", "pid", "n_people", ordered=True, focal=~F.col("is_ext"))
+    size = [F.col("people_l").alias("n_people")] if keep_size else []
+    return pairs.select("wid", F.col("pid_l").alias("pid"), F.col("pid_r").alias("cpid"), *size)
 
 
 def restrict_partners(partner_side: DataFrame, focal_side: DataFrame, known: DataFrame | None = None) -> DataFrame:

@@ -44,11 +44,12 @@ def pair_works(
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    """Directed copy: every edge from each of its ends."""
+    """Directed copy: every edge from each of its ends, in one pass."""
     rest = [c for c in edges.columns if c not in ("a", "b")]
-    return edges.select(F.col("a").alias("pid"), F.col("b").alias("other"), *rest).union(
-        edges.select(F.col("b").alias("pid"), F.col("a").alias("other"), *rest)
+    ends = F.array(
+        F.struct(F.col("a").alias("pid"), F.col("b").alias("other")), F.struct(F.col("b").alias("pid"), F.col("a").alias("other"))
     )
+    return edges.select(F.explode(ends).alias("_e"), *rest).select("_e.pid", "_e.other", *rest)
 
 
 def pair_type_counts(edges: DataFrame, affil: DataFrame, kind_units: DataFrame) -> DataFrame:
@@ -161,8 +162,9 @@ def ego(anchor_edges: DataFrame, focus: DataFrame, limit: int = 150) -> DataFram
 
 
 def connections(anchor_edges: DataFrame, pid) -> DataFrame:
-    """Neighbours of one person; the filter reaches both union branches."""
-    return both_ways(anchor_edges).filter(F.col("pid") == pid)
+    """Neighbours of one person; edges are filtered before they are doubled."""
+    mine = anchor_edges.filter((F.col("a") == pid) | (F.col("b") == pid))
+    return both_ways(mine).filter(F.col("pid") == pid)
 
 
 def compare_anchors(entries: DataFrame, wanted: DataFrame, scope_rels, limit: int = 100) -> DataFrame:
@@ -405,13 +407,16 @@ def edge_work_titles(near: DataFrame, member: DataFrame, work: DataFrame, limit:
 
     ``near`` (anchor, pid, other, works).  Every work is listed once per
     anchor, under its strongest connection, at most ``limit`` per anchor.
-    The wide text columns join after the cut.
+    The focus person's own works are found first and lead to the partners, so
+    the rows grow with these works and not with connections times works.  The
+    wide text columns join after the cut.
     """
     m = member.select("wid", "pid")
+    focus = near.select("anchor", "pid").distinct()
     shared = (
-        near.select("anchor", "pid", "other", "works")
-        .join(m, "pid")
-        .join(m.withColumnRenamed("pid", "other"), ["wid", "other"], "left_semi")
+        focus.join(m, "pid")
+        .join(m.withColumnRenamed("pid", "other"), "wid")
+        .join(near.select("anchor", "pid", "other", "works"), ["anchor", "pid", "other"])
     )
     first = shared.groupBy("anchor", "wid").agg(
         F.min(F.struct((-F.col("works")).alias("w"), F.col("other").alias("other"))).alias("best")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from jointwork.functions.expressions import split_pipe
 from jointwork.operators import admin as ad, counts as c, relations as r
+from jointwork.operators.skew import cut_lineage
 from jointwork.plans.registry import register
 
 BASE = """rost AS (
@@ -142,7 +143,8 @@ best AS (SELECT s.a, s.b, x.size AS sa, y.size AS sb, s.sim, COALESCE(u.works, 0
 """)
 def _(t):
     act = active(t)
-    sizes = metrics(t).select("dept", F.coalesce("faculty", "active").alias("size"))
+    # departments times disciplines: small, and read several times below
+    sizes, vec = cut_lineage(ad.dept_sizes(roster(t), act)), cut_lineage(vectors(t, act))
     labels = c.entity_meta(t.affil, "Department", "department").select("id", "label")
     m = r.matrix(t.member, t.affil, "Department").filter("a <> b")
     named = (
@@ -150,7 +152,7 @@ def _(t):
         .join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b")
         .select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"), "works")
     )
-    return ad.whitespace_pairs(vectors(t, act), sizes, named).drop("rnk")
+    return ad.whitespace_pairs(vec, sizes, cut_lineage(named)).drop("rnk")
 
 
 @register("exec_summary", """SELECT (SELECT COUNT(*) FROM fx_uni) AS universe, (SELECT COUNT(DISTINCT pid) FROM act) AS scholars,

@@ -90,7 +90,8 @@ vis AS (SELECT anchor, pid, deg, 'anchor' AS role FROM shown UNION ALL SELECT an
 
 
 def _visible(t, ae):
-    return n.visible_people(ae, members(t), top_anchors=6, partner_limit=10, top_n=8)
+    # a few people per anchor, read for both ends of the edges
+    return cut_lineage(n.visible_people(ae, members(t), top_anchors=6, partner_limit=10, top_n=8))
 
 
 @register("person_graph_nodes", "SELECT anchor, pid, deg, role FROM vis", ctes=_VISIBLE)
@@ -288,7 +289,7 @@ def _(t):
     best = inst.select(u("anchor").alias("anchor"), F.col("inst").alias("partner"), F.lit(2).alias("rel")).union(
         unit.select(u("anchor"), u("partner"), F.lit(1))
     )
-    return n.tie_detail(anchor_edges(t), members(t), best, t.person)
+    return n.tie_detail(anchor_edges(t, stored=True), members(t), best, t.person)
 
 
 @register("node_partners", """SELECT node, COUNT(*) AS partners, CAST(SUM(works) AS BIGINT) AS cross_links FROM (

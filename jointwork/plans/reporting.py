@@ -99,7 +99,7 @@ DET_ANCHOR = """danch AS (
 @register("anchor_payload", """SELECT anchor, wid, COUNT(*) AS n_rows, COUNT(DISTINCT pid) AS n_people, MAX(cpid) AS last_partner,
 CAST(SUM(rel) AS BIGINT) AS rel_sum FROM danch GROUP BY anchor, wid""", ctes=DET_ANCHOR)
 def _(t):
-    rows = details(t).join(t.member.select("wid", "n_people").distinct(), "wid")
+    rows = ex.both_sides_explode(ex.collab_pairs(t.member, keep_size=True), t.affil)
     sized = rows.withColumn("bound", F.col("n_people") * F.col("n_people"))
     nested = rp.anchor_payload(sized, ["pid", "unit_label", "discipline", "cpid", "c_unit_label", "c_inst", "rel"], "bound")
     e = F.col("rows")
@@ -108,13 +108,12 @@ def _(t):
         F.array_max(F.transform(e, lambda x: x["cpid"])).alias("last_partner"),
         F.aggregate(e, F.lit(0).cast("bigint"), lambda acc, x: acc + x["rel"]).alias("rel_sum"),
     )
-    people = per_part.select("anchor", "wid", F.explode("pids").alias("pid")).distinct().groupBy("anchor", "wid").agg(
-        F.count(F.lit(1)).alias("n_people")
+    return per_part.groupBy("anchor", "wid").agg(
+        F.sum("n_rows").alias("n_rows"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("pids")))).cast("bigint").alias("n_people"),
+        F.max("last_partner").alias("last_partner"),
+        F.sum("rel_sum").alias("rel_sum"),
     )
-    whole = per_part.groupBy("anchor", "wid").agg(
-        F.sum("n_rows").alias("n_rows"), F.max("last_partner").alias("last_partner"), F.sum("rel_sum").alias("rel_sum")
-    )
-    return whole.join(people, ["anchor", "wid"])
 
 
 @register("string_dictionary", """SELECT value, row_number() OVER (ORDER BY value) - 1 AS code FROM (
