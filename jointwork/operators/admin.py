@@ -202,7 +202,7 @@ def exec_summary(member: DataFrame, roster: DataFrame, work_flags: DataFrame, de
     disc = work_flags.agg(flag_sum(F.col("interdisc") == 1).alias("inter_disc"))
     out = works.select("*", one)
     for part in (people, faculty, cross, disc):
-        out = out.join(part.select("*", one), "one")
+        out = out.join(F.broadcast(part.select("*", one)), "one")
     return out.select(
         "universe", "scholars", "faculty_total", pct(F.col("scholars"), F.col("faculty_total")).alias("pct_faculty_active"),
         "internal_works", "external_works", "cross_unit_works", pct(F.col("inter_disc"), F.col("universe")).alias("interdisc_pct"),

@@ -50,7 +50,8 @@ def resolve_unit(questions: DataFrame, units: DataFrame, aliases: Mapping[str, s
     lengths = names.agg(F.collect_set(F.length("word")).alias("lens")).withColumn("one", F.lit(1))
     text = questions.select("qid", expand_alias(F.lower("question"), aliases or {}).alias("q"), F.lit(1).alias("one"))
     starts = F.sequence(F.lit(1), F.greatest(F.length("q") - F.col("len") + 1, F.lit(1)))
-    pieces = text.join(lengths, "one").select("qid", "q", F.explode("lens").alias("len")).filter(
+    # one row holding the few distinct name lengths
+    pieces = text.join(F.broadcast(lengths), "one").select("qid", "q", F.explode("lens").alias("len")).filter(
         F.length("q") >= F.col("len")
     ).select("qid", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("q"), i, F.col("len"))))).alias("word"))
     hits = pieces.join(names, "word")

@@ -289,7 +289,7 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None, max_hops: in
         counts = people.agg(F.count(F.lit(1)).alias("n_all")).withColumn("one", F.lit(1)).join(
             starts.agg(F.count(F.lit(1)).alias("n_src")).withColumn("one", F.lit(1)), "one"
         )
-        total = total.withColumn("one", F.lit(1)).join(counts, "one")
+        total = total.withColumn("one", F.lit(1)).join(F.broadcast(counts), "one")
         scale = F.col("n_all") / F.col("n_src") * 0.5
     return total.groupBy(F.col("v").alias("pid")).agg(F.round(F.sum(F.col("delta") * scale), 6).alias("betweenness"))
 

@@ -100,7 +100,8 @@ def dense_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """0-based dense position in a global order, without a one-task sort.
 
     Rows are range-partitioned and sorted inside each partition; only the row
-    count per partition (one small row per task) is accumulated.  The ranged
+    count per partition (one small row per task) is accumulated and sent back
+    to the tasks.  The ranged
     rows are checkpointed because the range bounds are sampled: reading them
     twice must not produce two different partitionings.
     """
@@ -116,7 +117,7 @@ def dense_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     return (
-        ranged.join(offsets, "_part")
+        ranged.join(F.broadcast(offsets), "_part")
         .withColumn(name, (F.col("_offset") + F.col("_pos")).cast("bigint"))
         .drop("_part", "_pos", "_offset")
     )

@@ -28,14 +28,14 @@ def country_year(intl: DataFrame, years: list[int]) -> DataFrame:
 def country_year_long(intl: DataFrame) -> DataFrame:
     """Same numbers in long form, zero-filled over the years that occur.
 
-    The spine is countries times years: both are distinct lists of a few
-    hundred values, not data rows.
+    Every country row receives the one-row year list and unfolds it, so the
+    spine is as long as the matrix itself.
     """
     cells = intl.groupBy("country", "pub_year").agg(F.count_distinct("wid").alias("works"))
     years = intl.select("pub_year").distinct().agg(F.sort_array(F.collect_set("pub_year")).alias("years"))
     spine = (
         intl.select("country").distinct().withColumn("one", F.lit(1))
-        .join(years.withColumn("one", F.lit(1)), "one")
+        .join(F.broadcast(years.withColumn("one", F.lit(1))), "one")
         .select("country", F.explode("years").alias("pub_year"))
     )
     return spine.join(cells, ["country", "pub_year"], "left").na.fill(0, ["works"])
@@ -144,7 +144,7 @@ def anchor_skew_profile(intl: DataFrame) -> DataFrame:
     sizes = by_anchor(intl).groupBy("anchor").agg(F.count(F.lit(1)).alias("n_rows"))
     total = sizes.agg(F.sum("n_rows").alias("total")).withColumn("one", F.lit(1))
     return (
-        sizes.withColumn("one", F.lit(1)).join(total, "one")
+        sizes.withColumn("one", F.lit(1)).join(F.broadcast(total), "one")
         .select("anchor", "n_rows", F.round(F.col("n_rows") * 100.0 / F.col("total"), 2).alias("share_pct"))
         .orderBy(F.desc("n_rows"), "anchor")
     )
