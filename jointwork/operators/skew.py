@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import itertools
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -10,36 +14,53 @@ TILE = 256
 CHUNK = 5000
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path for intermediate tables.
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
 
-    On a cluster the folder comes from ``spark.checkpoint.dir`` so that every
-    executor can reach it and a lost executor loses no data; a local temporary
-    folder is used only where the setting is absent, as in tests.
+    ``spark.checkpoint.dir`` or else the context's checkpoint folder.  A local
+    temporary folder, removed at exit, serves only a ``local`` master; on a
+    cluster without a shared folder this raises, as each executor would write
+    to its own disk.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="jointwork-")
-    return f"{base.rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{next(_serial)}"
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if base:
+        return base.rstrip("/")
+    if not re.match(r"local(\[[^\]]*\])?$", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.applicationId not in _local:
+        _local[sc.applicationId] = tempfile.mkdtemp(prefix="jointwork-")
+        atexit.register(shutil.rmtree, _local[sc.applicationId], ignore_errors=True)
+    return _local[sc.applicationId]
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh path for an intermediate table in the shared folder."""
+    path = f"{shared_base(spark)}/{name}-{spark.sparkContext.applicationId}-{next(_serial)}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
-def _counter():
-    n = 0
-    while True:
-        n += 1
-        yield n
+def drop_intermediate(spark: SparkSession) -> int:
+    """Delete this application's intermediate tables; call it when results are written."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    return len(paths)
 
 
-_serial = _counter()
+_local: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
+_serial = itertools.count(1)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, in the cluster's folder where one is configured."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="jointwork-"))
+        sc.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint()
 
 
