@@ -1,4 +1,4 @@
 """All registered queries of the subpackage."""
 
-from jointwork.llm import best_fit, decontamination, license_scan, personal_data, token_store  # noqa: F401
+from jointwork.llm import best_fit, decontamination, fingerprints, license_scan, personal_data, token_store  # noqa: F401
 from jointwork.llm.registry import ORACLES, QUERIES  # noqa: F401
