@@ -1,4 +1,4 @@
 """All registered queries of the subpackage."""
 
-from jointwork.llm import best_fit, decontamination, fingerprints, jaccard_join, license_scan, personal_data, token_store, warc  # noqa: F401
+from jointwork.llm import best_fit, decontamination, fingerprints, jaccard_join, license_scan, personal_data, suffix_dedup, token_store, warc  # noqa: F401
 from jointwork.llm.registry import ORACLES, QUERIES  # noqa: F401
