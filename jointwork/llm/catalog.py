@@ -1,4 +1,18 @@
 """All registered queries of the subpackage."""
 
-from jointwork.llm import best_fit, decontamination, fingerprints, jaccard_join, license_scan, personal_data, suffix_dedup, token_store, warc  # noqa: F401
-from jointwork.llm.registry import ORACLES, QUERIES  # noqa: F401
+import corpus_pipeline
+from jointwork.llm import (  # noqa: F401
+    best_fit,
+    decontamination,
+    fingerprints,
+    jaccard_join,
+    license_scan,
+    personal_data,
+    suffix_dedup,
+    token_store,
+    toxicity,
+    warc,
+)
+from jointwork.llm.registry import ORACLES, QUERIES, register
+
+register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
