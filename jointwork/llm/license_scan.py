@@ -14,8 +14,6 @@ gives no row.  Other columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from jointwork.llm.license_rules import BASE, Rule, rules
@@ -38,38 +36,33 @@ def _lowered() -> Column:
     return F.lower(whole())
 
 
-def gate(lowered: Column, keywords: list[str]) -> Column:
-    """Cheap scan of the raw text: some keyword occurs, as a word or not.
+def gated(docs: DataFrame, keywords: list[str]) -> DataFrame:
+    """(doc_id, k, n_words, words): the words joined by spaces where one of them is a keyword, else null."""
+    words = docs.select("doc_id", row_key("doc_id", "text").alias("k"), F.array_remove(F.split(_lowered(), GAP), "").alias("w"))
+    joined = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
+    return words.select(
+        "doc_id", "k", F.size("w").cast("long").alias("n_words"),
+        F.when(F.arrays_overlap("w", F.array(*[F.lit(key) for key in keywords])), joined).alias("words"),
+    )
 
-    A keyword that holds another one needs no test of its own.
-    """
-    least = [k for k in keywords if not any(o != k and o in k for o in keywords)]
-    return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(k)) for k in sorted(set(least))])
 
+def _spaces(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
-def detections(docs: DataFrame, ordered: list[Rule]) -> DataFrame:
+
+def detections(some: DataFrame, table: DataFrame, keywords: list[str]) -> DataFrame:
     """(doc_id, k, rule, label, priority, score, first, last): places in words, before suppression."""
-    spark = docs.sparkSession
-    table = rule_table(spark, ordered)
-    keywords = sorted({key for _, key, _ in BASE} | {r.keyword for r in ordered})
-    low = docs.select("doc_id", row_key("doc_id", "text").alias("k"), _lowered().alias("low"))
-    some = low.filter(gate(F.col("low"), keywords)).select(
-        "doc_id", "k", F.concat(F.lit(" "), F.array_join(F.array_remove(F.split("low", GAP), ""), " "), F.lit(" ")).alias("words")
-    )
     held = F.array_compact(F.array(*[F.when(F.contains("words", F.lit(f" {key} ")), F.lit(key)) for key in keywords]))
     tried = (
-        some.select("doc_id", "k", "words", F.explode(held).alias("keyword"))
+        some.filter("words is not null").select("doc_id", "k", "words", F.explode(held).alias("keyword"))
         .join(F.broadcast(table), "keyword")  # a few hundred rules
+        .filter(F.rlike("words", F.col("pattern")))
         .select("doc_id", "k", "rule", "label", "priority", "score", all_matches(F.col("words"), F.col("pattern")).alias("found"))
-        .filter(F.size("found") > 0).distinct()
     )
-    def spaces(text: Column) -> Column:
-        return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
-
-    placed = positions(tried.repartition("k"), "found", ["k", "rule"], spaces)
+    placed = positions(tried.repartition("k").dropDuplicates(["doc_id", "k", "rule"]), "found", ["k", "rule"], _spaces)
     return placed.select(
-        "doc_id", "k", "rule", "label", "priority", "score", (F.col("start") - 1).alias("first"), F.col("end").cast("long").alias("last")
-    ).withColumn("last", F.col("last") - 1)
+        "doc_id", "k", "rule", "label", "priority", "score", (F.col("start") - 1).alias("first"), (F.col("end") - 1).alias("last")
+    )
 
 
 def suppress(found: DataFrame) -> DataFrame:
@@ -85,7 +78,10 @@ def suppress(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, ordered: list[Rule] | None = None) -> DataFrame:
-    kept = suppress(stored(detections(docs, rules() if ordered is None else ordered), "detections"))
+    spark, ordered = docs.sparkSession, rules() if ordered is None else ordered
+    keywords = sorted({key for _, key, _ in BASE} | {r.keyword for r in ordered})
+    some = stored(gated(docs, keywords), "gated")
+    kept = suppress(detections(some, rule_table(spark, ordered), keywords))
     base = F.col("priority") == 9
     each = kept.groupBy("doc_id", "k").agg(
         F.count(F.when(base, 1)).alias("n_base"),
@@ -94,10 +90,7 @@ def scan(docs: DataFrame, ordered: list[Rule] | None = None) -> DataFrame:
         F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"),
         F.max("score").alias("score"), F.count(F.when(~base, 1)).alias("n_rules"),
     )
-    counted = docs.select(
-        "doc_id", row_key("doc_id", "text").alias("k"),
-        F.size(F.array_remove(F.split(_lowered(), GAP), "")).cast("long").alias("n_words"),
-    ).distinct()
+    counted = some.select("doc_id", "k", "n_words").distinct()
     each = each.withColumnsRenamed({"doc_id": "_doc", "k": "_k"})
     return (
         counted.join(each, (counted["k"] == each["_k"]) & counted["doc_id"].eqNullSafe(each["_doc"]), "left").drop("k", "_k", "_doc")
