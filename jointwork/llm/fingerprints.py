@@ -22,13 +22,17 @@ from jointwork.llm.text_columns import GAP, row_key, small, whole
 from jointwork.operators.skew import dense_index
 from jointwork.sources.writers import stored
 
-BAND = (1 / 5000, 1 / 10)
+BAND = (1 / 5000, 1 / 20)
 #: One lexicon subset per entry; a word is in it with chance 1 / entry.
 SUBSETS = [2] * 2 + [16] * 6 + [64] * 16 + [256] * 24
 #: Lexicons up to this size are broadcast.  A word of the band is in N / 5000 documents at least, so there are
 #: at most 5000 times as many words as a document has on average; larger lexicons are joined by shuffle.
 LEXICON_ROWS = 2_000_000
 NO_WORD = 0
+#: The first subsets are large; words of the others only are kept in a list of their own, which is much shorter.
+LARGE = sum(n < 64 for n in SUBSETS)
+#: What Spark's hash gives for an empty list: the subset has no word of the text.
+EMPTY = 42
 
 
 def terms_of(text: Column) -> Column:
@@ -69,15 +73,16 @@ def edited_pairs(docs: DataFrame, around: DataFrame) -> DataFrame:
     return both.select("k", "doc_id", "text", F.concat(F.substring(F.col("text"), F.lit(1), kept), F.col("head")).alias("edited"))
 
 
-def subset_hashes(terms: Column, n: int) -> Column:
-    """Per subset the hash of its sorted words, null where there are none."""
-    ordered = F.array_sort(terms)
+def subset_hashes(large: Column, small_: Column, n: int) -> Column:
+    """Per subset the hash of its sorted words, ``EMPTY`` where there are none.
 
-    def one(j: Column) -> Column:
-        inside = F.transform(F.filter(ordered, lambda t: F.getbit(t["mask"], j) == 1), lambda t: t["h"])
-        return F.when(F.size(inside) > 0, F.xxhash64(inside).bitwiseAND(F.lit(0xFFFFFFFF)))
+    Expressions in a lambda are evaluated each time, so each list is walked
+    once per subset and only the few words found are sorted.
+    """
+    def one(terms: Column):
+        return lambda j: F.xxhash64(F.sort_array(F.transform(F.filter(terms, lambda t: F.getbit(t["mask"], j) == 1), lambda t: t["h"]))).bitwiseAND(F.lit(0xFFFFFFFF))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one)
+    return F.concat(F.transform(F.sequence(F.lit(0), F.lit(LARGE - 1)), one(large)), F.transform(F.sequence(F.lit(LARGE), F.lit(n - 1)), one(small_)))
 
 
 def fingerprints(texts: DataFrame, words: DataFrame, n_subsets: int = len(SUBSETS)) -> DataFrame:
@@ -92,23 +97,23 @@ def fingerprints(texts: DataFrame, words: DataFrame, n_subsets: int = len(SUBSET
     rows = texts.select("k", "which", F.explode(F.concat(first, F.transform(terms_of(F.col("text")), lambda w: F.struct(F.xxhash64(w).alias("h"), empty.alias("i"))))).alias("t"))
     marked = words.unionByName(words.sparkSession.createDataFrame([(NO_WORD, 0)], "h long, mask long"))
     met = rows.select("k", "which", "t.h", "t.i").join(small(stored(marked, "lexicon"), LEXICON_ROWS), "h")
-    grouped = met.groupBy("k", "which").agg(
-        F.collect_set(F.when(F.col("h") != NO_WORD, F.struct("h", "mask"))).alias("terms"), F.max("i").alias("i")
-    )
-    return grouped.select("k", "which", "i.info", "i.whole", subset_hashes(F.col("terms"), n_subsets).alias("hashes"))
+    has = lambda bits: F.collect_set(F.when(F.col("mask").bitwiseAND(F.lit(bits)) != 0, F.struct("h", "mask")))
+    low = (1 << LARGE) - 1
+    grouped = met.groupBy("k", "which").agg(has(low).alias("large"), has((1 << n_subsets) - 1 - low).alias("small"), F.max("i").alias("i"))
+    return grouped.select("k", "which", "i.info", "i.whole", subset_hashes(F.col("large"), F.col("small"), n_subsets).alias("hashes"))
 
 
 def as_text(hashes: Column, whole_hash: Column) -> Column:
-    shown = F.transform(hashes, lambda h: F.coalesce(F.lower(F.lpad(F.hex(h), 8, "0")), F.lit("-")))
-    any_word = F.exists(hashes, lambda h: h.isNotNull())
+    shown = F.transform(hashes, lambda h: F.when(h == EMPTY, F.lit("-")).otherwise(F.lower(F.lpad(F.hex(h), 8, "0"))))
+    any_word = F.exists(hashes, lambda h: h != EMPTY)
     return F.when(any_word, F.array_join(shown, ".")).otherwise(F.concat(F.lit("text-"), F.lower(F.hex(whole_hash))))
 
 
 def likeness(a: Column, b: Column, whole_a: Column, whole_b: Column) -> Column:
     """Share of subsets with words in either text whose hashes agree; 1 for equal texts."""
     pairs = F.arrays_zip(a.alias("a"), b.alias("b"))
-    either = F.size(F.filter(pairs, lambda p: p["a"].isNotNull() | p["b"].isNotNull()))
-    agree = F.size(F.filter(pairs, lambda p: p["a"] == p["b"]))
+    either = F.size(F.filter(pairs, lambda p: (p["a"] != EMPTY) | (p["b"] != EMPTY)))
+    agree = F.size(F.filter(pairs, lambda p: (p["a"] == p["b"]) & (p["a"] != EMPTY)))
     return F.when(whole_a == whole_b, F.lit(1.0)).when(either > 0, agree / either).otherwise(F.lit(0.0))
 
 
