@@ -12,6 +12,11 @@ def unit_anchor_key(unit_id: Column) -> Column:
     return F.concat(F.lit("U"), unit_id.cast("string"))
 
 
+def college_anchor(college: Column) -> Column:
+    """Groups by the full name; the short key below names files only."""
+    return F.concat(F.lit("C"), college)
+
+
 def college_anchor_key(college: Column, width: int = 40) -> Column:
     return F.concat(
         F.lit("C"), F.substring(F.regexp_replace(college, r"[^\p{L}\p{N}]", "_"), 1, width)

@@ -47,10 +47,10 @@ def dept_metrics(
     m, total, n_ext = F.col("m"), F.col("total"), F.col("n_ext")
     hit = (m >= 2) | (total > m) | (n_ext > 0)
     works = (
-        cells.join(work_flags.select("wid", "interdisc"), "wid")
+        cells.join(work_flags.select("wid", "interdisc"), "wid", "left")
         .groupBy("id").agg(
             flag_sum(m >= 2).alias("within"), flag_sum(total > m).alias("across"), flag_sum(n_ext > 0).alias("inter"),
-            flag_sum(hit).alias("all_works"), flag_sum(hit & (F.col("interdisc") == 1)).alias("inter_disc"),
+            flag_sum(hit).alias("all_works"), flag_sum(hit & (F.coalesce("interdisc", F.lit(0)) == 1)).alias("inter_disc"),
         )
         .join(labels.select("id", F.col("label").alias("dept"), "college"), "id")
     )

@@ -75,7 +75,7 @@ def work_meta(member: DataFrame, affil: DataFrame, work: DataFrame) -> DataFrame
         F.min(F.when(~F.col("is_ext"), F.col("d_lo"))).alias("d_lo"),
         F.max(F.when(~F.col("is_ext"), F.col("d_hi"))).alias("d_hi"),
     )
-    return people.join(work, "wid").select(
+    return people.join(work, "wid", "left").select(
         "wid",
         "work_type",
         "n_authors",
@@ -388,7 +388,7 @@ def multi_affil_people(affil: DataFrame, kind: str = "Department") -> DataFrame:
     rows = in_kind(affil.filter("NOT is_ext"), kind).select("pid", "unit_id").distinct()
     many = rows.groupBy("pid").agg(
         F.count(F.lit(1)).alias("n_units"),
-        F.array_join(F.sort_array(F.collect_set(F.lpad(F.col("unit_id").cast("string"), 6, "0"))), ",").alias("units"),
+        F.array_join(F.transform(F.sort_array(F.collect_set("unit_id")), lambda u: u.cast("string")), ",").alias("units"),
     ).filter("n_units > 1")
     return rows.join(many, "pid").select("unit_id", "pid", "n_units", "units")
 

@@ -182,12 +182,13 @@ def restrict_partners(partner_side: DataFrame, focal_side: DataFrame, known: Dat
 
 def sided_pairs(focal_side: DataFrame, partner_side: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Pairs where the focal and partner sides come from different tables."""
-    partners = restrict_partners(partner_side, focal_side, known)
-    return (
-        focal_side.select("wid", "pid").distinct()
-        .join(partners.withColumnRenamed("pid", "cpid"), "wid")
-        .filter("pid <> cpid")
-    )
+    focal = focal_side.select("wid", "pid", F.lit(1).alias("f")).distinct()
+    partners = restrict_partners(partner_side, focal_side, known).withColumn("p", F.lit(1))
+    people = focal.join(partners, ["wid", "pid"], "full_outer")
+    sizes = people.groupBy("wid").agg(F.count(F.lit(1)).alias("size"))
+    # tiled, so that a work with very many people is spread over many tasks
+    pairs = pair_up(people.join(sizes, "wid"), "wid", "pid", "size", ordered=True, focal=F.col("f") == 1)
+    return pairs.filter("p_r = 1").select("wid", F.col("pid_l").alias("pid"), F.col("pid_r").alias("cpid"))
 
 
 def relation_code(focal_unit: Column, partner_unit: Column, partner_ext: Column) -> Column:
@@ -229,19 +230,31 @@ def classify(details: DataFrame) -> DataFrame:
     )
 
 
-def details_base(pairs: DataFrame, affil: DataFrame, person: DataFrame, work: DataFrame, home: str) -> DataFrame:
-    """The 29-column flat fact, ready to be written partitioned by UnitType."""
+def details_base(
+    pairs: DataFrame, affil: DataFrame, person: DataFrame, work: DataFrame, home: str, institutions: DataFrame | None = None,
+    home_name: str | None = None,
+) -> DataFrame:
+    """The 29-column flat fact, ready to be written partitioned by UnitType.
+
+    ``institutions`` (inst, state, inst_name) names the partners; what it lacks
+    stays without state and is named by its id.
+    """
     p = person.select("pid", "pname", "rank")
     c = person.select(F.col("pid").alias("cpid"), F.col("pname").alias("cname"))
-    d = classify(both_sides_explode(pairs, affil)).join(p, "pid").join(c, "cpid").join(work, "wid")
+    d = classify(both_sides_explode(pairs, affil)).join(p, "pid").join(c, "cpid").join(work, "wid", "left")
+    if institutions is None:
+        d = d.withColumn("c_state", F.lit(None).cast("string")).withColumn("c_inst_name", F.col("c_inst"))
+    else:
+        named = institutions.select(F.col("inst").alias("c_inst"), F.col("state").alias("c_state"), F.col("inst_name").alias("c_inst_name"))
+        d = d.join(named, "c_inst", "left").withColumn("c_inst_name", F.coalesce("c_inst_name", "c_inst"))
     s = lambda name: F.col(name).cast("string")
     return d.select(
-        F.lit(home).alias("InstitutionId"), F.lit(home).alias("InstitutionName"), s("college").alias("College"),
+        F.lit(home).alias("InstitutionId"), F.lit(home_name or home).alias("InstitutionName"), s("college").alias("College"),
         s("unit_id").alias("UnitId"), s("unit_label").alias("Department"), s("unit_type").alias("UnitType"),
         s("pid").alias("PersonId"), s("pname").alias("PersonName"), s("broad_field").alias("Broad_Field"),
         s("discipline").alias("Discipline"), s("work_type").alias("CollaborationType"),
-        s("c_inst").alias("Collab_InstitutionId"), s("c_inst").alias("Collab_Institution"),
-        F.lit(None).cast("string").alias("Collab_State"), s("c_college").alias("Collab_College"),
+        s("c_inst").alias("Collab_InstitutionId"), s("c_inst_name").alias("Collab_Institution"),
+        s("c_state").alias("Collab_State"), s("c_college").alias("Collab_College"),
         s("c_unit_id").alias("Collab_UnitId"), s("c_unit_label").alias("Collab_Department"),
         s("c_unit_type").alias("Collab_UnitType"), s("c_broad_field").alias("Collab_BF"),
         s("c_discipline").alias("Collab_Disc"), s("cpid").alias("Collab_PersonID"), s("cname").alias("Collab_PersonName"),

@@ -32,7 +32,7 @@ def pair_works(
     rows = author_cap(member, cap).select("wid", "pid", "is_ext", "n_people")
     if work is not None:
         kinds = type_filter(work.select("wid", "work_type"), types)
-        rows = rows.join(kinds, "wid")
+        rows = rows.join(kinds, "wid", "inner" if types else "left")
     pairs = pair_up(rows, "wid", "pid", "n_people")
     if internal_focus:
         pairs = pairs.filter("NOT (is_ext_l AND is_ext_r)")
@@ -191,81 +191,105 @@ def compare_anchors(entries: DataFrame, wanted: DataFrame, scope_rels, limit: in
     )
 
 
-def shortest_path(edges: DataFrame, start, end, max_hops: int = 32) -> DataFrame:
-    """Fewest-hop path between two people; empty when there is none.
+def shortest_paths(edges: DataFrame, requests: DataFrame) -> DataFrame:
+    """Fewest-hop paths for a table of requests, each inside one anchor's edges.
 
-    Breadth first: per hop the frontier joins the edges, newly reached people
-    keep their smallest predecessor, and visited people are removed by an
-    anti join.  Each hop's frontier is checkpointed, so the lineage stays
-    short and a lost executor does not repeat earlier hops.  The driver sees
-    one row per hop.
+    ``edges`` (anchor, a, b, works, rel), ``requests`` (request, anchor, start,
+    end) -> (request, status, step, pid, works, rel): one row per person on the
+    path, with the edge that leads to it; status ``path``, ``same`` (one row,
+    step 0) or ``none`` (one row without a person).
+
+    Breadth first for all requests together: the frontiers join the edges, a
+    newly reached person keeps its smallest predecessor, and visited people
+    leave by an anti join.  The search goes on until no frontier is left, so a
+    long path is found like a short one.  Each hop is checkpointed; the driver
+    sees whether rows are left.
     """
-    spark = edges.sparkSession
-    schema = "step int, pid bigint, works bigint"
-    if start is None or end is None or start == end:
-        return spark.createDataFrame([], schema)
-    arcs = both_ways(edges.select("a", "b", "works"))
-    adjacency = arcs.select(F.col("pid").alias("src"), F.col("other").alias("pid"), "works")
-    adjacency = cut_lineage(adjacency)
-    frontier = cut_lineage(spark.range(1).select(F.lit(start).cast("bigint").alias("pid")))
-    visited = frontier
-    layers = []
-    found = False
-    for _ in range(max_hops):
-        reached = (
-            frontier.select(F.col("pid").alias("src"))
-            .join(adjacency, "src")
-            .join(visited.select("pid"), "pid", "left_anti")
-            .groupBy("pid")
-            .agg(F.min(F.struct("src", "works")).alias("via"))
-            .select("pid", "via.src", "via.works")
+    asked = cut_lineage(requests.select("request", "anchor", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end")))
+    arcs = both_ways(edges.select("anchor", "a", "b", "works", "rel"))
+    adjacency = cut_lineage(arcs.select("anchor", F.col("pid").alias("src"), F.col("other").alias("pid"), "works", "rel"))
+    open_ = asked.filter("start is not null and end is not null and start <> end")
+    frontier = cut_lineage(open_.select("request", "anchor", F.col("start").alias("pid")))
+    visited = frontier.select("request", "pid")
+    goals = open_.select("request", F.col("end").alias("pid"))
+    layers, reached_goals = [], []
+    while not frontier.isEmpty():
+        reached = cut_lineage(
+            frontier.withColumnRenamed("pid", "src").join(adjacency, ["anchor", "src"])
+            .join(visited, ["request", "pid"], "left_anti")
+            .groupBy("request", "anchor", "pid").agg(F.min(F.struct("src", "works", "rel")).alias("via"))
+            .select("request", "anchor", "pid", "via.src", "via.works", "via.rel")
         )
-        reached = cut_lineage(reached)
-        if reached.isEmpty():
-            break
+        done = cut_lineage(reached.join(goals, ["request", "pid"], "left_semi").select("request", "pid"))
         layers.append(reached)
-        if not reached.filter(F.col("pid") == end).isEmpty():
-            found = True
-            break
-        visited = visited.select("pid").union(reached.select("pid"))
-        frontier = reached
-    if not found:
-        return spark.createDataFrame([], schema)
-    steps, cursor = [], end
+        reached_goals.append(done)
+        visited = visited.union(reached.select("request", "pid"))
+        frontier = cut_lineage(reached.join(done.select("request"), "request", "left_anti").select("request", "anchor", "pid"))
+    steps, cursor = [], None
     for hop in range(len(layers), 0, -1):
-        row = layers[hop - 1].filter(F.col("pid") == cursor).first()
-        steps.append((hop, int(cursor), int(row["works"])))
-        cursor = row["src"]
-    steps.append((0, int(start), 0))
-    return spark.createDataFrame(steps, schema)
+        here = reached_goals[hop - 1] if cursor is None else cursor.union(reached_goals[hop - 1])
+        rows = cut_lineage(layers[hop - 1].join(here, ["request", "pid"]))
+        steps.append(rows.select("request", F.lit("path").alias("status"), F.lit(hop).alias("step"), "pid", "works", "rel"))
+        cursor = rows.select("request", F.col("src").alias("pid"))
+    found = None
+    for part in steps:
+        found = part if found is None else found.union(part)
+    reached_ids = None if found is None else found.select("request").distinct()
+    start = asked.select("request", "start", F.when(F.col("start") == F.col("end"), "same").otherwise("none").alias("status"))
+    if reached_ids is not None:
+        start = start.join(reached_ids.withColumn("_hit", F.lit(1)), "request", "left")
+        start = start.withColumn("status", F.when(F.col("_hit") == 1, "path").otherwise(F.col("status")))
+    person = F.when(F.col("status") != "none", F.col("start"))
+    firsts = start.select(
+        "request", "status", F.when(F.col("status") != "none", 0).cast("int").alias("step"), person.alias("pid"),
+        F.lit(None).cast("bigint").alias("works"), F.lit(None).cast("int").alias("rel"),
+    )
+    return firsts if found is None else firsts.union(found.select(*firsts.columns))
 
 
-def betweenness(edges: DataFrame, sources: DataFrame | None = None, max_hops: int = 64) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame | None = None, batch: int = 256) -> DataFrame:
     """Shortest-path centrality of every person (unweighted, undirected).
 
-    All sources advance together, one hop per step (Brandes 2001): the
-    forward pass counts shortest paths per (source, person), the backward
-    pass hands dependencies from each layer to the one before.  State is one
-    row per source and person, spread by that pair.  ``sources`` (pid) limits
-    the start points to a sample for very large networks; the sum is scaled up.
+    Brandes 2001 for about ``batch`` sources at a time: all of them advance
+    together, one hop per step, until no frontier is left; the way back hands
+    dependencies from each layer to the one before.  State is one row per
+    source of the batch and person; sums per person are added over the
+    batches, and every source is done.  ``sources`` (pid) limits the start
+    points to a chosen sample; the sum is then scaled up.
     """
-    arcs = cut_lineage(both_ways(edges.select("a", "b")).select(F.col("pid").alias("v"), F.col("other").alias("w")))
+    arcs = cut_lineage(both_ways(edges.select("a", "b")).select(F.col("pid").alias("v"), F.col("other").alias("w")).distinct())
     people = arcs.select("v").distinct()
     starts = people.select(F.col("v").alias("s")) if sources is None else sources.select(F.col("pid").alias("s")).distinct()
+    n_batches = max(1, -(-starts.count() // batch))
+    numbered = cut_lineage(starts.withColumn("part", F.pmod(F.xxhash64("s"), F.lit(n_batches))))
+    total = people.select("v", F.lit(0.0).alias("delta"))
+    for part in range(n_batches):
+        total = total.union(_dependencies(arcs, numbered.filter(F.col("part") == part).select("s")))
+    scale = F.lit(0.5)
+    if sources is not None:
+        counts = people.agg(F.count(F.lit(1)).alias("n_all")).withColumn("one", F.lit(1)).join(
+            starts.agg(F.count(F.lit(1)).alias("n_src")).withColumn("one", F.lit(1)), "one"
+        )
+        total = total.withColumn("one", F.lit(1)).join(F.broadcast(counts), "one")
+        scale = F.col("n_all") / F.col("n_src") * 0.5
+    return total.groupBy(F.col("v").alias("pid")).agg(F.round(F.sum(F.col("delta") * scale), 6).alias("betweenness"))
+
+
+def _dependencies(arcs: DataFrame, starts: DataFrame) -> DataFrame:
+    """(v, delta) summed over the given sources."""
     layers = [cut_lineage(starts.select("s", F.col("s").alias("v"), F.lit(1.0).alias("sigma")))]
     visited = layers[0].select("s", "v")
-    for _ in range(max_hops):
-        step = (
+    while True:
+        step = cut_lineage(
             layers[-1].join(arcs, "v").select("s", F.col("w").alias("v"), "sigma")
             .groupBy("s", "v").agg(F.sum("sigma").alias("sigma"))
             .join(visited, ["s", "v"], "left_anti")
         )
-        step = cut_lineage(step)
         if step.isEmpty():
             break
         layers.append(step)
         visited = visited.union(step.select("s", "v"))
-    below, shares = None, []
+    below, shares = None, None
     for layer in reversed(layers[1:]):
         if below is None:
             here = layer.withColumn("delta", F.lit(0.0))
@@ -279,19 +303,11 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None, max_hops: in
             here = cut_lineage(
                 layer.join(handed, ["s", "v"], "left").select("s", "v", "sigma", F.coalesce("delta", F.lit(0.0)).alias("delta"))
             )
-        shares.append(here.select("v", "delta"))
+        shares = here.select("v", "delta") if shares is None else shares.union(here.select("v", "delta"))
         below = here
-    total = people.select("v", F.lit(0.0).alias("delta"))
-    for part in shares:
-        total = total.union(part)
-    scale = F.lit(0.5)
-    if sources is not None:
-        counts = people.agg(F.count(F.lit(1)).alias("n_all")).withColumn("one", F.lit(1)).join(
-            starts.agg(F.count(F.lit(1)).alias("n_src")).withColumn("one", F.lit(1)), "one"
-        )
-        total = total.withColumn("one", F.lit(1)).join(F.broadcast(counts), "one")
-        scale = F.col("n_all") / F.col("n_src") * 0.5
-    return total.groupBy(F.col("v").alias("pid")).agg(F.round(F.sum(F.col("delta") * scale), 6).alias("betweenness"))
+    if shares is None:
+        return layers[0].select("v", F.lit(0.0).alias("delta"))
+    return cut_lineage(shares.groupBy("v").agg(F.sum("delta").alias("delta")))
 
 
 def bridge_details(anchor_edges: DataFrame, members: DataFrame, unit_kind: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jointwork.functions.expressions import choose2, flag_sum, per_type_sums, top_k
-from jointwork.functions.text import college_anchor_key, unit_anchor_key
+from jointwork.functions.text import college_anchor, unit_anchor_key
 from jointwork.model import ACROSS, EXTERNAL, SCOPES, TYPE_COLUMNS, WITHIN, in_kind, level_key
 
 
@@ -250,7 +250,7 @@ def anchor_list(affil: DataFrame) -> DataFrame:
         F.col("unit_id").cast("string").alias("unit_id"),
     )
     colleges = inside.filter("college IS NOT NULL").select("college").distinct().select(
-        college_anchor_key(F.col("college")).alias("key"), F.col("college").alias("label"), F.lit("college").alias("kind"),
+        college_anchor(F.col("college")).alias("key"), F.col("college").alias("label"), F.lit("college").alias("kind"),
         F.lit(None).cast("string").alias("unit_type"), F.lit(None).cast("string").alias("unit_id"),
     )
     return units.union(colleges)
@@ -260,7 +260,7 @@ def anchor_members(affil: DataFrame) -> DataFrame:
     """Bridge table anchor - person, for units and colleges."""
     inside = affil.filter("NOT is_ext")
     units = inside.select(unit_anchor_key(F.col("unit_id")).alias("anchor"), "pid")
-    colleges = inside.filter("college IS NOT NULL").select(college_anchor_key(F.col("college")).alias("anchor"), "pid")
+    colleges = inside.filter("college IS NOT NULL").select(college_anchor(F.col("college")).alias("anchor"), "pid")
     return units.union(colleges).distinct()
 
 

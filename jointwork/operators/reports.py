@@ -71,10 +71,10 @@ def truncate_columns(df: DataFrame, widths: dict[str, int]) -> DataFrame:
 
 
 def _anchors_of_row() -> Column:
-    from jointwork.functions.text import college_anchor_key, unit_anchor_key
+    from jointwork.functions.text import college_anchor, unit_anchor_key
 
     return F.filter(
-        F.array(unit_anchor_key(F.col("unit_id")), college_anchor_key(F.col("college"))), lambda a: a.isNotNull()
+        F.array(unit_anchor_key(F.col("unit_id")), college_anchor(F.col("college"))), lambda a: a.isNotNull()
     )
 
 

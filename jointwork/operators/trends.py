@@ -10,15 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jointwork.functions.expressions import top_k
-from jointwork.functions.text import college_anchor_key, unit_anchor_key
+from jointwork.functions.text import college_anchor, unit_anchor_key
 
 
 def country_works_scholars(intl: DataFrame) -> DataFrame:
     return intl.groupBy("country").agg(F.count_distinct("wid").alias("works"), F.count_distinct("pid").alias("scholars"))
 
 
-def country_year(intl: DataFrame, years: list[int]) -> DataFrame:
-    """Country by year matrix; the year list is given, so no extra pass."""
+def country_year(intl: DataFrame, years: list[int] | None = None) -> DataFrame:
+    """Country by year matrix over the years that occur (one number per year comes to the driver), or over given ones."""
+    if years is None:
+        years = sorted(r[0] for r in intl.filter("pub_year is not null").select("pub_year").distinct().collect())
     cells = intl.select("country", "pub_year", "wid").distinct()
     return cells.groupBy("country").agg(
         *[F.sum(F.when(F.col("pub_year") == y, 1).otherwise(0)).cast("bigint").alias(f"y{y}") for y in years]
@@ -96,7 +98,7 @@ def by_anchor(intl: DataFrame) -> DataFrame:
                      F.col("unit_type").alias("group")),
             F.when(
                 F.col("college").isNotNull() & ~F.col("college").isin("NULL", ""),
-                F.struct(college_anchor_key(F.col("college")).alias("anchor"), F.col("college").alias("label"),
+                F.struct(college_anchor(F.col("college")).alias("anchor"), F.col("college").alias("label"),
                          F.lit("college").alias("group")),
             ),
         ),

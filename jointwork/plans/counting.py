@@ -170,7 +170,7 @@ def _(t):
 @register("multi_affil_people", """SELECT a.unit_id, a.pid, b.n_units, b.units FROM (
   SELECT DISTINCT unit_id, pid FROM fx_home WHERE unit_type IN ('Department', 'Medical', 'Clinical')) a
 JOIN (SELECT pid, COUNT(DISTINCT unit_id) AS n_units,
-        string_agg(DISTINCT lpad(CAST(unit_id AS STRING), 6, '0'), ',' ORDER BY lpad(CAST(unit_id AS STRING), 6, '0')) AS units
+        array_to_string(list_sort(list_distinct(list(unit_id))), ',') AS units
       FROM fx_home WHERE unit_type IN ('Department', 'Medical', 'Clinical')
       GROUP BY pid HAVING COUNT(DISTINCT unit_id) > 1) b ON a.pid = b.pid""")
 def _(t):

@@ -215,15 +215,27 @@ def _(t):
     return d.groupBy("unit_label", "collab_dir", "relationship").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("wid").alias("works"))
 
 
-@register("details_base", """SELECT d.unit_type AS UnitType, w.work_type AS CollaborationType, p.rank AS Rank,
-CASE rel WHEN 2 THEN 'Across Institutions' WHEN 0 THEN 'Within Unit' ELSE 'Across Units' END AS Relationship,
-COUNT(*) AS n_rows, MIN(w.title) AS first_title, MAX(q.pname) AS last_partner FROM fx_details d JOIN fx_work w ON d.wid = w.wid
-JOIN fx_person p ON d.pid = p.pid JOIN fx_person q ON d.cpid = q.pid GROUP BY d.unit_type, w.work_type, p.rank, rel""")
+DETAILS_SQL = """SELECT 'HOME' AS InstitutionId, 'Home University' AS InstitutionName, d.college AS College, CAST(d.unit_id AS STRING) AS UnitId,
+  d.unit_label AS Department, d.unit_type AS UnitType, CAST(d.pid AS STRING) AS PersonId, p.pname AS PersonName, d.broad_field AS Broad_Field,
+  d.discipline AS Discipline, w.work_type AS CollaborationType, d.c_inst AS Collab_InstitutionId,
+  CASE WHEN s.inst IS NULL THEN d.c_inst ELSE concat('Institution ', d.c_inst) END AS Collab_Institution, s.state AS Collab_State,
+  d.c_college AS Collab_College, CAST(d.c_unit_id AS STRING) AS Collab_UnitId, d.c_unit_label AS Collab_Department,
+  d.c_unit_type AS Collab_UnitType, d.c_broad_field AS Collab_BF, d.c_discipline AS Collab_Disc, CAST(d.cpid AS STRING) AS Collab_PersonID,
+  q.pname AS Collab_PersonName, CAST(w.pub_year AS INT) AS Year, CAST(d.wid AS STRING) AS Collab_ID, w.detail AS Collab_Detail, w.title AS Collab_Title,
+  p.rank AS Rank, CASE rel WHEN 2 THEN 'External' ELSE 'Internal' END AS Collab_Dir,
+  CASE rel WHEN 2 THEN 'Across Institutions' WHEN 0 THEN 'Within Unit' ELSE 'Across Units' END AS Relationship
+FROM fx_details d JOIN fx_work w ON d.wid = w.wid JOIN fx_person p ON d.pid = p.pid JOIN fx_person q ON d.cpid = q.pid
+LEFT JOIN (SELECT inst, concat('ST_', CAST(MIN(pid) % 10 AS STRING)) AS state FROM fx_person WHERE inst <> 'INST_3' GROUP BY inst) s ON s.inst = d.c_inst"""
+
+
+def flat_fact(t):
+    named = t.raw_institutions.withColumn("inst_name", F.concat(F.lit("Institution "), "inst"))
+    return ex.details_base(ex.collab_pairs(t.member), t.affil, t.person, t.work_all, HOME, named, "Home University")
+
+
+@register("details_base", DETAILS_SQL)
 def _(t):
-    d = ex.details_base(ex.collab_pairs(t.member), t.affil, t.person, t.work_all, HOME)
-    return d.groupBy("UnitType", "CollaborationType", "Rank", "Relationship").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.min("Collab_Title").alias("first_title"), F.max("Collab_PersonName").alias("last_partner")
-    )
+    return flat_fact(t)
 
 
 def typed_works(t):

@@ -168,26 +168,65 @@ def _(t):
                     F.greatest(F.lit(0).cast("bigint"), F.col("eligible") - cap).alias("hidden"))
 
 
-def within_edges(t):
-    """Pairs that share a unit: the within scope of all anchors together."""
-    from jointwork.operators.counts import person_units
-
-    u = person_units(t.affil.filter("NOT is_ext AND unit_type = 'Department'"))
-    e = n.pair_works(t.member)
-    side = lambda c: u.select(F.col("pid").alias(c), F.col("units").alias("u" + c))
-    return e.join(side("a"), "a").join(side("b"), "b").filter(F.arrays_overlap("ua", "ub")).select("a", "b", "works")
+def path_requests(t):
+    """Per anchor: its smallest and its largest person, its smallest person to itself, and to somebody outside the network."""
+    ends = n.both_ways(anchor_edges(t, stored=True)).groupBy("anchor").agg(F.min("pid").alias("lo"), F.max("pid").alias("hi"))
+    kinds = F.explode(F.array(
+        F.struct(F.lit("far").alias("kind"), F.col("lo").alias("start"), F.col("hi").alias("end")),
+        F.struct(F.lit("self").alias("kind"), F.col("lo").alias("start"), F.col("lo").alias("end")),
+        F.struct(F.lit("out").alias("kind"), F.col("lo").alias("start"), F.lit(-1).cast("bigint").alias("end")),
+    ))
+    return ends.select("anchor", kinds.alias("r")).select(F.concat_ws("-", "anchor", "r.kind").alias("request"), "anchor", "r.start", "r.end")
+
+
+_PATHS = """aends AS (SELECT anchor, MIN(pid) AS lo, MAX(pid) AS hi FROM fx_arcs GROUP BY anchor),
+req AS (
+  SELECT anchor || '-far' AS request, anchor, lo AS s, hi AS e FROM aends UNION ALL SELECT anchor || '-self', anchor, lo, lo FROM aends
+  UNION ALL SELECT anchor || '-out', anchor, lo, -1 FROM aends),
+hops(request, anchor, pid, d) AS (
+  SELECT request, anchor, s, 0 FROM req
+  UNION SELECT h.request, h.anchor, x.other, h.d + 1 FROM hops h JOIN fx_arcs x ON x.anchor = h.anchor AND x.pid = h.pid
+  WHERE h.d < (SELECT COUNT(*) FROM fx_person)),
+dist AS MATERIALIZED (SELECT request, anchor, pid, MIN(d) AS d FROM hops GROUP BY request, anchor, pid),
+prev AS MATERIALIZED (
+  SELECT request, anchor, pid, d, src, works, rel FROM (
+    SELECT a.request, a.anchor, a.pid, a.d, x.pid AS src, x.works, x.rel,
+      row_number() OVER (PARTITION BY a.request, a.pid ORDER BY x.pid) AS rn
+    FROM dist a JOIN fx_arcs x ON x.anchor = a.anchor AND x.other = a.pid
+    JOIN dist b ON b.request = a.request AND b.pid = x.pid AND b.d = a.d - 1) WHERE rn = 1),
+way(request, pid, d, src, works, rel) AS (
+  SELECT p.request, p.pid, p.d, p.src, p.works, p.rel FROM prev p JOIN req r ON r.request = p.request AND r.e = p.pid WHERE r.s <> r.e
+  UNION ALL SELECT p.request, p.pid, p.d, p.src, p.works, p.rel FROM way w JOIN prev p ON p.request = w.request AND p.pid = w.src)
+"""
 
 
-@register("shortest_path")
+@register("shortest_path", """SELECT request, 'path' AS status, CAST(d AS INT) AS step, pid, works, CAST(rel AS INT) AS rel FROM way
+UNION ALL SELECT r.request, CASE WHEN r.s = r.e THEN 'same' WHEN w.request IS NOT NULL THEN 'path' ELSE 'none' END,
+  CASE WHEN r.s = r.e OR w.request IS NOT NULL THEN 0 END, CASE WHEN r.s = r.e OR w.request IS NOT NULL THEN r.s END, NULL, NULL
+FROM req r LEFT JOIN (SELECT DISTINCT request FROM way) w ON r.request = w.request""", ctes=_PATHS)
 def _(t):
-    e = within_edges(t)
-    ends = n.both_ways(e).agg(F.min("pid").alias("lo"), F.max("pid").alias("hi")).first()
-    return n.shortest_path(e, ends["lo"], ends["hi"])
+    return n.shortest_paths(anchor_edges(t, stored=True), path_requests(t))
+
+
+_BETWEEN = """warc2 AS MATERIALIZED (SELECT DISTINCT a AS v, b AS w FROM fx_edges UNION SELECT b, a FROM fx_edges),
+reach(s, v, d) AS (
+  SELECT DISTINCT v, v, 0 FROM warc2
+  UNION SELECT r.s, x.w, r.d + 1 FROM reach r JOIN warc2 x ON x.v = r.v WHERE r.d < (SELECT COUNT(*) FROM fx_person)),
+bdist AS MATERIALIZED (SELECT s, v, MIN(d) AS d FROM reach GROUP BY s, v),
+paths(s, v, d, sigma) AS (
+  SELECT DISTINCT v, v, 0, CAST(1 AS DOUBLE) FROM warc2
+  UNION ALL SELECT p.s, x.w, p.d + 1, SUM(p.sigma) FROM paths p JOIN warc2 x ON x.v = p.v
+  JOIN bdist b ON b.s = p.s AND b.v = x.w AND b.d = p.d + 1 GROUP BY p.s, x.w, p.d),
+sig AS MATERIALIZED (SELECT s, v, d, sigma FROM paths)
+"""
 
 
-@register("betweenness")
+@register("betweenness", """SELECT p.pid, round(COALESCE(b.c, 0), 6) AS betweenness FROM (SELECT DISTINCT v AS pid FROM warc2) p LEFT JOIN (
+  SELECT a.v AS pid, 0.5 * SUM(a.sigma * c.sigma / st.sigma) AS c FROM sig a JOIN sig c ON c.s = a.v
+  JOIN sig st ON st.s = a.s AND st.v = c.v AND st.d = a.d + c.d
+  WHERE a.s <> a.v AND c.v <> a.v GROUP BY a.v) b ON b.pid = p.pid""", ctes=_BETWEEN)
 def _(t):
-    return n.betweenness(within_edges(t))
+    return n.betweenness(n.pair_works(t.member))
 
 
 @register("bridge_scholars", """SELECT anchor, pid, n_units, n_collaborators, works, rnk FROM (

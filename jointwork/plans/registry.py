@@ -11,7 +11,7 @@ from jointwork.plans.fixture import Tables
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-PRELUDE = """WITH fx_person AS (
+PRELUDE = """WITH RECURSIVE fx_person AS (
   SELECT s_suppkey AS pid, s_name AS pname, CAST(s_nationkey AS BIGINT) AS nk, s_suppkey % 4 = 3 AS is_ext,
          CASE WHEN s_suppkey % 4 = 3 THEN concat('INST_', CAST(s_suppkey % 24 AS STRING)) ELSE 'HOME' END AS inst,
          CASE WHEN s_suppkey % 5 <= 1 THEN 'Professor' WHEN s_suppkey % 5 = 2 THEN 'Associate Professor'
@@ -104,7 +104,7 @@ fx_meta AS (
 fx_anchor AS (
   SELECT DISTINCT concat('U', CAST(unit_id AS STRING)) AS anchor, pid FROM fx_home
   UNION SELECT DISTINCT concat('C', college), pid FROM fx_home WHERE college IS NOT NULL),
-fx_edges AS (
+fx_edges AS MATERIALIZED (
   SELECT a.pid AS a, b.pid AS b, COUNT(DISTINCT a.wid) AS works,
          COUNT(CASE WHEN w.work_type = 'Article' THEN 1 END) AS n_articles,
          COUNT(CASE WHEN w.work_type = 'Conference Proceeding' THEN 1 END) AS n_confproc,
@@ -115,16 +115,18 @@ fx_edges AS (
          COUNT(CASE WHEN w.work_type = 'Clinical Trial' THEN 1 END) AS n_trials
   FROM fx_member a JOIN fx_member b ON a.wid = b.wid AND a.pid < b.pid AND NOT (a.is_ext AND b.is_ext)
   JOIN fx_work w ON a.wid = w.wid GROUP BY a.pid, b.pid),
-fx_aedges AS (
-  SELECT t.anchor, e.a, e.b, e.works,
+fx_aends AS (
+  SELECT m.anchor, e.a, e.b, e.works FROM fx_edges e JOIN fx_anchor m ON m.pid = e.a
+  UNION SELECT m.anchor, e.a, e.b, e.works FROM fx_edges e JOIN fx_anchor m ON m.pid = e.b),
+fx_aedges AS MATERIALIZED (
+  SELECT e.anchor, e.a, e.b, e.works,
          CASE WHEN ma.pid IS NOT NULL AND mb.pid IS NOT NULL THEN 0
               WHEN (ma.pid IS NULL AND pa.is_ext) OR (mb.pid IS NULL AND pb.is_ext) THEN 2 ELSE 1 END AS rel
-  FROM fx_edges e JOIN (SELECT DISTINCT anchor FROM fx_anchor) t ON TRUE
-  LEFT JOIN fx_anchor ma ON ma.anchor = t.anchor AND ma.pid = e.a
-  LEFT JOIN fx_anchor mb ON mb.anchor = t.anchor AND mb.pid = e.b
-  JOIN fx_person pa ON pa.pid = e.a JOIN fx_person pb ON pb.pid = e.b
-  WHERE ma.pid IS NOT NULL OR mb.pid IS NOT NULL),
-fx_arcs AS (
+  FROM fx_aends e
+  LEFT JOIN fx_anchor ma ON ma.anchor = e.anchor AND ma.pid = e.a
+  LEFT JOIN fx_anchor mb ON mb.anchor = e.anchor AND mb.pid = e.b
+  JOIN fx_person pa ON pa.pid = e.a JOIN fx_person pb ON pb.pid = e.b),
+fx_arcs AS MATERIALIZED (
   SELECT anchor, a AS pid, b AS other, works, rel FROM fx_aedges
   UNION ALL SELECT anchor, b, a, works, rel FROM fx_aedges),
 fx_umatrix AS (

@@ -17,6 +17,7 @@ from jointwork.operators.skew import shared_dir
 from jointwork.plans.counting import entity_labels
 from jointwork.plans.fixture import HOME
 from jointwork.plans.networking import pair_counts
+from jointwork.plans.extracting import DETAILS_SQL, flat_fact
 from jointwork.plans.registry import register
 from jointwork.sources import readers as rd, writers as wr
 
@@ -245,22 +246,13 @@ def _(t):
     return t.spark.read.text(path).select(F.col("value").alias("line"))
 
 
-@register("read_details", """SELECT unit_id AS UnitId, relationship AS Relationship, work_type AS CollaborationType, COUNT(*) AS n_rows,
-MIN(pname) AS first_name, CAST(SUM(pub_year) AS BIGINT) AS years FROM (
-  SELECT CAST(d.unit_id AS STRING) AS unit_id, w.work_type, p.pname, w.pub_year,
-    CASE rel WHEN 2 THEN 'Across Institutions' WHEN 0 THEN 'Within Unit' ELSE 'Across Units' END AS relationship
-  FROM fx_details d JOIN fx_work w ON d.wid = w.wid JOIN fx_person p ON d.pid = p.pid
-  WHERE d.unit_type = 'Department' AND d.c_unit_type = 'Program') GROUP BY ALL""")
+@register("read_details", """SELECT UnitId, Relationship, CollaborationType, Collab_UnitType, COUNT(*) AS n_rows, MIN(PersonName) AS first_name,
+CAST(SUM(Year) AS BIGINT) AS years, MAX(Collab_State) AS last_state FROM (""" + DETAILS_SQL + """) GROUP BY ALL""")
 def _(t):
-    # focal side as a department, partner side as a program: one of the views
-    focal = t.affil.filter("unit_type = 'Department'")
-    d = ex.details_base(ex.collab_pairs(t.member), t.affil, t.person, t.work_all, HOME).filter(
-        "UnitType = 'Department' AND Collab_UnitType = 'Program'"
-    )
     path = shared_dir(t.spark, "details-csv")
-    wr.write_csv(d, path, "ISO-8859-1")
-    return rd.read_details(t.spark, path).groupBy("UnitId", "Relationship", "CollaborationType").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.min("PersonName").alias("first_name"), F.sum("Year").alias("years")
+    wr.write_csv(flat_fact(t), path, "ISO-8859-1")
+    return rd.read_details(t.spark, path).groupBy("UnitId", "Relationship", "CollaborationType", "Collab_UnitType").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("PersonName").alias("first_name"), F.sum("Year").alias("years"), F.max("Collab_State").alias("last_state")
     )
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from jointwork.operators import scopes as s, trends as tr
 from jointwork.plans.registry import register
 
-YEARS = list(range(1995, 2003))
+#: Years of the order table, for the columns of the SQL; the operator finds them in the data.
+YEARS = list(range(1995, 2002))
 BY_ANCHOR = """ianch AS (
   SELECT concat('U', CAST(unit_id AS STRING)) AS anchor, unit_label AS label, unit_type AS grp, * FROM fx_intl
   UNION ALL SELECT concat('C', college), college, 'college', * FROM fx_intl WHERE college IS NOT NULL)
@@ -23,7 +24,7 @@ def _(t):
 @register("country_year", "SELECT country, " + ", ".join(
     f"COUNT(DISTINCT CASE WHEN pub_year = {y} THEN wid END) AS y{y}" for y in YEARS) + " FROM fx_intl GROUP BY country")
 def _(t):
-    return tr.country_year(t.intl, YEARS)
+    return tr.country_year(t.intl)
 
 
 @register("country_year_long", """SELECT c.country, y.pub_year, COALESCE(n.works, 0) AS works

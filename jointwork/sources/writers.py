@@ -22,7 +22,7 @@ def anchor_index(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
-    df.write.mode("overwrite").option("header", True).option("encoding", encoding).csv(path)
+    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("encoding", encoding).csv(path)
 
 
 def write_download(df: DataFrame, path: str) -> None:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from jointwork.functions.text import college_anchor_key, unit_anchor_key
+from jointwork.functions.text import college_anchor, unit_anchor_key
 from jointwork.operators.counts import work_cells
 
 
@@ -101,7 +101,7 @@ def anchor_split_writer(store: str) -> Callable[[DataFrame, int], None]:
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         keys = F.filter(
-            F.array(unit_anchor_key(F.col("unit_id")), college_anchor_key(F.col("college"))), lambda k: k.isNotNull()
+            F.array(unit_anchor_key(F.col("unit_id")), college_anchor(F.col("college"))), lambda k: k.isNotNull()
         )
         (
             batch.withColumn("anchor", F.explode(keys)).hint("rebalance", "anchor")

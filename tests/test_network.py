@@ -1,5 +1,7 @@
 """Paths, bridges, reports and streams on small fixtures."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,20 +20,31 @@ def chain(spark):
     return spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in rows], "a bigint, b bigint, works bigint")
 
 
-def path(df):
-    return [(x["step"], x["pid"], x["works"]) for x in df.orderBy("step").collect()]
+def paths(spark, edges, requests):
+    asked = spark.createDataFrame(requests, "request string, anchor string, start bigint, end bigint")
+    rows = n.shortest_paths(edges.selectExpr("'x' AS anchor", "a", "b", "works", "CAST(works % 3 AS INT) AS rel"), asked).collect()
+    return {q[0]: sorted((r["status"], r["step"], r["pid"], r["works"], r["rel"]) for r in rows if r["request"] == q[0]) for q in requests}
 
 
-def test_shortest_path(chain):
-    assert path(n.shortest_path(chain, 0, 6)) == [(0, 0, 0), (1, 9, 1), (2, 4, 1), (3, 5, 14), (4, 6, 15)]
-    assert path(n.shortest_path(chain, 6, 0))[-1] == (4, 0, 1)
+def test_shortest_paths(spark, chain):
+    got = paths(spark, chain, [("there", "x", 0, 6), ("back", "x", 6, 0), ("none", "x", 0, 21), ("same", "x", 3, 3), ("null", "x", None, 3), ("other", "y", 0, 6)])
+    assert [r[1:4] for r in got["there"]] == [(0, 0, None), (1, 9, 1), (2, 4, 1), (3, 5, 14), (4, 6, 15)]
+    assert [r[4] for r in got["there"]] == [None, 1, 1, 2, 0]
+    assert got["back"][-1][1:4] == (4, 0, 1)
+    assert got["same"] == [("same", 0, 3, None, None)]
+    assert [got[k][0][0] for k in ("none", "null", "other")] == ["none"] * 3
 
 
-def test_no_path_same_person_and_hop_limit(chain):
-    assert path(n.shortest_path(chain, 0, 21)) == []
-    assert path(n.shortest_path(chain, 3, 3)) == []
-    assert path(n.shortest_path(chain, None, 3)) == []
-    assert path(n.shortest_path(chain, 0, 6, max_hops=3)) == []
+def test_paths_and_betweenness_have_no_hop_limit(spark):
+    """A chain longer than any earlier limit; JOINTWORK_ALL=1 takes 100 people."""
+    k = 100 if os.environ.get("JOINTWORK_ALL") else 34
+    line = spark.createDataFrame([(i, i + 1, 1) for i in range(k)], "a bigint, b bigint, works bigint").coalesce(1)
+    got = paths(spark, line, [("end", "x", 0, k)])["end"]
+    assert len(got) == k + 1 and got[-1][1:3] == (k, k)
+    k = 70 if os.environ.get("JOINTWORK_ALL") else 12
+    short = spark.createDataFrame([(i, i + 1) for i in range(k)], "a bigint, b bigint").coalesce(1)
+    middle = {r["pid"]: r["betweenness"] for r in n.betweenness(short, batch=k // 2).collect()}
+    assert all(middle[i] == i * (k - i) for i in range(k + 1))
 
 
 def test_betweenness_against_brute_force(spark, chain):
@@ -90,8 +103,77 @@ def test_details_csv_round_trip_skips_short_rows(spark, tmp_path):
     d = ex.details_base(ex.collab_pairs(t.member), t.affil, t.person, t.work_all, "HOME").filter("UnitId = '200'")
     out = str(tmp_path / "details")
     wr.write_csv(d, out, "ISO-8859-1")
-    (tmp_path / "details" / "part-short.csv").write_text(",".join(d.columns) + "\nHOME,HOME,short\n")
-    assert rd.read_details(spark, out).count() == d.count()
+    names = d.columns
+    line = lambda **k: ",".join(k.get(c, "x") for c in names)
+    (tmp_path / "details" / "part-hand.csv").write_text("\n".join([
+        ",".join(names), "HOME,HOME,short", line(Collab_Title='"A ""quoted"", comma title"', Year="1999"),
+        line(Collab_Title='"Tail ""q"""', Year="not a year"),
+    ]) + "\n")
+    back = rd.read_details(spark, out)
+    assert back.count() == d.count() + 2
+    hand = {r["Collab_Title"]: r["Year"] for r in back.filter("PersonId = 'x'").collect()}
+    assert hand == {'A "quoted", comma title': 1999, 'Tail "q"': None}
+    assert rd.skipped_details(spark, out).first()["skipped"] == 1
+
+
+def test_quotes_survive_our_own_writer(spark, tmp_path):
+    df = spark.createDataFrame([('say "hi", you', "b"), ("back\\slash", '"')], "x string, y string")
+    wr.write_csv(df, str(tmp_path / "q"))
+    got = rd.read_csv_positional(spark, str(tmp_path / "q"), df.schema)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_ids_over_six_digits_and_works_without_discipline(spark):
+    affil = spark.createDataFrame(
+        [(1, False, "H", "Department", u, f"U{u}", None, None, None) for u in (1234567, 1234568)],
+        "pid bigint, is_ext boolean, inst string, unit_type string, unit_id bigint, unit_label string, college string, discipline string, broad_field string")
+    assert {r["units"] for r in c.multi_affil_people(affil).collect()} == {"1234567,1234568"}
+    member = spark.createDataFrame([(9, 1, False, 1, 1)], "wid bigint, pid bigint, is_ext boolean, n_people bigint, n_internal bigint")
+    no_work = spark.createDataFrame([], "wid bigint, work_type string, pub_year int, title string, detail string")
+    assert [(r["wid"], r["n_authors"], r["title"]) for r in c.work_meta(member, affil, no_work).collect()] == [(9, 1, None)]
+
+
+def test_missing_keys_match_missing_keys(spark):
+    a = spark.createDataFrame([(None, 1), ("x", 2)], "k string, v int")
+    assert q.reconcile(a, a, ["k"], ["v"]).filter("mismatch = 1 or missing_a = 1").count() == 0
+
+
+def test_long_college_names_and_other_years(spark):
+    from jointwork.operators import trends as tr
+
+    long = "A college with a very long name that goes on and on"
+    intl = spark.createDataFrame(
+        [(1, 1, "Department", 5, "U", long + " one", 7, "X", 1980), (2, 1, "Department", 5, "U", long + " two", 7, "X", 2030)],
+        "wid bigint, pid bigint, unit_type string, unit_id bigint, unit_label string, college string, inst_id bigint, country string, pub_year int")
+    assert {r["anchor"] for r in tr.by_anchor(intl).collect()} == {"U5", "C" + long + " one", "C" + long + " two"}
+    assert tr.country_year(intl).first().asDict() == {"country": "X", "y1980": 1, "y2030": 1}
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    from jointwork.operators import skew
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError):
+        skew.shared_base(Session())
+    Context.master = "local[2]"
+    assert skew.shared_base(Session())
+
+
+def test_one_work_with_very_many_people_is_tiled(spark):
+    people = spark.range(3000).select(F.lit(1).cast("bigint").alias("wid"), F.col("id").alias("pid"))
+    pairs = ex.sided_pairs(people.filter("pid < 40"), people)
+    assert pairs.count() == 40 * 2999
 
 
 def test_stream_equals_batch_and_replay_is_harmless(spark, tmp_path):
