@@ -216,7 +216,3 @@ def most_and_least_connected(metrics: DataFrame, min_faculty: int = 10, k: int =
     top = top_k(rows, k, [F.desc("rate"), F.asc("dept")]).withColumn("list", F.lit("top"))
     low = top_k(rows, k, [F.asc("rate"), F.asc("dept")]).withColumn("list", F.lit("least"))
     return top.union(low).select("list", "rnk", "dept", "rate", "faculty")
-
-
-def split_cells(df: DataFrame, col: str, part: Column) -> DataFrame:
-    return df.select("*", F.explode(part).alias(f"{col}_part"))

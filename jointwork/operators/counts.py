@@ -228,24 +228,13 @@ def scope_rollup(cells: DataFrame, labels: DataFrame | None = None) -> DataFrame
     return out
 
 
-def scope_rollup_approx(pairs: DataFrame, rsd: float = 0.02) -> DataFrame:
-    """Opt-in sketch of the distinct works per key, for interactive use."""
-    return pairs.groupBy("unit_kind", "level", "id").agg(
-        F.approx_count_distinct("wid", rsd).alias("all_works_approx")
-    )
-
-
-def set_rollup(pairs: DataFrame) -> DataFrame:
-    """Set sizes |W|, |A|, |I|, |W∪A|, |W∪A∪I| from the long table."""
-    key = ["unit_kind", "level", "id"]
-    has = lambda c: F.max(F.when(F.col("category") == c, 1).otherwise(0))
-    flags = pairs.groupBy(*key, "wid").agg(*[has(c).alias(c) for c in CATEGORIES])
-    return flags.groupBy(*key).agg(
-        F.sum("within").alias("within_set"),
-        F.sum("across").alias("across_set"),
-        F.sum("inter").alias("inter_set"),
-        F.sum(F.greatest("within", "across")).alias("intra_set"),
-        F.count(F.lit(1)).alias("all_set"),
+def set_rollup(cells: DataFrame) -> DataFrame:
+    """Set sizes |W|, |A|, |I|, |W∪A|, |W∪A∪I| per key, in one aggregation: (work, key) is unique in ``cells``."""
+    f = _flags()
+    any_ = f["within"] | f["across"] | f["inter"]
+    return cells.filter(any_).groupBy("unit_kind", "level", "id").agg(
+        flag_sum(f["within"]).alias("within_set"), flag_sum(f["across"]).alias("across_set"), flag_sum(f["inter"]).alias("inter_set"),
+        flag_sum(f["within"] | f["across"]).alias("intra_set"), F.count(F.lit(1)).alias("all_set"),
     )
 
 

@@ -142,10 +142,6 @@ def work_type_union(parts: Iterable[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), [p.select(*cols) for p in parts]).distinct()
 
 
-def check_types(df: DataFrame) -> DataFrame:
-    """Route unknown work types to an explicit value."""
-    return df.withColumn("work_type", F.when(F.col("work_type").isin(*WORK_TYPES), F.col("work_type")).otherwise("Unknown"))
-
 
 def membership(matches: DataFrame, person: DataFrame) -> DataFrame:
     """(work, person) once each, for works with company.

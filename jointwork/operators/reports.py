@@ -157,13 +157,6 @@ def string_dictionary(df: DataFrame, cols: list[str]) -> DataFrame:
     return dense_index(values.filter("value IS NOT NULL").distinct(), ["value"], "code")
 
 
-def encode(df: DataFrame, dictionary: DataFrame, cols: list[str]) -> DataFrame:
-    """Replace the columns by their codes."""
-    out = df
-    for c in cols:
-        out = out.join(dictionary.select(F.col("value").alias(c), F.col("code").alias(f"{c}_code")), c, "left")
-    return out.drop(*cols)
-
 
 def extract_anchor_rows(details: DataFrame, unit_id) -> DataFrame:
     """All rows of one unit; the filter reaches the affiliation scan, or the

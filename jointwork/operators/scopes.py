@@ -31,23 +31,21 @@ def relate_edges(edges: DataFrame, members: DataFrame, person: DataFrame) -> Dat
     the anchor is external, else across.  Edges meet anchors through their
     ends, so an anchor only receives its own edges.
     """
-    ext = person.select("pid", "is_ext")
-    m = members.select("anchor", "pid")
-    touch = (
-        edges.join(m.withColumnRenamed("pid", "a"), "a").withColumn("ina", F.lit(1)).withColumn("inb", F.lit(0))
-        .unionByName(edges.join(m.withColumnRenamed("pid", "b"), "b").withColumn("ina", F.lit(0)).withColumn("inb", F.lit(1)))
+    # A person has a few anchors: one small array per person, met once for each end; no union, no aggregation of edges.
+    anchors = members.groupBy("pid").agg(F.collect_set("anchor").alias("anchors"))
+    ends = person.select("pid", "is_ext").join(anchors, "pid", "left").withColumn(
+        "anchors", F.coalesce("anchors", F.array().cast("array<string>"))
     )
-    keys = ["anchor", "a", "b"]
+    side = lambda c: ends.select(F.col("pid").alias(c), F.col("is_ext").alias("x" + c), F.col("anchors").alias("in" + c))
     values = [c for c in edges.columns if c not in ("a", "b")]
-    seen = touch.groupBy(*keys).agg(
-        *[F.max(c).alias(c) for c in values], F.max("ina").alias("ina"), F.max("inb").alias("inb")
+    out = (
+        edges.join(side("a"), "a").join(side("b"), "b")
+        .select("a", "b", *values, "xa", "xb", "ina", "inb", F.explode(F.array_union("ina", "inb")).alias("anchor"))
+        .withColumn("a_in", F.array_contains("ina", F.col("anchor"))).withColumn("b_in", F.array_contains("inb", F.col("anchor")))
     )
-    out = seen.join(ext.select(F.col("pid").alias("a"), F.col("is_ext").alias("xa")), "a").join(
-        ext.select(F.col("pid").alias("b"), F.col("is_ext").alias("xb")), "b"
-    )
-    outside = ((F.col("ina") == 0) & F.col("xa")) | ((F.col("inb") == 0) & F.col("xb"))
-    rel = F.when((F.col("ina") == 1) & (F.col("inb") == 1), WITHIN).when(outside, EXTERNAL).otherwise(ACROSS)
-    return out.select("anchor", "a", "b", *values, F.col("ina").alias("a_in"), F.col("inb").alias("b_in"), rel.alias("rel"))
+    outside = (~F.col("a_in") & F.col("xa")) | (~F.col("b_in") & F.col("xb"))
+    rel = F.when(F.col("a_in") & F.col("b_in"), WITHIN).when(outside, EXTERNAL).otherwise(ACROSS)
+    return out.select("anchor", "a", "b", *values, F.col("a_in").cast("int").alias("a_in"), F.col("b_in").cast("int").alias("b_in"), rel.alias("rel"))
 
 
 def interdisc_works(work_meta: DataFrame) -> DataFrame:

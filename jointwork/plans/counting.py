@@ -157,7 +157,7 @@ COUNT(DISTINCT CASE WHEN category = 'inter' THEN wid END) AS inter_set,
 COUNT(DISTINCT CASE WHEN category <> 'inter' THEN wid END) AS intra_set,
 COUNT(DISTINCT wid) AS all_set FROM fx_pairs GROUP BY unit_kind, level, id""")
 def _(t):
-    return c.set_rollup(c.pairs_long(c.work_cells(t.member, t.affil)))
+    return c.set_rollup(c.work_cells(t.member, t.affil))
 
 
 @register("anchor_works_per_person", """SELECT pid, COUNT(DISTINCT wid) AS works FROM fx_minrel

@@ -156,7 +156,8 @@ CAST(COALESCE(SUM(pairs), 0) AS BIGINT) AS pairs, MIN(CASE WHEN category = 'with
 FROM (SELECT unit_kind, level, id, MIN(label) AS label FROM fx_key GROUP BY unit_kind, level, id) k
 LEFT JOIN fx_pairs p ON k.unit_kind = p.unit_kind AND k.level = p.level AND k.id = p.id GROUP BY k.unit_kind, k.level, k.id, k.label""")
 def _(t):
-    nested = rp.export_nested(all_pairs(t), entity_labels(t))
+    # written once: the sizes of the parts and the parts themselves read it
+    nested = rp.export_nested(wr.stored(all_pairs(t), "pairs"), entity_labels(t))
     path = shared_dir(t.spark, "nested-json")
     nested.write.mode("overwrite").json(path)
     back = rd.read_json_payload(t.spark, path, nested.schema)
@@ -241,9 +242,11 @@ def _(t):
     rows = t.intl.groupBy("pub_year", "unit_label", "unit_type").agg(F.count_distinct("wid").alias("works"))
     name = F.concat("unit_label", F.lit(' "'), "unit_type", F.lit('"'))
     path = shared_dir(t.spark, "download")
-    # a download is one small report file with one header line
-    wr.write_download(rows.select(F.col("pub_year").alias("Year"), name.alias("Unit"), "works").coalesce(1), path)
-    return t.spark.read.text(path).select(F.col("value").alias("line"))
+    # every part has the header line; readers keep one
+    wr.write_download(rows.select(F.col("pub_year").alias("Year"), name.alias("Unit"), "works"), path)
+    lines = t.spark.read.text(path).select(F.col("value").alias("line"))
+    header = '"Year","Unit","works"'
+    return lines.filter(F.col("line") != header).union(lines.filter(F.col("line") == header).distinct())
 
 
 @register("read_details", """SELECT UnitId, Relationship, CollaborationType, Collab_UnitType, COUNT(*) AS n_rows, MIN(PersonName) AS first_name,
