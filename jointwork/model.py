@@ -39,8 +39,6 @@ SCOPES = {
     "inter": (EXTERNAL,),
     "all": (WITHIN, ACROSS, EXTERNAL),
 }
-AUTHOR_CAPS = (20, 50, 100, None)
-RANKS = ("Professor", "Associate Professor", "Assistant Professor", "Other ranks")
 RANK_CODES = {1: "Professor", 2: "Associate Professor", 3: "Assistant Professor"}
 
 # The flat fact: focal side, collaborator side, work.

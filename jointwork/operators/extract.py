@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jointwork.functions.expressions import rank_label
-from jointwork.model import WORK_TYPES
 from jointwork.operators.skew import pair_up
 
 # Duplicate discipline cohorts, old id -> (canonical id, name).
@@ -24,13 +23,6 @@ DISCIPLINE_MERGE = {
 }
 # Agencies whose grants are not counted.
 EXCLUDED_AGENCIES = ("ACS", "AHA", "AHRC", "BBSRC", "EPSRC", "ERC", "ESRC", "MRC", "NERC", "STFC", "Wellcome")
-DEFAULT_WINDOWS = {
-    "Article": (2021, 2024),
-    "Conference Proceeding": (2021, 2024),
-    "Book": (2015, 2024),
-}
-
-
 def affil_union(unit_tables: Mapping[str, DataFrame]) -> DataFrame:
     """Distinct union of the unit tables, each tagged with its unit type."""
     tagged = [df.withColumn("unit_type", F.lit(name)) for name, df in unit_tables.items()]

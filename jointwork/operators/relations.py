@@ -223,9 +223,12 @@ def unit_partner_list(entries: DataFrame, scope: str = "all", n: int = 50) -> Da
     return top_k(kept, n, [F.desc("works"), F.asc("name"), F.asc("rel")], ["anchor"])
 
 
-def graph_nodes(matrix_df: DataFrame, rollup: DataFrame) -> DataFrame:
-    """Nodes of the unit or college graph with all their works."""
-    return rollup.select(F.col("id"), F.col("all_works").alias("works"))
+def graph_nodes(nodes: DataFrame, n: int) -> DataFrame:
+    """The n strongest nodes of the unit or college graph with their works, and how many nodes are not shown."""
+    total = nodes.agg(F.count(F.lit(1)).alias("total"))
+    shown = nodes.orderBy(F.desc("works"), F.asc("id")).limit(n)
+    hidden = F.greatest(F.lit(0), F.col("total") - n).cast("bigint").alias("dropped")
+    return shown.withColumn("one", F.lit(1)).join(F.broadcast(total.withColumn("one", F.lit(1))), "one").select("id", "works", hidden)
 
 
 def unit_graph(nodes: DataFrame, edges: DataFrame, n: int) -> DataFrame:

@@ -165,7 +165,7 @@ def dup_factor(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
 STATE_CENTROIDS = {
     "Alabama": (32.799, -86.829), "Alaska": (61.385, -152.267), "Arizona": (33.729, -111.431),
     "Arkansas": (34.969, -92.373), "California": (36.117, -119.682), "Colorado": (39.059, -105.311),
-    "Connecticut": (41.598, -72.755), "Delaware": (39.319, -75.507), "District of Columbia": (38.907, -77.037),
+    "Connecticut": (41.598, -72.755), "Delaware": (39.319, -75.507),
     "Florida": (27.766, -81.686), "Georgia": (33.041, -83.643), "Hawaii": (21.095, -157.499),
     "Idaho": (44.240, -114.479), "Illinois": (40.350, -88.986), "Indiana": (39.850, -86.258),
     "Iowa": (42.011, -93.210), "Kansas": (38.526, -96.726), "Kentucky": (37.669, -84.670),
@@ -180,6 +180,7 @@ STATE_CENTROIDS = {
     "Tennessee": (35.747, -86.692), "Texas": (31.054, -97.563), "Utah": (40.150, -111.862),
     "Vermont": (44.045, -72.710), "Virginia": (37.769, -78.170), "Washington": (47.400, -121.490),
     "West Virginia": (38.491, -80.954), "Wisconsin": (44.268, -89.616), "Wyoming": (42.756, -107.302),
+    "District of Columbia": (38.907, -77.037),
 }
 EARTH_RADIUS_KM = 6371.0
 

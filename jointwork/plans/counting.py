@@ -7,10 +7,15 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from jointwork.model import KINDS, LEVELS
-from jointwork.operators import counts as c
+from jointwork.operators import counts as c, extract as ex
 from jointwork.plans.registry import register
 
 
+@register("membership", "SELECT wid, pid, is_ext, n_people, n_internal FROM fx_member")
+def _(t):
+    return ex.membership(t.matches, t.person).select("wid", "pid", "is_ext", "n_people", "n_internal")
+
+
 @register("ext_per_work", "SELECT wid, n_ext FROM fx_ext")
 def _(t):
     return c.ext_per_work(t.member)

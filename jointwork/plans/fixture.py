@@ -17,7 +17,7 @@ from jointwork.operators import extract as ex
 from jointwork.sources.writers import stored
 
 HOME = "HOME"
-_MEMBERS: dict[tuple[str, str], DataFrame] = {}
+_MEMBERS: dict[tuple, DataFrame] = {}
 
 
 @dataclass
@@ -28,6 +28,12 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def version(self, name: str) -> tuple:
+        """Files of a table with length and time, so that a changed table is not taken for the one read before."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{name}.parquet")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
+        return tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)
+
     @cached_property
     def person(self) -> DataFrame:
         k = F.col("s_suppkey")
@@ -80,12 +86,14 @@ class Tables:
 
     @cached_property
     def member(self) -> DataFrame:
-        """The membership table, built once per session and input folder.
+        """The membership table, built once per session and state of its input files.
 
         It is the stage table every other operator starts from; all queries
-        of a session read the written Parquet instead of joining again.
+        of a session read the written Parquet instead of joining again.  The
+        query ``membership`` builds it anew, so its cost is measured.
         """
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        inputs = tuple(self.version(name) for name in ("lineitem", "supplier"))
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, inputs)
         if key not in _MEMBERS:
             _MEMBERS[key] = stored(ex.membership(self.matches, self.person), "member")
         return _MEMBERS[key]

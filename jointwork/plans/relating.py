@@ -106,6 +106,19 @@ AND a IN (SELECT id FROM keep) AND b IN (SELECT id FROM keep)""", ctes=f"""keep
         return r.unit_graph(nodes, r.matrix(t.member, t.affil, "Department", level), n)
 
 
+def _graph_nodes(name, level, n):
+    @register(name, f"""SELECT id, works, CAST(greatest(0, total - {n}) AS BIGINT) AS dropped FROM (
+      SELECT id, works, COUNT(*) OVER () AS total, row_number() OVER (ORDER BY works DESC, id) AS rn FROM (
+        SELECT k.id, COUNT(DISTINCT p.wid) AS works FROM (
+          SELECT DISTINCT c.id FROM fx_cells c WHERE c.unit_kind = 'Department' AND c.level = '{level}') k
+        LEFT JOIN fx_pairs p ON p.id = k.id AND p.unit_kind = 'Department' AND p.level = '{level}' GROUP BY k.id)) WHERE rn <= {n}""")
+    def _(t):
+        cells = c.work_cells(t.member, t.affil, ["Department"], [level])
+        return r.graph_nodes(c.scope_rollup(cells).select("id", F.col("all_works").alias("works")), n)
+
+
+_graph_nodes("unit_graph_nodes_department", "department", 10)
+_graph_nodes("unit_graph_nodes_school", "college", 4)
 _graph("unit_graph_department", "department", 10)
 _graph("unit_graph_school", "college", 4)
 

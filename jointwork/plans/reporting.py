@@ -8,14 +8,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import functions as F
 
 from jointwork.functions.text import college_anchor_key, compact_unit, payload_filename, unit_anchor_key
 from jointwork.model import KINDS, TYPE_COLUMNS
-from jointwork.operators import counts as c, extract as ex, relations as r, reports as rp, trends as tr
+from jointwork.operators import counts as c, extract as ex, relations as r, reports as rp
 from jointwork.operators.skew import shared_dir
 from jointwork.plans.counting import entity_labels
-from jointwork.plans.fixture import HOME
 from jointwork.plans.networking import pair_counts
 from jointwork.plans.extracting import DETAILS_SQL, flat_fact
 from jointwork.plans.registry import register
