@@ -134,16 +134,24 @@ def person_graph(anchor_edges: DataFrame, visible: DataFrame) -> DataFrame:
 
 
 def person_graph_summary(anchor_edges: DataFrame, members: DataFrame, visible: DataFrame) -> DataFrame:
-    """Shown and dropped people per anchor."""
-    ends = both_ways(anchor_edges.select("anchor", "a", "b")).select("anchor", "pid").distinct()
+    """Shown and dropped people per anchor; partners are those of the shown anchor people."""
+    arcs = both_ways(anchor_edges.select("anchor", "a", "b"))
+    ends = arcs.select("anchor", "pid").distinct()
+    mine = visible.filter("role = 'anchor'").select("anchor", "pid")
+    partners = (
+        arcs.join(mine, ["anchor", "pid"], "left_semi").select("anchor", F.col("other").alias("pid")).distinct()
+        .join(mine, ["anchor", "pid"], "left_anti").groupBy("anchor").agg(F.count(F.lit(1)).alias("total_partners"))
+    )
     anchors = ends.join(members, ["anchor", "pid"], "left_semi").groupBy("anchor").agg(F.count(F.lit(1)).alias("total_anchors"))
     shown = visible.groupBy("anchor").agg(
         flag_sum(F.col("role") == "anchor").alias("shown_anchors"),
         flag_sum(F.col("role") == "partner").alias("shown_partners"),
     )
-    return anchors.join(shown, "anchor").select(
-        "anchor", "total_anchors", "shown_anchors", "shown_partners",
+    all_partners = F.coalesce("total_partners", F.lit(0))
+    return anchors.join(shown, "anchor").join(partners, "anchor", "left").select(
+        "anchor", "total_anchors", "shown_anchors", "shown_partners", all_partners.alias("total_partners"),
         (F.col("total_anchors") - F.col("shown_anchors")).alias("dropped_anchors"),
+        (all_partners - F.col("shown_partners")).alias("dropped_partners"),
     )
 
 
@@ -191,6 +199,22 @@ def compare_anchors(entries: DataFrame, wanted: DataFrame, scope_rels, limit: in
     )
 
 
+def compare_shared(compared: DataFrame) -> DataFrame:
+    """Partners of both sides by name: works of each side and together, and the nearer relation."""
+    return (
+        compared.groupBy("anchor_a", "anchor_b", "name")
+        .agg(F.sum("works_a").alias("works_a"), F.sum("works_b").alias("works_b"), F.min("rel").alias("rel"))
+        .filter("works_a > 0 and works_b > 0").withColumn("works", F.col("works_a") + F.col("works_b"))
+    )
+
+
+def compare_totals(compared: DataFrame) -> DataFrame:
+    """Shown entries and works per pair and side (shared, a, b)."""
+    return compared.groupBy("anchor_a", "anchor_b", "side").agg(
+        F.count(F.lit(1)).alias("entries"), F.sum("works_a").alias("works_a"), F.sum("works_b").alias("works_b")
+    )
+
+
 def shortest_paths(edges: DataFrame, requests: DataFrame) -> DataFrame:
     """Fewest-hop paths for a table of requests, each inside one anchor's edges.
 

@@ -107,8 +107,9 @@ def _(t):
 
 
 @register("person_graph_summary", """SELECT m.anchor, m.total_anchors, v.shown_anchors, v.shown_partners,
-m.total_anchors - v.shown_anchors AS dropped_anchors
+COALESCE(c.n, 0) AS total_partners, m.total_anchors - v.shown_anchors AS dropped_anchors, COALESCE(c.n, 0) - v.shown_partners AS dropped_partners
 FROM (SELECT anchor, COUNT(*) AS total_anchors FROM mine GROUP BY anchor) m
+LEFT JOIN (SELECT anchor, COUNT(*) AS n FROM cand GROUP BY anchor) c ON m.anchor = c.anchor
 JOIN (SELECT anchor, COUNT(CASE WHEN role = 'anchor' THEN 1 END) AS shown_anchors,
         COUNT(CASE WHEN role = 'partner' THEN 1 END) AS shown_partners FROM vis GROUP BY anchor) v ON m.anchor = v.anchor""",
           ctes=_VISIBLE)
@@ -137,26 +138,46 @@ def _(t):
     return n.connections(anchor_edges(t).select("anchor", "a", "b", "works", "rel"), 5)
 
 
-@register("compare_anchors", """SELECT COALESCE(a.anchor_a, b.anchor_a) AS anchor_a, COALESCE(a.anchor_b, b.anchor_b) AS anchor_b,
+_COMPARED = """SELECT COALESCE(a.anchor_a, b.anchor_a) AS anchor_a, COALESCE(a.anchor_b, b.anchor_b) AS anchor_b,
 COALESCE(a.name, b.name) AS name, COALESCE(a.rel, b.rel) AS rel,
 CASE WHEN a.works IS NOT NULL AND b.works IS NOT NULL THEN 'shared' WHEN a.works IS NOT NULL THEN 'a' ELSE 'b' END AS side,
 COALESCE(a.works, 0) AS works_a, COALESCE(b.works, 0) AS works_b
 FROM (SELECT w.anchor_a, w.anchor_b, k.name, k.rel, k.works FROM wanted w JOIN kept k ON k.anchor = w.anchor_a) a
 FULL JOIN (SELECT w.anchor_a, w.anchor_b, k.name, k.rel, k.works FROM wanted w JOIN kept k ON k.anchor = w.anchor_b) b
-ON a.anchor_a = b.anchor_a AND a.anchor_b = b.anchor_b AND a.name = b.name AND a.rel = b.rel""",
-          ctes="""kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY works DESC, name, rel) AS rn
+ON a.anchor_a = b.anchor_a AND a.anchor_b = b.anchor_b AND a.name = b.name AND a.rel = b.rel"""
+_COMPARE_CTES = """kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY works DESC, name, rel) AS rn
   FROM fx_entries) WHERE rn <= 12),
 wanted AS (SELECT unit AS anchor_a, partner AS anchor_b FROM (
   SELECT unit, partner, row_number() OVER (PARTITION BY unit ORDER BY works DESC, partner) AS rn FROM (
     SELECT a AS unit, b AS partner, works FROM fx_umatrix WHERE unit_kind = 'Department' AND level = 'department' AND a <> b
     UNION ALL SELECT b, a, works FROM fx_umatrix WHERE unit_kind = 'Department' AND level = 'department' AND a <> b)) WHERE rn = 1)
-""")
-def _(t):
+"""
+
+
+def compared(t, limit):
     entries = r.unit_partner_entries(t.member, t.affil, t.person)
     wanted = r.top_partners(r.matrix(t.member, t.affil, "Department"), 1).select(
         F.col("unit").alias("anchor_a"), F.col("partner").alias("anchor_b")
     )
-    return n.compare_anchors(entries, wanted, SCOPES["all"], 12)
+    return n.compare_anchors(entries, wanted, SCOPES["all"], limit)
+
+
+@register("compare_anchors", _COMPARED, ctes=_COMPARE_CTES)
+def _(t):
+    return compared(t, 12)
+
+
+@register("compare_shared", """SELECT anchor_a, anchor_b, name, CAST(SUM(works_a) AS BIGINT) AS works_a, CAST(SUM(works_b) AS BIGINT) AS works_b,
+MIN(rel) AS rel, CAST(SUM(works_a) + SUM(works_b) AS BIGINT) AS works FROM (""" + _COMPARED.replace("rn <= 12", "rn <= 100") + """)
+GROUP BY anchor_a, anchor_b, name HAVING SUM(works_a) > 0 AND SUM(works_b) > 0""", ctes=_COMPARE_CTES.replace("rn <= 12", "rn <= 100"))
+def _(t):
+    return n.compare_shared(compared(t, 100))
+
+
+@register("compare_totals", """SELECT anchor_a, anchor_b, side, COUNT(*) AS entries, CAST(SUM(works_a) AS BIGINT) AS works_a,
+CAST(SUM(works_b) AS BIGINT) AS works_b FROM (""" + _COMPARED + ") GROUP BY anchor_a, anchor_b, side", ctes=_COMPARE_CTES.replace("rn <= 12", "rn <= 100"))
+def _(t):
+    return n.compare_totals(compared(t, 100))
 
 
 @register("compare_hidden", """SELECT anchor, COUNT(*) AS eligible, least(COUNT(*), 12) AS shown,
