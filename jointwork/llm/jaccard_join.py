@@ -11,10 +11,10 @@
 3. Groups that share a prefix shingle are compared as a whole: sizes, places
    of the shared shingle, and single shingles bound the similarity.
 4. Groups are expanded and verified: first the smallest member of each group
-   against all members of its own and its partner groups; then, exactly, every
-   pair that is not yet linked through others.  Thus no link between texts of
-   different components is missed, and a large group of near copies does not
-   need all its pairs.
+   against its own members, and one hub per prefix shingle against all groups
+   there; then, exactly, every pair that the filters leave and that is not yet
+   linked through others.  Thus no link between texts of different components
+   is missed, and a large group of near copies does not need all its pairs.
 
 Rows are documents of their own also when ids repeat or are null; a component
 takes the smallest doc_id in it.  Null and empty texts have no shingles and no
@@ -32,12 +32,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from jointwork.llm.components import components
 from jointwork.llm.registry import register, table
+from jointwork.llm.remember import forget
 from jointwork.llm.rolling import mix, shingle_sets
 from jointwork.sources.writers import stored
 
 SIZE = 5
 PERCENT = 80
-BLOCK = 4096
+BLOCK = 1024
 #: A shingle is frequent if this share of the documents holds it, by blocks and in all; at most 2 / SHARE times the
 #: mean number of shingles of a document can be.
 SHARE = 0.01
@@ -48,6 +49,7 @@ MEMBERS = "node long, doc_id long, n long, single long, group_key long, same_set
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    forget()
     number = TaskContext.get().partitionId() << 24
     for batch in batches:
         for at in range(0, batch.num_rows, BLOCK):
@@ -55,8 +57,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
             number += 1
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [(t or "").encode() for t in batch.column("text").to_pylist()]
+def _sets(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
+    return shingle_sets([(t or "").encode() for t in batch.column("text").to_pylist()], size)
 
 
 def frequent_shingles(docs: DataFrame, size: int, share: float) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +70,7 @@ def frequent_shingles(docs: DataFrame, size: int, share: float) -> tuple[np.ndar
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, batch in _blocks(batches):
-            hashes, n = np.unique(shingle_sets(_texts(batch), size)[1], return_counts=True)
+            hashes, n = np.unique(_sets(batch, size)[1], return_counts=True)
             often = n >= max(8, share * batch.num_rows)
             yield pa.RecordBatch.from_pydict({"h": pa.array(hashes[often].view("i8")), "n": pa.array(n[often])})
 
@@ -89,7 +91,7 @@ def members(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, share: fl
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, _ = frequent.value
         for block, batch in _blocks(batches):
-            owner, h = shingle_sets(_texts(batch), size)
+            owner, h = _sets(batch, size)
             sizes = np.bincount(owner, minlength=batch.num_rows).astype("i8")
             at = np.searchsorted(often, h)
             is_often = (often[np.minimum(at, len(often) - 1)] == h) if len(often) else np.zeros(len(h), bool)
@@ -180,20 +182,46 @@ def _reach(n_a: Column, single_a: Column, n_b: Column, single_b: Column, percent
     return shared * 100 >= percent * F.greatest(n_a + single_b, n_b + single_a)
 
 
-def group_pairs(groups: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (ga < gb) of groups that pass all filters for one of their shared prefix shingles."""
-    tokens = groups.select("group_key", "n", "single", F.explode("prefix").alias("t")).select(
-        F.col("t.key").alias("key"), F.col("t.place").alias("place"), "group_key", "n", "single"
-    )
-    a, b = tokens.alias("a"), tokens.alias("b")
+def _fits(a: str, b: str, percent: int) -> Column:
+    """All filters for two groups at a shared prefix shingle: sizes, its places, single shingles."""
     col = F.col
-    least = F.ceil(F.lit(percent) * (col("a.n") + col("b.n")) / (100 + percent))
-    most = F.least(col("a.n") - col("a.place"), col("b.n") - col("b.place"))
-    fits = (
-        (col("a.key") == col("b.key")) & (col("a.group_key") < col("b.group_key"))
-        & (col("a.n") * 100 >= percent * col("b.n")) & (col("b.n") * 100 >= percent * col("a.n"))
-        & (most >= least) & _reach(col("a.n"), col("a.single"), col("b.n"), col("b.single"), percent)
+    least = F.ceil(F.lit(percent) * (col(f"{a}.n") + col(f"{b}.n")) / (100 + percent))
+    most = F.least(col(f"{a}.n") - col(f"{a}.place"), col(f"{b}.n") - col(f"{b}.place"))
+    return (
+        (col(f"{a}.n") * 100 >= percent * col(f"{b}.n")) & (col(f"{b}.n") * 100 >= percent * col(f"{a}.n"))
+        & (most >= least) & _reach(col(f"{a}.n"), col(f"{a}.single"), col(f"{b}.n"), col(f"{b}.single"), percent)
+    )
+
+
+def prefix_shingles(groups: DataFrame) -> DataFrame:
+    return groups.select("group_key", "pivot", "n", "single", F.explode("prefix").alias("t")).select(
+        F.col("t.key").alias("key"), F.col("t.place").alias("place"), "group_key", "pivot", "n", "single"
+    )
+
+
+def hub_pairs(tokens: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, gb): per prefix shingle the group with the fewest single shingles stands for a hub; its pivot a and the other groups gb."""
+    hub = tokens.groupBy("key").agg(F.min(F.struct("single", "pivot", "n", "place", "group_key")).alias("h"))
+    t, h = tokens.alias("t"), hub.select("key", "h.*").alias("h")
+    return (
+        t.join(h, (F.col("t.key") == F.col("h.key")) & (F.col("t.group_key") != F.col("h.group_key")) & _fits("t", "h", percent))
+        .select(F.col("h.pivot").alias("a"), F.col("t.group_key").alias("gb")).distinct()
     )
+
+
+def group_pairs(tokens: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (ga < gb) of groups that pass the filters and are not in one component yet.
+
+    ``tokens`` carry ``root``, the component of all members of the group, or
+    null if they are in several.  A shingle whose groups are all in one
+    component has no pair.
+    """
+    open_ = tokens.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("all"), F.count("root").alias("known"))
+    some = open_.filter("all > 1 and (known < all or lo <> hi)").select("key")
+    left = tokens.join(some, "key", "left_semi")
+    a, b, col = left.alias("a"), left.alias("b"), F.col
+    apart = col("a.root").isNull() | col("b.root").isNull() | (col("a.root") != col("b.root"))
+    fits = (col("a.key") == col("b.key")) & (col("a.group_key") < col("b.group_key")) & apart & _fits("a", "b", percent)
     return a.join(b, fits).select(col("a.group_key").alias("ga"), col("b.group_key").alias("gb")).distinct()
 
 
@@ -224,22 +252,23 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     slim = classes.select("node", "group_key")
     groups = classes.groupBy("group_key", "n", "single").agg(F.min("node").alias("pivot"), F.any_value("prefix").alias("prefix"))
     groups = stored(groups, "groups")
-    near = stored(group_pairs(groups, percent), "group-pairs")
-    both = near.unionByName(near.select(F.col("gb").alias("ga"), F.col("ga").alias("gb")))
-    possible = _reach(F.col("n"), F.col("single"), F.col("n"), F.col("single"), percent)
-    own = groups.filter(possible).select(F.col("group_key").alias("ga"), F.col("group_key").alias("gb"))
-    pivots = groups.select(F.col("group_key").alias("ga"), F.col("pivot").alias("a"))
+    tokens = prefix_shingles(groups)
     ordered = lambda df: df.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = stored(ordered(both.unionByName(own).join(pivots, "ga").join(slim.select(F.col("group_key").alias("gb"), F.col("node").alias("b")), "gb").select("a", "b")), "tried")
+    inner = groups.select(F.col("pivot").alias("a"), F.col("group_key").alias("gb"))
+    members_of = slim.select(F.col("group_key").alias("gb"), F.col("node").alias("b"))
+    tried = stored(ordered(hub_pairs(tokens, percent).unionByName(inner).join(members_of, "gb").select("a", "b")), "tried")
     links = stored(verify(tried, classes, percent), "star-links")
-    roots = components(links)
-    placed = stored(slim.join(roots, "node", "left").select("node", "group_key", F.coalesce("root", "node").alias("root")), "placed")
+    placed = slim.join(components(links), "node", "left").select("node", "group_key", F.coalesce("root", "node").alias("root"))
+    placed = stored(placed, "placed")
     # What is left: pairs between different components.  A group in one component has none within itself.
+    homes = placed.groupBy("group_key").agg(F.when(F.min("root") == F.max("root"), F.min("root")).alias("root"))
+    homes = stored(homes, "homes")
+    near = group_pairs(tokens.join(homes, "group_key"), percent)
+    own = homes.filter("root is null").select(F.col("group_key").alias("ga"), F.col("group_key").alias("gb"))
     left = placed.select(F.col("group_key").alias("ga"), F.col("node").alias("a"), F.col("root").alias("ra"))
-    right = placed.select(F.col("group_key").alias("gb"), F.col("node").alias("b"), F.col("root").alias("rb"))
-    apart = (
-        near.unionByName(own).join(left, "ga").join(right, "gb").filter("ra <> rb").select("a", "b")
-    )
+    right = placed.select(F.col("group_key").alias("g"), F.col("node").alias("b"), F.col("root").alias("rb"))
+    apart = near.unionByName(own).join(left, "ga")
+    apart = apart.join(right, (F.col("gb") == F.col("g")) & (F.col("ra") != F.col("rb"))).select("a", "b")
     rest = ordered(apart).join(tried, ["a", "b"], "left_anti")
     more = stored(verify(rest, classes, percent), "rest-links")
     final = components(links.unionByName(more))

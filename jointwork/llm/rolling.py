@@ -55,8 +55,24 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return spans(prefix_sums(data), begin, end), np.searchsorted(starts, begin, "right") - 1
 
 
-def shingle_sets(texts: list[bytes], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, shingle hash), distinct and sorted.  A text of fewer words is one shingle; no words, none."""
+def shingle_sets(texts: list[bytes], size: int = 5, at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, shingle hash), distinct and sorted.  A text of fewer words is one shingle; no words, none.
+
+    Some ``at_once`` bytes are worked on together, as the work needs many bytes per byte of text.
+    """
+    out, lo, held = [], 0, 0
+    for i, text in enumerate(texts):
+        held += len(text)
+        if held >= at_once or i == len(texts) - 1:
+            owners, hashes = _shingle_sets(texts[lo : i + 1], size)
+            out.append((owners + lo, hashes))
+            lo, held = i + 1, 0
+    if not out:
+        return np.zeros(0, "i8"), np.zeros(0, "u8")
+    return np.concatenate([o for o, _ in out]), np.concatenate([h for _, h in out])
+
+
+def _shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     words, owner = word_hashes([t.lower() for t in texts])
     if not len(words):
         return np.zeros(0, "i8"), np.zeros(0, "u8")
