@@ -59,17 +59,20 @@ def neighbours(docs: DataFrame) -> DataFrame:
     step = lambda by: F.pmod(F.col("rank") + by, F.lit(max(1, total)))
     earlier = ranked.select(step(1).alias("rank"), F.col("k").alias("previous_k"), F.floor(F.col("n") / 2).cast("int").alias("need"))
     later = ranked.select(step(-1).alias("rank"), F.col("k").alias("next_k"))
-    return ranked.join(earlier, "rank").join(later, "rank").select("k", "previous_k", "need", "next_k")
+    return ranked.join(earlier, "rank").join(later, "rank").select("k", "doc_id", "previous_k", "need", "next_k")
 
 
 def edited_pairs(docs: DataFrame, around: DataFrame) -> DataFrame:
-    """(k, doc_id, text, edited): texts move once whole and once by half."""
-    own = docs.select("doc_id", row_key("doc_id", "text").alias("k"), whole().alias("text"))
+    """(k, doc_id, text, edited): texts move once whole and once by half.
+
+    Both uses of ``own`` read the same columns, so that Spark shuffles it once.
+    """
+    own = docs.select(row_key("doc_id", "text").alias("k"), whole().alias("text"))
     heads = own.join(around.select("k", "previous_k", "need"), "k").select(
         F.col("previous_k").alias("k"), F.substring(F.col("text"), F.lit(1), F.col("need")).alias("head")
     )
     kept = F.length("text") - F.floor(F.length("text") / 2).cast("int")
-    both = own.join(around.select("k"), "k").join(heads, "k")
+    both = own.join(around.select("k", "doc_id"), "k").join(heads, "k")
     return both.select("k", "doc_id", "text", F.concat(F.substring(F.col("text"), F.lit(1), kept), F.col("head")).alias("edited"))
 
 
