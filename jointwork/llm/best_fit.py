@@ -31,12 +31,13 @@ from jointwork.sources.writers import stored
 CAPACITY = 4096
 END_ID = 1
 BUCKETS = 64
+REMEMBERED = 500_000
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, bucket int"
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(vocabulary, False), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(vocabulary, False, REMEMBERED), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = list(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("bucket").to_pylist()))
             for block in in_blocks(rows):

@@ -37,7 +37,7 @@ from jointwork.operators.skew import shared_dir
 from jointwork.sources.writers import stored
 
 BATCHES = 4
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Keys with more different runs than this are compared by Spark, window by window; the others within one task each.
 MANY_RUNS = 50_000
 

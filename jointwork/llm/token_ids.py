@@ -17,6 +17,8 @@ import struct
 from collections.abc import Iterable
 from itertools import chain
 
+from jointwork.llm.remember import held
+
 REMEMBERED = 1_200_000
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*#$%&|]*)")
 
@@ -43,13 +45,13 @@ class WordEncoder:
     files); otherwise white space has no ids at all.
     """
 
-    def __init__(self, path: str, keeps_space: bool):
+    def __init__(self, path: str, keeps_space: bool, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.keeps_space = keeps_space
+        self.keeps_space, self.remembered = keeps_space, remembered
         self.model = self.tokenizer.model.tokenize
         self.known: dict[str, bytes | None] = {}
         self.stems: dict[str, bytes] = {}
@@ -94,7 +96,7 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [self._words(t) for t in texts]
         new = set(chain.from_iterable(words)).difference(self.known)
-        if len(self.known) + len(self.stems) + len(new) > REMEMBERED:
+        if len(self.known) + len(self.stems) + len(new) > self.remembered:
             self.known.clear()
             self.stems.clear()
             new = set(chain.from_iterable(words))
@@ -106,15 +108,9 @@ class WordEncoder:
         return out
 
 
-_encoders: dict[tuple[str, bool], WordEncoder] = {}
-
-
-def encoder(path: str, keeps_space: bool) -> WordEncoder:
+def encoder(path: str, keeps_space: bool, remembered: int = REMEMBERED) -> WordEncoder:
     """One per worker process, so that remembered words serve later tasks too."""
-    key = (path, keeps_space)
-    if key not in _encoders:
-        _encoders[key] = WordEncoder(path, keeps_space)
-    return _encoders[key]
+    return held((path, keeps_space), lambda: WordEncoder(path, keeps_space, remembered))
 
 
 def in_blocks(rows: list, size: int = 256):

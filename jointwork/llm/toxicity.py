@@ -2,7 +2,7 @@
 
 The network (``toxicity_model``) is fitted in numpy on a bounded sample of the
 labelled documents: the ``TRAIN_DOCS`` with the smallest hash of their id,
-whole texts, without the held-out third (crc32 of the id as text, modulo 3, is
+whole texts of at most ``TRAIN_CHARS`` characters, without the held-out third (crc32 of the id as text, modulo 3, is
 1).  Labels, language, source and id are no inputs.  Scoring sees every word
 of every document in windows of 16 words that overlap by half; the highest
 window scores and the number of windows make the score.
@@ -17,6 +17,7 @@ no row.  Other columns are ignored, and ``keep_clean`` passes them through.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from jointwork.llm.registry import register, table
+from jointwork.llm.remember import held
 from jointwork.llm.token_ids import in_blocks
 from jointwork.llm.toxicity_model import Model, train
 
-TRAIN_DOCS = 4000
+TRAIN_DOCS = 3000
+TRAIN_CHARS = 65_536
 THRESHOLD = 0.7
 
 
@@ -43,7 +46,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, size: int = TRAIN_DOCS)
     )
     chosen = usable.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
     # At most ``size`` rows are broadcast, and as many texts come to the driver.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
+    rows = docs.select("doc_id", "text").filter(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return [r["text"] or "" for r in rows], [int(r["toxic"] > 0) for r in rows]
 
@@ -52,10 +55,10 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = TRAIN_DOCS) -> Model | f
     texts, toxic = training_sample(docs, labels, size)
     if min(toxic.count(0), toxic.count(1)) < 2:
         return sum(toxic) / len(toxic) if toxic else 0.0
-    return train(texts, toxic)
-
-
-_models: dict[str, Model] = {}
+    model = train(texts, toxic)
+    del texts
+    gc.collect()
+    return model
 
 
 def score(docs: DataFrame, model: Model | float, out: str = "score") -> DataFrame:
@@ -63,11 +66,10 @@ def score(docs: DataFrame, model: Model | float, out: str = "score") -> DataFram
     if not isinstance(model, Model):
         return docs.select("doc_id", F.lit(float(model)).alias(out))
     spark = docs.sparkSession
-    model.known, model.table = {}, model.table[:1]
-    sent, name = spark.sparkContext.broadcast(model), f"{spark.sparkContext.applicationId}-{id(model)}"
+    sent, name = spark.sparkContext.broadcast(model.copy()), f"{spark.sparkContext.applicationId}-{id(model)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = _models.setdefault(name, sent.value)  # remembered words serve later tasks of this worker
+        net = held(name, sent.value.copy)  # remembered words serve later tasks of this worker
         for batch in batches:
             for rows in in_blocks(list(range(batch.num_rows))):
                 part = batch.slice(rows[0], len(rows))
@@ -82,11 +84,10 @@ def keep_clean(docs: DataFrame, model: Model | float, threshold: float = THRESHO
     if not isinstance(model, Model):
         return docs if model < threshold else docs.limit(0)
     spark, columns = docs.sparkSession, docs.schema
-    model.known, model.table = {}, model.table[:1]
-    sent, name = spark.sparkContext.broadcast(model), f"{spark.sparkContext.applicationId}-{id(model)}"
+    sent, name = spark.sparkContext.broadcast(model.copy()), f"{spark.sparkContext.applicationId}-{id(model)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = _models.setdefault(name, sent.value)
+        net = held(name, sent.value.copy)
         at = columns.names.index("text")
         for batch in batches:
             for rows in in_blocks(list(range(batch.num_rows))):

@@ -23,7 +23,7 @@ NGRAMS = (3, 4, 5)
 FEATURES = 6
 #: Documents at the base rate that are added to each count.
 PRIOR = 4.0
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
@@ -60,22 +60,23 @@ class Evidence:
     @classmethod
     def count(cls, docs: Iterable[set[str]], labels: list[int]) -> "Evidence":
         n, k = np.zeros(BUCKETS, "f4"), np.zeros(BUCKETS, "f4")
-        word_n: dict[str, list[int]] = {}
+        word_n: dict[str, int] = {}
+        word_k: dict[str, int] = {}
         for cores, y in zip(docs, labels):
             seen = np.unique(ngram_buckets(sorted(cores))[1])
             n[seen] += 1
             k[seen] += y
             for c in cores:
-                pair = word_n.setdefault(c, [0, 0])
-                pair[0] += 1
-                pair[1] += y
+                word_n[c] = word_n.get(c, 0) + 1
+                if y:
+                    word_k[c] = word_k.get(c, 0) + 1
         rate = min(0.99, max(0.01, sum(labels) / max(1, len(labels))))
         base = np.log(rate / (1 - rate))
 
         def odds(n, k):
             return np.log((k + PRIOR * rate) / (n - k + PRIOR * (1 - rate))) - base
 
-        return cls({w: float(odds(a, b)) for w, (a, b) in word_n.items() if a > 1}, odds(n, k).astype("f4"))
+        return cls({w: float(odds(a, word_k.get(w, 0))) for w, a in word_n.items() if a > 1}, odds(n, k).astype("f4"))
 
     def features(self, toks: list[str]) -> np.ndarray:
         """Word evidence; largest n-gram evidence, mean of its positive part, mean; known or not; letters or not."""
@@ -239,6 +240,10 @@ class Model:
         self.known: dict[str, int] = {}
         self.table = np.zeros((1, FEATURES), "f4")
 
+    def copy(self) -> "Model":
+        """The same model that remembers no words yet."""
+        return Model(self.evidence, self.network, self.pooling)
+
     def _ids(self, lists: list[list[str]]) -> list[np.ndarray]:
         new = list({t for words in lists for t in words}.difference(self.known))
         if len(self.known) + len(new) > REMEMBERED:
@@ -280,8 +285,10 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 5, per_doc:
     rare word is not taken as proof of the label it was counted with.
     """
     rng = np.random.default_rng(seed)
-    lists = [tokens(t) for t in texts]
-    cores = [{core(t) for t in words} - {""} for words in lists]
+    one: dict[str, str] = {}  # each word once in memory
+    lists = [[one.setdefault(t, t) for t in tokens(text)] for text in texts]
+    bare = {t: one.setdefault(c, c) for t, c in [(t, core(t)) for t in one]}
+    cores = [{bare[t] for t in words} - {""} for words in lists]
     fold = np.arange(len(texts)) % 2
     pick = lambda xs, f: [x for x, g in zip(xs, fold) if g == f]
     network = Network(seed)
