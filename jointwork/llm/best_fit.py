@@ -31,7 +31,7 @@ from jointwork.sources.writers import stored
 CAPACITY = 4096
 END_ID = 1
 BUCKETS = 64
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, bucket int"
 
 

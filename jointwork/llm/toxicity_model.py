@@ -23,7 +23,7 @@ NGRAMS = (3, 4, 5)
 FEATURES = 6
 #: Documents at the base rate that are added to each count.
 PRIOR = 4.0
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
