@@ -26,16 +26,17 @@ BASE = [
     ("cc-by-nc", "cc", "cc by nc"),
 ]
 
-# Label, keyword, name as words, SPDX identifier as words, address as words.
+# Label, keywords (every match of the name holds one of them as a word), name as words, SPDX identifier
+# as words, address as words.
 FAMILIES = [
     ("mit", "mit", "mit", "mit", "opensource org licenses mit"),
     ("mit-0", "mit", "mit no attribution", "mit 0", "opensource org licenses mit 0"),
     ("apache-1.1", "apache", "apache(?: software)? license(?: version)? 1 1", "apache 1 1", "apache org licenses license 1 1"),
     ("apache-2", "apache", "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?", "apache 2 0", "apache org licenses license 2 0"),
-    ("bsd-2", "bsd", "(?:simplified bsd|bsd 2 clause|freebsd)", "bsd 2 clause", "opensource org licenses bsd 2 clause"),
+    ("bsd-2", "bsd freebsd", "(?:simplified bsd|bsd 2 clause|freebsd)", "bsd 2 clause", "opensource org licenses bsd 2 clause"),
     ("bsd-3", "bsd", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause)", "bsd 3 clause", "opensource org licenses bsd 3 clause"),
     ("bsd-4", "bsd", "(?:original bsd|bsd 4 clause)", "bsd 4 clause", "spdx org licenses bsd 4 clause"),
-    ("bsd-0", "0bsd", "zero clause bsd", "0bsd", "opensource org licenses 0bsd"),
+    ("bsd-0", "zero", "zero clause bsd", "0bsd", "opensource org licenses 0bsd"),
     ("gpl-1", "general", "gnu general public license(?: version)? 1(?: 0)?", "gpl 1 0(?: only| or later)?", "gnu org licenses old licenses gpl 1 0"),
     ("gpl-2", "general", "gnu general public license(?: version)? 2(?: 0)?", "gpl 2 0(?: only| or later)?", "gnu org licenses old licenses gpl 2 0"),
     ("gpl-3", "general", "gnu general public license(?: version)? 3(?: 0)?", "gpl 3 0(?: only| or later)?", "gnu org licenses gpl 3 0"),
@@ -50,7 +51,7 @@ FAMILIES = [
     ("mpl-2", "mozilla", "mozilla public license(?: version)? 2(?: 0)?", "mpl 2 0", "mozilla org mpl 2 0"),
     ("epl-1", "eclipse", "eclipse public license(?: version)? 1(?: 0)?", "epl 1 0", "eclipse org legal epl v10"),
     ("epl-2", "eclipse", "eclipse public license(?: version)? 2(?: 0)?", "epl 2 0", "eclipse org legal epl 2 0"),
-    ("cddl-1", "cddl", "common development and distribution license(?: version)? 1(?: 0)?", "cddl 1 0", "opensource org licenses cddl 1 0"),
+    ("cddl-1", "distribution", "common development and distribution license(?: version)? 1(?: 0)?", "cddl 1 0", "opensource org licenses cddl 1 0"),
     ("eupl-1.2", "european", "european union public licen[cs]e(?: version)? 1 2", "eupl 1 2", "joinup ec europa eu eupl 1 2"),
     ("isc", "isc", "isc", "isc", "opensource org licenses isc"),
     ("zlib", "zlib", "zlib(?: libpng)?", "zlib", "opensource org licenses zlib"),
@@ -62,19 +63,19 @@ FAMILIES = [
     ("php-3", "php", "php license(?: version)? 3(?: 01)?", "php 3 01", "php net license 3 01"),
     ("postgresql", "postgresql", "postgresql", "postgresql", "postgresql org about licence"),
     ("ofl-1.1", "sil", "sil open font license(?: version)? 1 1", "ofl 1 1", "scripts sil org ofl"),
-    ("odbl-1", "odbl", "open database license(?: version)? 1(?: 0)?", "odbl 1 0", "opendatacommons org licenses odbl"),
-    ("odc-by-1", "odc", "open data commons attribution license(?: version)? 1(?: 0)?", "odc by 1 0", "opendatacommons org licenses by"),
-    ("pddl-1", "pddl", "public domain dedication and license(?: version)? 1(?: 0)?", "pddl 1 0", "opendatacommons org licenses pddl"),
+    ("odbl-1", "database", "open database license(?: version)? 1(?: 0)?", "odbl 1 0", "opendatacommons org licenses odbl"),
+    ("odc-by-1", "commons", "open data commons attribution license(?: version)? 1(?: 0)?", "odc by 1 0", "opendatacommons org licenses by"),
+    ("pddl-1", "dedication", "public domain dedication and license(?: version)? 1(?: 0)?", "pddl 1 0", "opendatacommons org licenses pddl"),
     ("cc0-1", "cc0", "(?:creative commons )?cc0(?: 1 0)?(?: universal)?", "cc0 1 0", "creativecommons org publicdomain zero 1 0"),
-    ("cc-by", "cc", "(?:cc by|creative commons attribution)(?: [234] [05])?(?: international)?", "cc by [234] [05]", "creativecommons org licenses by [234] [05]"),
-    ("cc-by-sa", "cc", "(?:cc by sa|creative commons attribution share ?alike)(?: [234] [05])?", "cc by sa [234] [05]", "creativecommons org licenses by sa [234] [05]"),
-    ("cc-by-nd", "cc", "(?:cc by nd|creative commons attribution no ?deriv(?:s|atives))(?: [234] [05])?", "cc by nd [234] [05]", "creativecommons org licenses by nd [234] [05]"),
-    ("cc-by-nc", "cc", "(?:cc by nc|creative commons attribution non ?commercial)(?: [234] [05])?", "cc by nc [234] [05]", "creativecommons org licenses by nc [234] [05]"),
-    ("cc-by-nc-sa", "cc", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [234] [05])?", "cc by nc sa [234] [05]", "creativecommons org licenses by nc sa [234] [05]"),
-    ("cc-by-nc-nd", "cc", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:s|atives))(?: [234] [05])?", "cc by nc nd [234] [05]", "creativecommons org licenses by nc nd [234] [05]"),
+    ("cc-by", "cc commons", "(?:cc by|creative commons attribution)(?: [234] [05])?(?: international)?", "cc by [234] [05]", "creativecommons org licenses by [234] [05]"),
+    ("cc-by-sa", "cc commons", "(?:cc by sa|creative commons attribution share ?alike)(?: [234] [05])?", "cc by sa [234] [05]", "creativecommons org licenses by sa [234] [05]"),
+    ("cc-by-nd", "cc commons", "(?:cc by nd|creative commons attribution no ?deriv(?:s|atives))(?: [234] [05])?", "cc by nd [234] [05]", "creativecommons org licenses by nd [234] [05]"),
+    ("cc-by-nc", "cc commons", "(?:cc by nc|creative commons attribution non ?commercial)(?: [234] [05])?", "cc by nc [234] [05]", "creativecommons org licenses by nc [234] [05]"),
+    ("cc-by-nc-sa", "cc commons", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [234] [05])?", "cc by nc sa [234] [05]", "creativecommons org licenses by nc sa [234] [05]"),
+    ("cc-by-nc-nd", "cc commons", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:s|atives))(?: [234] [05])?", "cc by nc nd [234] [05]", "creativecommons org licenses by nc nd [234] [05]"),
     ("public-domain", "domain", "public domain", "nlod public domain", "creativecommons org publicdomain mark 1 0"),
     ("elastic-2", "elastic", "elastic license(?: version)? 2(?: 0)?", "elastic 2 0", "elastic co licensing elastic license"),
-    ("sspl-1", "sspl", "server side public license(?: version)? 1", "sspl 1 0", "mongodb com licensing server side public license"),
+    ("sspl-1", "side", "server side public license(?: version)? 1", "sspl 1 0", "mongodb com licensing server side public license"),
     ("busl-1.1", "business", "business source license(?: version)? 1 1", "busl 1 1", "mariadb com bsl11"),
     ("proprietary", "reserved", "all rights reserved", "licenseref proprietary", "licenseref proprietary terms"),
 ]
@@ -98,15 +99,12 @@ def rules() -> list[Rule]:
     """In order: an earlier rule wins where two match the same words."""
     out = []
     for statement, priority, score in STATEMENTS:
-        for label, keyword, name, identifier, address in FAMILIES:
+        for label, keywords, name, identifier, address in FAMILIES:
             if statement == "{n}" and name in ORDINARY:
                 continue
             pattern = statement.replace("{n}", f"(?:{name})").replace("{i}", f"(?:{identifier})").replace("{a}", f"(?:{address})")
-            keys = [keyword]
-            if statement.startswith("(?:spdx") or "{a}" in statement:  # identifiers and addresses have words of their own
-                words = (identifier if "{i}" in statement else address).split(" ")
-                keys = [words[0]] if not any(c in words[0] for c in "(?[") else keys
-            elif keyword == "cc" and "creative commons" in name:
-                keys = ["cc", "commons"]
+            keys = keywords.split(" ")
+            if "{i}" in statement or "{a}" in statement:  # identifiers and addresses begin with a fixed word
+                keys = [(identifier if "{i}" in statement else address).split(" ")[0]]
             out += [Rule(label, key, rf"(?<= ){pattern}(?= )", priority, score) for key in keys]
     return out

@@ -66,3 +66,47 @@ def test_suppression(spark):
             ("t", 5, "same", 4, 0.9, 0, 9), ("t", 6, "base", 9, 1.0, 4, 6)]
     found = spark.createDataFrame([(1, 1, *r[1:]) for r in rows], "doc_id long, k long, rule int, label string, priority int, score double, first long, last long")
     assert sorted(r["label"] for r in suppress(found).collect()) == ["base", "big", "higher", "over"]
+
+
+def examples(tree):
+    """Texts of a parsed pattern: each branch, each repeat at its least and most, each character set by its first."""
+    out = [""]
+    for op, value in tree:
+        op = str(op)
+        if op == "LITERAL":
+            parts = [chr(value)]
+        elif op == "IN":
+            parts = [chr(value[0][1])]
+        elif op == "BRANCH":
+            parts = [x for branch in value[1] for x in examples(branch)]
+        elif op == "SUBPATTERN":
+            parts = examples(value[3])
+        elif op == "MAX_REPEAT":
+            inner = examples(value[2])
+            parts = ["", *inner] if value[0] == 0 else inner
+        else:
+            assert op == "ASSERT"
+            parts = [""]
+        longest = max(len(out), len(parts))
+        out = [x + p for x in out for p in parts] if len(out) * len(parts) <= 64 else [out[i % len(out)] + parts[i % len(parts)] for i in range(longest)]
+    return out
+
+
+def test_every_match_of_a_rule_passes_its_gate():
+    keys = {}
+    for r in rules():
+        keys.setdefault((r.label, r.pattern), set()).add(r.keyword)
+    for (label, pattern), some in keys.items():
+        for text in examples(re._parser.parse(pattern)):
+            assert re.search(pattern, f" {text.strip()} "), (label, pattern, text)
+            assert some & set(text.split()), (label, some, text)
+
+
+def test_names_without_their_acronym(spark):
+    texts = {
+        "bsd-2": "released under the FreeBSD license", "bsd-0": "licensed under the Zero-Clause BSD license", "odbl-1": "licensed under the Open Database License 1.0",
+        "cddl-1": "the Common Development and Distribution License 1.0", "odc-by-1": "under the Open Data Commons Attribution License 1.0",
+        "pddl-1": "Public Domain Dedication and License 1.0", "sspl-1": "available under the Server Side Public License, version 1",
+    }
+    got = {r["doc_id"]: r["labels"].split(",") for r in scan(frame(spark, enumerate(texts.values()))).collect()}
+    assert all(label in got[i] for i, label in enumerate(texts))
