@@ -33,7 +33,8 @@ from jointwork.llm.registry import register, table
 from jointwork.operators.skew import shared_dir
 
 VERSION = b"WARC/1.1\r\n"
-HEAD_BYTES = 65_536
+VERSIONS = (b"WARC/1.0\r\n", VERSION)
+HEAD_BYTES = 65_536  # read at a time while the end of headers is sought
 STEP = 1 << 20
 MANIFEST = "path string, records long, bytes long"
 RECORDS = (
@@ -142,9 +143,9 @@ def _inflate(read: Callable[[int, int], bytes], at: int, size: int, most: int |
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and length of the record at the start of ``data``."""
-    if not data.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n")):
+    if not data.startswith(VERSIONS):
         raise Damaged("no version line")
-    stop = data.find(b"\r\n\r\n", 0, HEAD_BYTES)
+    stop = data.find(b"\r\n\r\n")
     if stop < 0:
         raise Damaged("no end of headers")
     headers = {}
@@ -166,14 +167,33 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int]:
     return headers, block, end + 4
 
 
+def _head(read: Callable[[int, int], bytes], at: int, size: int) -> bytes:
+    """Version line and headers at ``at``, read on in steps until they end or a line is no header."""
+    head, line = bytearray(), len(VERSION)
+    while True:
+        seen = len(head)
+        head += read(at + seen, min(HEAD_BYTES, size - at - seen))
+        if not head.startswith(VERSIONS):
+            raise Damaged("no version line")
+        stop = head.find(b"\r\n\r\n", max(seen - 3, 0))
+        if stop >= 0:
+            return bytes(head[:stop])
+        if len(head) == seen:
+            raise Damaged("no end of headers")
+        last = head.rfind(b"\r\n", line)
+        if last >= 0:
+            if any(b":" not in x for x in head[line:last].split(b"\r\n")):
+                raise Damaged("header line without colon")
+            line = last + 2
+
+
 def _plain(read: Callable[[int, int], bytes], at: int, size: int) -> tuple[dict[str, str], bytes, int]:
     """An uncompressed record: headers first, then as much as they say."""
-    head = read(at, min(HEAD_BYTES, size - at))
-    stop = head.find(b"\r\n\r\n")
-    length = next((v.strip() for n, _, v in (x.partition(b":") for x in head[: max(stop, 0)].split(b"\r\n")) if n.lower() == b"content-length"), b"")
-    if stop < 0 or not length.isdigit() or int(length) > size - at:
-        raise Damaged("no end of headers" if stop < 0 else "length")
-    headers, block, used = parse_record(read(at, stop + 8 + int(length)))
+    head = _head(read, at, size)
+    length = next((v.strip() for n, _, v in (x.partition(b":") for x in head.split(b"\r\n")) if n.lower() == b"content-length"), b"")
+    if not length.isdigit() or int(length) > size - at:
+        raise Damaged("length")
+    headers, block, used = parse_record(read(at, len(head) + 8 + int(length)))
     return headers, block, at + used
 
 

@@ -62,3 +62,27 @@ def test_all_damaged_and_empty():
     assert [x[:2] for x in read(b"nothing here" * 100)] == [(0, 1200)]
     member = warc.gzip_member(warc.record_bytes(1, None, b"", None))
     assert [x[2] for x in read(member)] == [None]
+
+
+def test_headers_of_any_length(spark):
+    urls = ["data:text/plain," + "a" * n for n in (65_000, 65_536, 70_000, 200_000)] + ["u"]
+    plain = [warc.record_bytes(i, url, b"body" * 50, None) for i, url in enumerate(urls)]
+    for records in (plain, [warc.gzip_member(p) for p in plain]):
+        found = read(b"".join(records))
+        assert [(p, h["warc-target-uri"]) for *_, p, h, _ in found] == [(None, url) for url in urls]
+    bare = warc.record_bytes(3, "", b"x", None).index(b"\r\n\r\n")
+    for n in range(6):  # the end of headers lies across the end of a step
+        url = "u" * (4 * warc.HEAD_BYTES - bare - 5 + n)
+        assert [(p, len(h["warc-target-uri"])) for *_, p, h, _ in read(warc.record_bytes(3, url, b"x", None))] == [(None, len(url))]
+    files = warc.write_archives(pages(spark, [(i, url, f"html {i}") for i, url in enumerate(urls)]), shared_dir(spark, "test-warc"))
+    assert sorted((r["record_id"], r["problem"]) for r in warc.read_archives(files).collect()) == [(warc.page_urn(i), None) for i in range(len(urls))]
+
+
+def test_a_version_line_without_headers_is_left_soon():
+    asked = []
+    data = b"WARC/1.1\r\nno header\r\n" + b"x" * 1_000_000
+    try:
+        warc.record_at(lambda at, n: asked.append(n) or data[at : at + n], 0, len(data))
+    except warc.Damaged as error:
+        assert str(error) == "header line without colon"
+    assert sum(asked) < 2 * warc.HEAD_BYTES
