@@ -4,12 +4,17 @@ Base spans are the leftmost non-overlapping matches of a pattern per kind;
 matches that fail their check (number range, digits, Luhn) are dropped.
 
 Bootstrapping then looks for identifiers of unknown form.  Seeds (base spans)
-and other tokens with digits stand in contexts: the words just left and right
-of them.  Patterns (contexts) and instances (token texts) form a graph, which
-is scored in turns: a pattern is as good for a kind as the share of its
-instances that are known for the kind; an instance is unknown to the degree
-that all its patterns fail.  Tokens whose score passes ``ACCEPT`` through
-patterns with enough different seeds become spans of kind ``context_<kind>``.
+stand in contexts: the words just left and right of them in the text.
+Contexts of enough different seeds are patterns; their instances are seeds,
+tokens with digits, and whatever other token of any document stands in their
+place (a run between delimiters, or a run between white space with delimiters
+inside).  The graph of patterns and instances is scored in turns: a pattern is
+as good for a kind as the share of its instances that are known for the kind;
+an instance is unknown to the degree that all its patterns fail.  Tokens with
+digits whose score passes ``ACCEPT`` become spans of kind ``context_<kind>``
+wherever they stand.  The other tokens can be ordinary words, which meet many
+weak patterns, so they become spans only in places whose own patterns pass
+``ACCEPT``; a span inside another one of them goes.
 
 Null text counts as empty (no spans).  Rows equal in doc_id and text are one
 row; a null doc_id is kept.  An empty table gives no row.  Other columns are
@@ -37,6 +42,11 @@ PATTERNS = [
     r"\+[0-9][ ().0-9-]+[0-9]",
 ]
 TOKEN = r"(?<![^\s=:\"'<>,;()\[\]{}])[^\s0-9=:\"'<>,;()\[\]{}]*+[0-9][^\s=:\"'<>,;()\[\]{}]*+"
+# Characters that end a token, and tokens of any form: between them, or between white space without them at its ends.
+STOPS = r"\s=:\"'<>,;()\[\]{}"
+RUN = rf"[^{STOPS}]++"
+WIDE = rf"[^{STOPS}](?:\S*[^{STOPS}])?"
+BLOCK = 1024
 ROUNDS = 3
 ACCEPT = 0.75
 SEEDS = 3
@@ -106,14 +116,62 @@ def _patterns() -> Column:
     return F.array_compact(F.array(F.when(left != "", F.concat(F.lit("<"), left)), F.when(right != "", F.concat(F.lit(">"), right))))
 
 
-def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def _ends(lengths: Column) -> Column:
+    """Running sums, from 0; quadratic in the array, which is short."""
+    return F.aggregate(lengths, F.array(F.lit(0)), lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n)))
+
+
+def _tokens(docs: DataFrame, token: str, inside: str) -> DataFrame:
+    """All matches of ``token``, which has characters of ``inside`` only, with places and contexts.
+
+    Texts are cut into blocks that end where a run of ``inside`` ends, so a
+    token lies in one block and places are counted within short arrays.
+    """
+    text = docs.select("doc_id", row_key("doc_id", "text").alias("k"), whole().alias("text"))
+    blocks = text.select("doc_id", "k", F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{BLOCK}}}+{inside}*+"), F.lit(0)).alias("bs"))
+    blocks = blocks.select("doc_id", "k", "bs", _ends(F.transform("bs", F.length)).alias("at"))
+    side = lambda b, i: F.struct(
+        F.get("at", i).alias("at"), b.alias("block"), F.right(F.coalesce(F.get("bs", i - 1), F.lit("")), F.lit(CONTEXT)).alias("before"),
+        F.substring(F.coalesce(F.get("bs", i + 1), F.lit("")), 1, CONTEXT).alias("after"),
+    )
+    one = blocks.select("doc_id", "k", F.explode(F.transform("bs", side)).alias("b")).select("doc_id", "k", "b.*")
+    one = one.withColumn("found", F.regexp_extract_all("block", F.lit(token), F.lit(0))).withColumn("gaps", F.split("block", F.lit(token), -1))
+    one = one.withColumn("ends", _ends(F.transform(F.arrays_zip("gaps", "found"), lambda x: F.length(x["gaps"]) + F.coalesce(F.length(x["found"]), F.lit(0)))))
+    each = one.select("doc_id", "k", "at", "block", "before", "after", "ends", F.posexplode("found").alias("_i", "match")).withColumn("_end", F.get("ends", F.col("_i") + 1))
+    start = F.col("_end") - F.length("match")
+    near = F.greatest(F.lit(0), start - CONTEXT)
+    return each.select(
+        "doc_id", "k", (F.col("at") + start).cast("long").alias("start"), (F.col("at") + F.col("_end")).cast("long").alias("end"), "match",
+        F.right(F.concat("before", F.substring(F.col("block"), near + 1, start - near)), F.lit(CONTEXT)).alias("left"),
+        F.substring(F.concat(F.substring(F.col("block"), F.col("_end") + 1, F.lit(CONTEXT)), "after"), 1, CONTEXT).alias("right"),
+    )
+
+
+def others(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Tokens (kind 10) without digits, or with delimiters inside, that stand in the place of one of ``patterns``; columns of ``places``."""
+    runs = _tokens(docs, RUN, f"[^{STOPS}]").filter(~F.rlike(F.col("match"), F.lit("[0-9]")))
+    wide = _tokens(docs, WIDE, r"\S").filter(F.rlike(F.col("match"), F.lit(f"[{STOPS}]")))
+    some = runs.unionByName(wide).withColumn("pattern", F.explode(_patterns()))
+    return (
+        some.join(small(patterns, SMALL_ROWS), "pattern", "left_semi")
+        .select("doc_id", "k", F.lit(10).alias("kind"), "start", "end", "match", "left", "right").distinct()
+    )
+
+
+def bootstrap(found: DataFrame, docs: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
     """Tokens that contexts mark as identifiers: (doc_id, k, kind, start, end) with kind 4 + base kind.
 
-    All tables here are as small as the number of identifiers; patterns are
-    aggregated before they meet their instances, so a common context is one
-    row on its side of each join.
+    ``found`` are the ``places`` of ``docs``; without ``docs`` only tokens with digits are candidates.
+    All tables here are as small as the number of identifiers and of places
+    like theirs; patterns are aggregated before they meet their instances, so
+    a common context is one row on its side of each join.
     """
     is_base = F.col("kind") < 9
+    instance = F.xxhash64(F.lower("match")).alias("instance")
+    learned = found.filter(is_base).select("kind", instance, F.explode(_patterns()).alias("pattern")).distinct()
+    n_seeds = stored(learned.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds")).filter(F.col("seeds") >= SEEDS), "patterns")
+    if docs is not None:
+        found = found.unionByName(others(docs, n_seeds.select("pattern").distinct()))
     near = Window.partitionBy("k").orderBy("start", "kind")
     before = near.rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("k").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
@@ -122,18 +180,17 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         .withColumn("_from", F.min(F.when(is_base, F.col("start"))).over(after))
         .filter(is_base | ((F.col("_to") <= F.col("start")) & (F.col("_from").isNull() | (F.col("_from") >= F.col("end")))))
     )
-    spots = stored(free.select("doc_id", "k", "kind", "start", "end", F.xxhash64(F.lower("match")).alias("instance"), _patterns().alias("patterns")), "spots")
+    spots = stored(free.select("doc_id", "k", "kind", "start", "end", instance, _patterns().alias("patterns")), "spots")
     edges = stored(spots.select(F.explode("patterns").alias("pattern"), "instance", "kind").distinct(), "edges")
     seeds = edges.filter(is_base).select("instance", "kind").distinct()
     links = edges.select("pattern", "instance").distinct()
     n_instances = links.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    n_seeds = edges.filter(is_base).groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds"))
-    good = n_seeds.filter(F.col("seeds") >= SEEDS).join(n_instances, "pattern")
+    good = n_seeds.join(n_instances, "pattern")
     scores = seeds.withColumn("score", F.lit(1.0))
+    missed = F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("trust")))))
     for _ in range(rounds):
         known = links.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("known"))
-        trust = good.join(known, ["pattern", "kind"]).select("pattern", "kind", (F.col("known") / (F.col("n") + 1)).alias("trust"))
-        missed = F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("trust")))))
+        trust = stored(good.join(known, ["pattern", "kind"]).select("pattern", "kind", (F.col("known") / (F.col("n") + 1)).alias("trust")), "trust")
         reached = links.join(trust, "pattern").groupBy("instance", "kind").agg((1 - missed).alias("reach"))
         scores = stored(
             reached.join(seeds.withColumn("seed", F.lit(1.0)), ["instance", "kind"], "full")
@@ -144,7 +201,17 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         scores.join(seeds.select("instance").distinct(), "instance", "left_anti").filter(F.col("score") >= ACCEPT)
         .withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("instance", (F.col("kind") + len(KINDS)).alias("as_kind"))
     )
-    return spots.filter("kind = 9").join(chosen, "instance").select("doc_id", "k", F.col("as_kind").alias("kind"), "start", "end")
+    digits = spots.filter("kind = 9").join(chosen, "instance").select("doc_id", "k", F.col("as_kind").alias("kind"), "start", "end")
+    place = ["doc_id", "k", "start", "end"]
+    words = (
+        spots.filter("kind = 10").select(*place, F.explode("patterns").alias("pattern")).join(trust, "pattern")
+        .groupBy(*place, "kind").agg((1 - missed).alias("score")).filter(F.col("score") >= ACCEPT)
+        .withColumn("_r", F.row_number().over(Window.partitionBy(*place).orderBy(F.desc("score"), "kind"))).filter("_r = 1")
+        .select("doc_id", "k", (F.col("kind") + len(KINDS)).alias("kind"), "start", "end")
+    )
+    outer = Window.partitionBy("doc_id", "k").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    every = digits.unionByName(words).withColumn("_reach", F.coalesce(F.max("end").over(outer), F.lit(-1)))
+    return every.filter(F.col("_reach") < F.col("end")).drop("_reach")
 
 
 def kind_name(kind: Column) -> Column:
@@ -156,7 +223,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, k, kind, start, end) of base spans and of those found through contexts."""
     found = stored(places(docs), "places")
     base = found.filter("kind < 9").select("doc_id", "k", "kind", "start", "end")
-    return stored(base.unionByName(bootstrap(found)), "spans")
+    return stored(base.unionByName(bootstrap(found, docs)), "spans")
 
 
 def redact(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -69,3 +69,14 @@ def test_empty(spark):
     assert find_spans(docs).count() == 0 and bootstrap(places(docs)).count() == 0
     assert redact(docs.limit(0), find_spans(docs.limit(0))).count() == 0
     assert len(KINDS) == 4
+
+
+def test_identifiers_without_digits(spark):
+    rows = [(i, f"some words {i} then write to user{i}@mail{i}.example.com for more") for i in range(30)]
+    rows += [(100, "please write to jane.doe(at)corp for more"), (101, "please write to janedoe for more"), (102, "janedoe stands alone here")]
+    rows += [(103, "filler (words) " * 400 + "write to älice_b for more" + " filler" * 300)]
+    docs = frame(spark, rows)
+    spans = find_spans(docs)
+    texts = dict(rows)
+    new = {(r["doc_id"], r["kind"], texts[r["doc_id"]][r["start"] : r["end"]]) for r in spans.filter("kind > 3").collect()}
+    assert new == {(100, 4, "jane.doe(at)corp"), (101, 4, "janedoe"), (103, 4, "älice_b")}
