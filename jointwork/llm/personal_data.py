@@ -75,11 +75,29 @@ def _valid(kind: str, match: Column) -> Column:
 
 
 def _found(text: Column, pattern: str) -> Column:
-    """Matches with the text before and the start of the text after each."""
+    """Matches with the text before each, and ``CONTEXT`` characters of the whole text left and right of it.
+
+    A match has a character at least, so as many neighbours as ``CONTEXT`` are enough to fill it.
+    """
     pieces = F.split(text, F.lit(pattern), -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    after = F.transform(F.slice(pieces, F.lit(2), F.size(found)), lambda p: F.substring(p, 1, CONTEXT))
-    return F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("before"), found.alias("match"), after.alias("after"))
+    both = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("before"), found.alias("match"), F.slice(pieces, F.lit(2), F.size(found)).alias("after"))
+    head = lambda x: F.substring(x, 1, CONTEXT)
+    tail = lambda x: F.right(x, F.lit(CONTEXT))
+
+    def around(m: Column, i: Column, all_: Column) -> Column:
+        earlier = F.slice(all_, F.greatest(F.lit(1), i + 1 - CONTEXT), F.least(i, F.lit(CONTEXT)))
+        left = F.concat(F.array_join(F.transform(earlier, lambda e: F.concat(tail(e["before"]), tail(e["match"]))), ""), tail(m["before"]))
+        later = F.slice(all_, i + 2, F.lit(CONTEXT))
+        right = F.concat(head(m["after"]), F.array_join(F.transform(later, lambda e: F.concat(head(e["match"]), head(e["after"]))), ""))
+        return F.struct(
+            m["match"].alias("match"), F.length(m["before"]).alias("gap"),
+            F.when(F.length(m["before"]) < CONTEXT, tail(left)).otherwise(tail(m["before"])).alias("left"),
+            F.when(F.length(m["after"]) < CONTEXT, head(right)).otherwise(head(m["after"])).alias("right"),
+        )
+
+    # The array is bound once by a transform over one element.
+    return F.flatten(F.transform(F.array(both), lambda all_: F.transform(all_, lambda m, i: around(m, i, all_))))
 
 
 def places(docs: DataFrame) -> DataFrame:
@@ -97,8 +115,7 @@ def places(docs: DataFrame) -> DataFrame:
         .select("doc_id", "k", F.explode(found).alias("f")).select("doc_id", "k", "f.kind", "f.found").filter(F.size("found") > 0)
     )
     rows = some.select("doc_id", "k", "kind", F.posexplode("found").alias("_i", "_m")).select(
-        "doc_id", "k", "kind", "_i", F.col("_m.match").alias("match"), F.length("_m.before").alias("gap"), F.length("_m.match").alias("len"),
-        F.right(F.col("_m.before"), F.lit(CONTEXT)).alias("left"), F.col("_m.after").alias("right"),
+        "doc_id", "k", "kind", "_i", "_m.match", "_m.gap", F.length("_m.match").alias("len"), "_m.left", "_m.right",
     ).repartition("k").dropDuplicates(["doc_id", "k", "kind", "_i"])
     upto = Window.partitionBy("k", "kind").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(upto).cast("long")).withColumn("start", F.col("end") - F.col("len"))

@@ -80,3 +80,13 @@ def test_identifiers_without_digits(spark):
     texts = dict(rows)
     new = {(r["doc_id"], r["kind"], texts[r["doc_id"]][r["start"] : r["end"]]) for r in spans.filter("kind > 3").collect()}
     assert new == {(100, 4, "jane.doe(at)corp"), (101, 4, "janedoe"), (103, 4, "älice_b")}
+
+
+def test_contexts_are_taken_from_the_whole_text(spark):
+    text = "order 2024 ref: a@b.cd 17 18 x1 +1 (767) 555-5699 é\n" + "7 " * 60 + "c@d.ef,g@h.ij end"
+    for r in places(frame(spark, [(1, text)])).collect():
+        assert text[r["start"] : r["end"]] == r["match"]
+        assert (r["left"], r["right"]) == (text[max(0, r["start"] - 40) : r["start"]], text[r["end"] : r["end"] + 40])
+    rows = [(i, f"order {2000 + i} ref: user{i}@mail.example.com yes 18") for i in range(30)] + [(100, "order 2024 ref: x#7 yes 18")]
+    new = [(r["doc_id"], r["kind"], r["start"], r["end"]) for r in find_spans(frame(spark, rows)).filter("kind > 3").collect()]
+    assert new == [(100, 4, 16, 19)]
