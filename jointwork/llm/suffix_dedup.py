@@ -1,13 +1,14 @@
-"""Repeated byte strings by a logarithmic family of suffix arrays.
+"""Repeated byte strings by a logarithmic family of indexes of hashed anchor grams.
 
 1. Suffixes are indexed at anchors (see ``anchors``): every window of
    ``window`` bytes holds one, at the same place in each of its copies.
-2. Documents come in batches.  A batch gets its suffix array: its distinct
-   anchored suffixes in the order of their first bytes, with a hash of their
-   first ``gram`` bytes.  It is merge-scanned against the levels that exist;
-   suffixes in both are candidates for long matches.  Then levels of equal size
-   merge, so the family has as many levels as the number of batches has bits,
-   and an entry is rewritten as often at most.
+2. Documents come in batches.  A batch gets its index: the distinct hashes of
+   the first ``gram`` bytes of its anchored suffixes, dealt out by hash.  This
+   is no suffix order: the first bytes (``head``) only sort the rows of a file,
+   and no comparison reads them.  The index is joined by hash with the levels
+   that exist; hashes in both are candidates for long matches.  Then levels of
+   equal size merge, so the family has as many levels as the number of batches
+   has bits, and an entry is rewritten as often at most.
 3. Runs of windows at candidate suffixes are compared in whole.  If a run's
    bytes occur twice, all its windows are repeated.  Runs that share only
    their anchor with other runs (the ends of repeated passages) are cut out of
