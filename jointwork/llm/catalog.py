@@ -3,11 +3,14 @@
 import corpus_pipeline
 from jointwork.llm import (  # noqa: F401
     best_fit,
+    centroids,
     decontamination,
     fingerprints,
     jaccard_join,
     license_scan,
+    norm_search,
     personal_data,
+    resampling,
     suffix_dedup,
     token_store,
     toxicity,

@@ -32,6 +32,11 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def literal_array(values: list[int]) -> Column:
+    """A constant array of whole numbers, sent to the plan as one literal; the optimizer folds it."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+
+
 def all_matches(text: Column, pattern: Column) -> Column:
     """Array of (before, match): each match and the text between the previous one and it.
 

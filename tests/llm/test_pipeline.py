@@ -68,7 +68,7 @@ def test_run_and_catalog(spark, tmp_path):
     source(spark, tmp_path)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     assert len(corpus_pipeline.STAGES) == 5 and catalog.QUERIES["pipeline"]
-    assert sorted(n.split("_")[0] for n in catalog.QUERIES if n.startswith("op")) == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted(n.split("_")[0] for n in catalog.QUERIES if n.startswith("op")) == sorted(f"op{i}" for i in range(1, 14))
 
 
 def test_empty_tables(spark, tmp_path):
