@@ -5,7 +5,8 @@ characters that are no white space.  No token of the vocabularies used here
 crosses such a place, so the ids of the parts, one after the other, are the
 ids of the text.  A part is encoded by the library once per Python worker and
 found in a dictionary afterwards.  Texts with any other white space are
-encoded as they are.  A part made of Latin letters and closing punctuation is
+encoded as they are, and so are texts that hold one of the vocabulary's added
+tokens (in any case), which the library finds before words.  A part made of Latin letters and closing punctuation is
 two words to these vocabularies, which go to the library's model directly.
 """
 
@@ -50,7 +51,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.keeps_space, self.remembered = keeps_space, remembered
         self.model = self.tokenizer.model.tokenize
         self.known: dict[str, bytes | None] = {}
@@ -86,7 +87,11 @@ class WordEncoder:
             good.append(w) if w == "^" or body.split() == [body] else known.update({w: None})
         known.update(zip(good, self._library([w[1:] if w[0] == "^" else w if w[0] == "\n" else " " + w for w in good])))
 
-    def _words(self, text: str) -> list[str]:
+    def _words(self, text: str) -> list[str] | None:
+        """Parts of a text; none if it holds an added token."""
+        low = text.lower()
+        if any(t in low for t in self.added):
+            return None
         if not self.keeps_space:
             return text.replace("\n", " ").split(" ")
         words = ("^" + text).replace("\n", " \n").split(" ")
@@ -95,15 +100,15 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [self._words(t) for t in texts]
-        new = set(chain.from_iterable(words)).difference(self.known)
+        new = set(chain.from_iterable(w for w in words if w is not None)).difference(self.known)
         if len(self.known) + len(self.stems) + len(new) > self.remembered:
             self.known.clear()
             self.stems.clear()
-            new = set(chain.from_iterable(words))
+            new = set(chain.from_iterable(w for w in words if w is not None))
         self._learn(new)
         find, out = self.known.__getitem__, []
         for text, parts in zip(texts, words):
-            ids = list(map(find, parts))
+            ids = [None] if parts is None else list(map(find, parts))
             out.append(b"".join(ids) if None not in ids else self._library([text])[0])
         return out
 

@@ -11,12 +11,11 @@ from jointwork.llm.token_ids import WordEncoder
 from jointwork.operators.skew import shared_dir
 from tests.llm.data import corpus, frame
 
-ODD = ["", "^a ^b", "a  b\n\nc\td ", "\n", " x", "a ^", "^ ^^ a^", "Été ΣΑΣ ΣΑΣ. it's don't <|endoftext|> x", "a\r\nb c\x1cd", " ^", "^\n^ \n", "a b", "é é"]
+ODD = ["", "^a ^b", "a  b\n\nc\td ", "\n", " x", "a ^", "^ ^^ a^", "Été ΣΑΣ ΣΑΣ. it's don't <|endoftext|> x", "a\r\nb c\x1cd", "hello <|endoftext|> world", "<|startoftext|>x<|ENDOFTEXT|> y", "a\n<|endoftext|>\nb <|endoftext |>", "<|endoftext|>", " ^", "^\n^ \n", "a b", "é é"]
 
 
 def expected(name, rows, end):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
     return [np.array(e.ids + [end], "<u4") for e in tokenizer.encode_batch([t or "" for _, t in rows], add_special_tokens=False)]
 
 
