@@ -162,21 +162,29 @@ def collab_pairs(member: DataFrame, keep_size: bool = False) -> DataFrame:
     return pairs.select("wid", F.col("pid_l").alias("pid"), F.col("pid_r").alias("cpid"), *size)
 
 
-def restrict_partners(partner_side: DataFrame, focal_side: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Partner rows on works of the focal set, optionally of known people."""
-    out = partner_side.select("wid", "pid").distinct().join(focal_side.select("wid").distinct(), "wid", "left_semi")
-    return out if known is None else out.join(known.select("pid").distinct(), "pid", "left_semi")
+def sided_members(focal: DataFrame, partners: DataFrame, home: DataFrame, known: DataFrame) -> DataFrame:
+    """One row per (source, work, person) with the sides it may stand on: ``f`` focal, ``p`` partner.
+
+    ``focal`` and ``partners`` hold (source, wid, pid) of all kinds of work at
+    once; a kind may take its sides from different tables, windows and flags.
+    Focal rows count for people of ``home``, partner rows for people of
+    ``known``.  Works without a focal row or with one person are left out; the
+    head count stays on the row for pair building.
+    """
+    key = ["source", "wid", "pid"]
+    side = lambda df, people, f: df.select(*key).join(people.select("pid").distinct(), "pid", "left_semi").select(
+        *key, F.lit(f).alias("f"), F.lit(not f).alias("p")
+    )
+    rows = side(focal, home, True).unionByName(side(partners, known, False)).groupBy(*key).agg(F.max("f").alias("f"), F.max("p").alias("p"))
+    sizes = rows.groupBy("source", "wid").agg(F.count(F.lit(1)).alias("n_people"), F.max("f").alias("any_focal")).filter("any_focal AND n_people >= 2")
+    return rows.join(sizes.drop("any_focal"), ["source", "wid"])
 
 
-def sided_pairs(focal_side: DataFrame, partner_side: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Pairs where the focal and partner sides come from different tables."""
-    focal = focal_side.select("wid", "pid", F.lit(1).alias("f")).distinct()
-    partners = restrict_partners(partner_side, focal_side, known).withColumn("p", F.lit(1))
-    people = focal.join(partners, ["wid", "pid"], "full_outer")
-    sizes = people.groupBy("wid").agg(F.count(F.lit(1)).alias("size"))
-    # tiled, so that a work with very many people is spread over many tasks
-    pairs = pair_up(people.join(sizes, "wid"), "wid", "pid", "size", ordered=True, focal=F.col("f") == 1)
-    return pairs.filter("p_r = 1").select("wid", F.col("pid_l").alias("pid"), F.col("pid_r").alias("cpid"))
+def sided_pairs(members: DataFrame) -> DataFrame:
+    """(source, wid, pid, cpid): every focal row with every other partner row of the work, in tiles."""
+    rows = members.select(F.struct("source", "wid").alias("w"), "pid", "f", "p", "n_people")
+    pairs = pair_up(rows, "w", "pid", "n_people", ordered=True, focal=F.col("f"), partner=F.col("p"))
+    return pairs.select("w.source", "w.wid", F.col("pid_l").alias("pid"), F.col("pid_r").alias("cpid"))
 
 
 def relation_code(focal_unit: Column, partner_unit: Column, partner_ext: Column) -> Column:
@@ -219,17 +227,20 @@ def classify(details: DataFrame) -> DataFrame:
 
 
 def details_base(
-    pairs: DataFrame, affil: DataFrame, person: DataFrame, work: DataFrame, home: str, institutions: DataFrame | None = None,
+    pairs: DataFrame, affil: DataFrame, person: DataFrame, work: DataFrame | None, home: str, institutions: DataFrame | None = None,
     home_name: str | None = None,
 ) -> DataFrame:
     """The 29-column flat fact, ready to be written partitioned by UnitType.
 
     ``institutions`` (inst, state, inst_name) names the partners; what it lacks
-    stays without state and is named by its id.
+    stays without state and is named by its id.  Without ``work`` the pairs
+    carry the columns of their work themselves.
     """
     p = person.select("pid", "pname", "rank")
     c = person.select(F.col("pid").alias("cpid"), F.col("pname").alias("cname"))
-    d = classify(both_sides_explode(pairs, affil)).join(p, "pid").join(c, "cpid").join(work, "wid", "left")
+    d = classify(both_sides_explode(pairs, affil)).join(p, "pid").join(c, "cpid")
+    if work is not None:
+        d = d.join(work, "wid", "left")
     if institutions is None:
         d = d.withColumn("c_state", F.lit(None).cast("string")).withColumn("c_inst_name", F.col("c_inst"))
     else:
@@ -252,5 +263,19 @@ def details_base(
     )
 
 
-def ranked(person: DataFrame) -> DataFrame:
-    return person.withColumn("rank", rank_label(F.col("rank_code")))
+def details_from_types(
+    works: DataFrame, partners: DataFrame, affil: DataFrame, home: str, institutions: DataFrame | None = None, home_name: str | None = None
+) -> DataFrame:
+    """The flat fact of all kinds of work from their raw tables.
+
+    ``works``: focal rows (source, wid, pid, work_type, pub_year, detail,
+    title); a pair takes the work's columns from the focal row, so a person
+    with two rows for a work has both.  ``partners``: (source, wid, pid).
+    ``affil`` says who is known, where, and under which name and rank.
+    """
+    inside = affil.filter("NOT is_ext")
+    pairs = sided_pairs(sided_members(works, partners, inside, affil))
+    person = affil.groupBy("pid").agg(F.min("pname").alias("pname"), F.min(rank_label(F.col("rank_code"))).alias("rank"))
+    places = affil.select("pid", "is_ext", "inst", "unit_type", "unit_id", "unit_label", "college", "discipline", "broad_field").distinct()
+    with_work = pairs.join(works.distinct(), ["source", "wid", "pid"])
+    return details_base(with_work, places, person, None, home, institutions, home_name)

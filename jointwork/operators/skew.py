@@ -72,6 +72,7 @@ def pair_up(
     ordered: bool = False,
     focal: Column | None = None,
     tile: int = TILE,
+    partner: Column | None = None,
 ) -> DataFrame:
     """All pairs of rows that share ``group``, both sides renamed ``_l`` / ``_r``.
 
@@ -96,7 +97,7 @@ def pair_up(
 
     left = rows if focal is None else rows.filter(focal)
     lhs = side(left, "_l", "_tl", "_tr")
-    rhs = side(rows, "_r", "_tr", "_tl")
+    rhs = side(rows if partner is None else rows.filter(partner), "_r", "_tr", "_tl")
     joined = lhs.join(rhs, [group, "_tl", "_tr"])
     order = (
         F.col(ident + "_l") != F.col(ident + "_r")

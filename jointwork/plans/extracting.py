@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from jointwork.functions.expressions import rank_label
@@ -190,18 +192,6 @@ def _(t):
     return ex.collab_pairs(t.member)
 
 
-@register("collab_semijoin", """SELECT DISTINCT f.wid, f.pid, p.pid AS cpid FROM (
-  SELECT concat('US', CAST(o_orderkey AS STRING)) AS wid, l_suppkey AS pid FROM raw_line
-  WHERE o_orderkey % 7 = 5 AND l_returnflag <> 'R' AND l_suppkey % 4 <> 3) f
-JOIN (SELECT concat('US', CAST(o_orderkey AS STRING)) AS wid, l_suppkey AS pid FROM raw_line WHERE o_orderkey % 7 = 5) p
-ON f.wid = p.wid AND f.pid <> p.pid WHERE p.pid IN (SELECT pid FROM fx_affil)""", ctes=LINES)
-def _(t):
-    broad = t.raw_patents.select(F.col("patent").alias("wid"), "pid", "returnflag")
-    home = t.person.filter("NOT is_ext").select("pid")
-    focal = broad.filter("returnflag <> 'R'").join(home, "pid", "left_semi")
-    return ex.sided_pairs(focal, broad, t.affil)
-
-
 @register("both_sides_explode", """SELECT wid, pid, unit_id, cpid, c_unit_id, rel FROM fx_details""")
 def _(t):
     return ex.both_sides_explode(ex.collab_pairs(t.member), t.affil).select("wid", "pid", "unit_id", "cpid", "c_unit_id", "rel")
@@ -238,22 +228,103 @@ def _(t):
     return flat_fact(t)
 
 
-def typed_works(t):
-    """The seven work types in one layout, windows applied per type."""
-    cols = lambda df, wid, kind, year, detail, title: df.select(
-        "pid", kind.alias("work_type"), wid.alias("wid"), year.cast("int").alias("pub_year"), detail.alias("detail"), title.alias("title")
-    )
+def typed_sources(t):
+    """Focal rows of each kind of work in one layout, windows and flags applied: source, wid, pid, work_type, pub_year, detail, title."""
+    def cols(df, source, wid, kind, year, detail, title):
+        return df.select(
+            F.lit(source).alias("source"), wid.alias("wid"), "pid", kind.alias("work_type"), year.cast("int").alias("pub_year"), detail.alias("detail"), title.alias("title")
+        )
+
     c, lit = F.col, F.lit
     art = ex.split_by_flag(ex.in_window(ex.normalise_key(t.raw_articles, "doi"), "pub_year", ARTICLE_WINDOW))
     books = ex.in_window(ex.counted_books(t.raw_books), "pub_year", BOOK_WINDOW)
-    return ex.work_type_union([
-        cols(art, c("doi"), c("work_type"), c("pub_year"), c("journal_id").cast("string"), c("doi")),
-        cols(books, c("isbn"), lit("Book"), c("pub_year"), c("publisher"), c("title")),
-        cols(t.raw_chapters, c("chapter_id"), lit("Book Chapter"), c("pub_year"), c("book_title"), c("title")),
-        cols(live_grants(t), c("grant_id"), lit("Federal Grant"), ex.start_year(c("start_date")), c("agency"), c("grant_name")),
-        cols(t.raw_patents, c("patent"), lit("Patent"), c("pub_year"), c("patent_type"), c("title")),
-        cols(t.raw_trials, c("nct_id"), lit("Clinical Trial"), ex.start_year(c("start_date")), lit("Utility"), c("title")),
-    ])
+    return {
+        "article": cols(art, "article", c("doi"), c("work_type"), c("pub_year"), c("journal_id").cast("string"), c("doi")),
+        "book": cols(books, "book", c("isbn"), lit("Book"), c("pub_year"), c("publisher"), c("title")),
+        "chapter": cols(t.raw_chapters, "chapter", c("chapter_id"), lit("Book Chapter"), c("pub_year"), c("book_title"), c("title")),
+        "grant": cols(live_grants(t), "grant", c("grant_id"), lit("Federal Grant"), ex.start_year(c("start_date")), c("agency"), c("grant_name")),
+        "patent": cols(t.raw_patents, "patent", c("patent"), lit("Patent"), c("pub_year"), c("patent_type"), c("title")),
+        "trial": cols(t.raw_trials, "trial", c("nct_id"), lit("Clinical Trial"), ex.start_year(c("start_date")), lit("Utility"), c("title")),
+    }
+
+
+def focal_rows(t):
+    """As ``typed_sources``, with patents from the client-facing table, which lacks returned lines."""
+    narrow = t.raw_patents.filter("returnflag <> 'R'").select(F.col("patent").alias("wid"), "pid").distinct()
+    parts = typed_sources(t)
+    parts["patent"] = parts["patent"].join(narrow, ["wid", "pid"], "left_semi")
+    return functools.reduce(lambda a, b: a.unionByName(b), parts.values()).distinct()
+
+
+def partner_rows(t):
+    """Partner side: articles of any year, broad patents; the other kinds as on the focal side."""
+    parts = typed_sources(t)
+    parts["article"] = ex.normalise_key(t.raw_articles, "doi").select(F.lit("article").alias("source"), F.col("doi").alias("wid"), "pid")
+    return functools.reduce(lambda a, b: a.unionByName(b), [p.select("source", "wid", "pid") for p in parts.values()])
+
+
+def typed_works(t):
+    """The seven work types in one layout, windows applied per type."""
+    return ex.work_type_union(typed_sources(t).values())
+
+
+def raw_affil(t):
+    """Affiliations as the extract builds them: fields, registry and colleges joined, disciplines merged."""
+    return ex.merge_disciplines(enriched(t)).withColumn("is_ext", F.col("inst") != HOME)
+
+
+# Focal (tf) and partner (tp) rows of all kinds, people with a place (ra), and pairs (tpair).
+TYPED = ARTICLES.rstrip() + ", " + BOOKS.split(", ", 1)[1].rstrip() + ", " + GRANTS.split(", ", 1)[1].rstrip() + """, tsource AS (
+  SELECT 'article' AS source, upper(doi) AS wid, pid, CASE WHEN is_confproc = 1 THEN 'Conference Proceeding' ELSE 'Article' END AS work_type,
+    pub_year, CAST(journal_id AS STRING) AS detail, upper(doi) AS title FROM raw_article WHERE pub_year BETWEEN 1997 AND 1999
+  UNION SELECT 'book', isbn, pid, 'Book', pub_year, publisher, title FROM raw_book
+    WHERE (is_chapter IS NULL OR is_chapter = 0) AND is_duplicate = 0 AND is_excluded = 0 AND pub_year BETWEEN 1996 AND 2000
+  UNION SELECT 'chapter', CAST(o_orderkey AS STRING), l_suppkey, 'Book Chapter', CAST(year(o_orderdate) AS INT),
+    concat('Book ', CAST(o_orderkey AS STRING)), concat('Chapter ', CAST(o_orderkey AS STRING)) FROM raw_line WHERE o_orderkey % 7 = 3
+  UNION SELECT 'grant', grant_id, pid, 'Federal Grant', pub_year, agency, grant_name FROM live_grant
+  UNION SELECT 'patent', concat('US', CAST(o_orderkey AS STRING)), l_suppkey, 'Patent', CAST(year(o_orderdate) AS INT), o_orderstatus,
+    concat('Patent ', CAST(o_orderkey AS STRING)) FROM raw_line WHERE o_orderkey % 7 = 5
+  UNION SELECT 'trial', concat('NCT', CAST(o_orderkey AS STRING)), l_suppkey, 'Clinical Trial', CAST(year(o_orderdate) AS INT), 'Utility',
+    concat('Trial ', CAST(o_orderkey AS STRING)) FROM raw_line WHERE o_orderkey % 7 = 6),
+ra AS (SELECT DISTINCT ru.inst, ru.inst <> 'HOME' AS is_ext, ru.unit_id, ru.unit_label, ru.unit_type, ru.pid, ru.pname, ru.rank_code,
+  CASE WHEN ru.group_id = 454 THEN 'Anthropology' WHEN ru.group_id = 455 THEN 'Architecture'
+    WHEN ru.group_id = 456 THEN 'Architecture, Design, Planning, various' WHEN ru.group_id = 457 THEN 'Area and Ethnic Studies, various'
+    WHEN ru.group_id = 458 THEN 'Communication and Communication Studies' WHEN ru.group_id = 459 THEN 'Linguistics'
+    WHEN ru.group_id = 460 THEN 'Mass Communications/Media Studies' WHEN ru.group_id = 461 THEN 'Sociology' ELSE ru.discipline END AS discipline,
+  rtax.broad_field, rcol.college FROM ru
+  LEFT JOIN rtax ON ru.inst = rtax.inst AND ru.group_id = rtax.group_id
+  LEFT JOIN rcol ON ru.inst = rcol.inst AND ru.unit_id = rcol.unit_id AND ru.group_id = rcol.group_id WHERE ru.discipline <> ''),
+tf AS (SELECT * FROM tsource WHERE pid IN (SELECT pid FROM ra WHERE NOT is_ext) AND (source <> 'patent' OR (wid, pid) IN (
+  SELECT concat('US', CAST(o_orderkey AS STRING)), l_suppkey FROM raw_line WHERE o_orderkey % 7 = 5 AND l_returnflag <> 'R'))),
+tp AS (SELECT DISTINCT source, wid, pid FROM (
+  SELECT source, wid, pid FROM tsource UNION SELECT 'article', upper(doi), pid FROM raw_article) WHERE pid IN (SELECT pid FROM ra)),
+tpair AS (SELECT DISTINCT f.source, f.wid, f.pid, p.pid AS cpid FROM tf f JOIN tp p ON f.source = p.source AND f.wid = p.wid AND f.pid <> p.pid)
+"""
+TYPED = UNITS.rstrip() + ", " + TYPED
+
+
+@register("collab_semijoin", "SELECT * FROM tpair", ctes=TYPED)
+def _(t):
+    affil = raw_affil(t)
+    return ex.sided_pairs(ex.sided_members(focal_rows(t), partner_rows(t), affil.filter("NOT is_ext"), affil))
+
+
+@register("details_from_types", """SELECT 'HOME' AS InstitutionId, 'Home University' AS InstitutionName, a.college AS College,
+  CAST(a.unit_id AS STRING) AS UnitId, a.unit_label AS Department, a.unit_type AS UnitType, CAST(a.pid AS STRING) AS PersonId,
+  a.pname AS PersonName, a.broad_field AS Broad_Field, a.discipline AS Discipline, f.work_type AS CollaborationType,
+  b.inst AS Collab_InstitutionId, CASE WHEN s.inst IS NULL THEN b.inst ELSE concat('Institution ', b.inst) END AS Collab_Institution,
+  s.state AS Collab_State, b.college AS Collab_College, CAST(b.unit_id AS STRING) AS Collab_UnitId, b.unit_label AS Collab_Department,
+  b.unit_type AS Collab_UnitType, b.broad_field AS Collab_BF, b.discipline AS Collab_Disc, CAST(b.pid AS STRING) AS Collab_PersonID,
+  b.pname AS Collab_PersonName, f.pub_year AS Year, f.wid AS Collab_ID, f.detail AS Collab_Detail, f.title AS Collab_Title,
+  CASE a.rank_code WHEN 1 THEN 'Professor' WHEN 2 THEN 'Associate Professor' WHEN 3 THEN 'Assistant Professor' ELSE 'Other' END AS Rank,
+  CASE WHEN b.is_ext THEN 'External' ELSE 'Internal' END AS Collab_Dir,
+  CASE WHEN b.is_ext THEN 'Across Institutions' WHEN a.unit_id = b.unit_id THEN 'Within Unit' ELSE 'Across Units' END AS Relationship
+FROM tpair t JOIN tf f ON t.source = f.source AND t.wid = f.wid AND t.pid = f.pid JOIN ra a ON t.pid = a.pid AND NOT a.is_ext JOIN ra b ON t.cpid = b.pid
+LEFT JOIN (SELECT inst, concat('ST_', CAST(MIN(pid) % 10 AS STRING)) AS state FROM fx_person WHERE inst <> 'INST_3' GROUP BY inst) s ON s.inst = b.inst""",
+          ctes=TYPED)
+def _(t):
+    named = t.raw_institutions.withColumn("inst_name", F.concat(F.lit("Institution "), "inst"))
+    return ex.details_from_types(focal_rows(t), partner_rows(t), raw_affil(t), HOME, named, "Home University")
 
 
 @register("work_type_union", """SELECT DISTINCT pid, CASE WHEN is_confproc = 1 THEN 'Conference Proceeding' ELSE 'Article' END AS work_type,
@@ -272,17 +343,19 @@ def _(t):
     return typed_works(t)
 
 
-@register("membership_from_types", """SELECT work_type, COUNT(*) AS n_rows, COUNT(DISTINCT wid) AS works FROM (
-  SELECT m.work_type, m.wid, m.pid FROM tm m JOIN (
-    SELECT t.wid FROM tm t JOIN fx_person p ON t.pid = p.pid GROUP BY t.wid
-    HAVING COUNT(*) >= 2 AND SUM(CASE WHEN p.is_ext THEN 0 ELSE 1 END) >= 1) u ON m.wid = u.wid)
-GROUP BY work_type""", ctes=ARTICLES.rstrip() + """, tm AS (
-  SELECT DISTINCT upper(doi) AS wid, pid, CASE WHEN is_confproc = 1 THEN 'Conference Proceeding' ELSE 'Article' END AS work_type
-  FROM raw_article)
-""")
+@register("membership_from_types", """SELECT w.work_type, COUNT(*) AS n_rows, COUNT(DISTINCT m.wid) AS works,
+  SUM(CASE WHEN m.f THEN 1 ELSE 0 END)::BIGINT AS n_focal, SUM(CASE WHEN m.p THEN 1 ELSE 0 END)::BIGINT AS n_partner
+FROM (SELECT source, wid, pid, bool_or(f) AS f, bool_or(p) AS p FROM (
+    SELECT source, wid, pid, TRUE AS f, FALSE AS p FROM tf UNION ALL SELECT source, wid, pid, FALSE, TRUE FROM tp) GROUP BY source, wid, pid) m
+JOIN (SELECT source, wid FROM (SELECT source, wid, pid, 1 AS f FROM tf UNION ALL SELECT source, wid, pid, 0 FROM tp)
+  GROUP BY source, wid HAVING COUNT(DISTINCT pid) >= 2 AND MAX(f) = 1) u ON m.source = u.source AND m.wid = u.wid
+JOIN (SELECT source, wid, MIN(work_type) AS work_type FROM tf GROUP BY source, wid) w ON m.source = w.source AND m.wid = w.wid
+GROUP BY w.work_type""", ctes=TYPED)
 def _(t):
-    art = ex.split_by_flag(ex.normalise_key(t.raw_articles, "doi")).select(F.col("doi").alias("wid"), "pid", "work_type").distinct()
-    kinds = art.groupBy("wid").agg(F.min("work_type").alias("work_type"))
-    return ex.membership(art, t.person).join(kinds, "wid").groupBy("work_type").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("wid").alias("works")
+    affil, focal = raw_affil(t), focal_rows(t)
+    members = ex.sided_members(focal, partner_rows(t), affil.filter("NOT is_ext"), affil)
+    kinds = focal.join(affil.filter("NOT is_ext").select("pid").distinct(), "pid", "left_semi").groupBy("source", "wid").agg(F.min("work_type").alias("work_type"))
+    count = lambda c: F.sum(F.col(c).cast("int")).cast("bigint")
+    return members.join(kinds, ["source", "wid"]).groupBy("work_type").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("wid").alias("works"), count("f").alias("n_focal"), count("p").alias("n_partner")
     )

@@ -171,9 +171,23 @@ def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
 
 
 def test_one_work_with_very_many_people_is_tiled(spark):
-    people = spark.range(3000).select(F.lit(1).cast("bigint").alias("wid"), F.col("id").alias("pid"))
-    pairs = ex.sided_pairs(people.filter("pid < 40"), people)
-    assert pairs.count() == 40 * 2999
+    people = spark.range(3000).select(F.lit("article").alias("source"), F.lit(1).cast("bigint").alias("wid"), F.col("id").alias("pid"))
+    members = ex.sided_members(people.filter("pid < 50"), people, people.filter("pid >= 10"), people.filter("pid <> 7"))
+    pairs = ex.sided_pairs(members)
+    assert pairs.columns == ["source", "wid", "pid", "cpid"]
+    assert pairs.count() == 40 * 2998  # 40 focal people of ours, 2,999 known partners without oneself
+
+
+def test_sides_of_a_work_come_from_their_own_tables(spark):
+    rows = lambda *r: spark.createDataFrame(r, "source string, wid string, pid long")
+    ids = lambda *i: spark.createDataFrame([(x,) for x in i], "pid long")
+    focal = rows(("a", "1", 1), ("a", "1", 2), ("b", "1", 1), ("b", "2", 9), ("b", "3", 1), ("b", "3", 1))
+    partners = rows(("a", "1", 2), ("a", "1", 3), ("a", "1", 8), ("b", "2", 1), ("b", "3", 1), ("c", "4", 1), ("c", "4", 2))
+    members = ex.sided_members(focal, partners, ids(1, 2), ids(1, 2, 3))
+    got = sorted((r["source"], r["wid"], r["pid"], r["f"], r["p"], r["n_people"]) for r in members.collect())
+    # Work b/1 has one person, b/2 no focal one, b/3 one on both sides, c/4 no focal row; 8 is unknown.
+    assert got == [("a", "1", 1, True, False, 3), ("a", "1", 2, True, True, 3), ("a", "1", 3, False, True, 3)]
+    assert sorted(map(tuple, ex.sided_pairs(members).collect())) == [("a", "1", 1, 2), ("a", "1", 1, 3), ("a", "1", 2, 3)]
 
 
 def test_stream_equals_batch_and_replay_is_harmless(spark, tmp_path):
