@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from jointwork.functions.expressions import choose2, flag_sum, joined_set
 from jointwork.model import (
@@ -160,6 +160,33 @@ def work_cells(
     return heads.join(totals, "wid").select("wid", "unit_kind", "level", "id", "m", total.alias("total"), "n_ext")
 
 
+def work_changes(new: DataFrame, affil: DataFrame, kind: str, level: str, total_scope: str = "level") -> DataFrame:
+    """What new (wid, pid, is_ext) rows add to their works: (wid, unit_kind, level, id, n).
+
+    People per key carry kind, level and id; the work's own sums have no kind,
+    and ``id`` says which: 'people', 'internal', 'external', 'total'.
+    """
+    placed = new.select("wid", "pid", "is_ext").join(person_slots(affil, [kind], [level], total_scope), "pid", "left")
+    sums = {"people": F.lit(1), "internal": F.when(F.col("is_ext"), 0).otherwise(1), "external": F.when(F.col("is_ext"), 1).otherwise(0),
+            "total": F.coalesce("t0", F.lit(0))}
+    own = F.array(*[F.struct(F.lit(None).cast("string").alias("unit_kind"), F.lit(None).cast("string").alias("level"), F.lit(name).alias("id"),
+                             value.cast("bigint").alias("n")) for name, value in sums.items()])
+    keyed = F.transform(F.coalesce(F.when(~F.col("is_ext"), F.col("slots")), F.array().cast("array<struct<unit_kind:string,level:string,id:string>>")), lambda s: F.struct(
+        F.coalesce(s["unit_kind"], F.lit(kind)).alias("unit_kind"), s["level"].alias("level"), s["id"].alias("id"), F.lit(1).cast("bigint").alias("n")))
+    rows = placed.select("wid", F.explode(F.concat(own, keyed)).alias("c")).select("wid", "c.*").filter("n > 0")
+    return rows.groupBy("wid", "unit_kind", "level", "id").agg(F.sum("n").alias("n"))
+
+
+def cells_of(changes: DataFrame) -> DataFrame:
+    """The cells of ``work_cells`` from summed changes, for works of two people or more with an internal one."""
+    names = ["people", "internal", "external", "total"]
+    sums = changes.filter("unit_kind IS NULL").groupBy("wid").agg(
+        *[F.coalesce(F.max(F.when(F.col("id") == n, F.col("n"))), F.lit(0)).alias(n) for n in names]
+    ).filter("people >= 2 AND internal >= 1")
+    heads = changes.filter("unit_kind IS NOT NULL").withColumnRenamed("n", "m")
+    return heads.join(sums, "wid").select("wid", "unit_kind", "level", "id", "m", "total", F.col("external").alias("n_ext"))
+
+
 def _flags() -> dict[str, Column]:
     m, total, n_ext = F.col("m"), F.col("total"), F.col("n_ext")
     return {"within": m >= 2, "across": total > m, "inter": n_ext > 0}
@@ -263,49 +290,37 @@ def person_min_rel(member: DataFrame, affil: DataFrame) -> DataFrame:
     )
 
 
+def _subsets(units: Column) -> Column:
+    """All non-empty subsets of a short sorted array, each as text with the sign of inclusion and exclusion."""
+    start = F.array(F.struct(F.lit("").alias("subset"), F.lit(-1).alias("sign")))
+    grown = F.aggregate(units, start, lambda sets, u: F.concat(sets, F.transform(sets, lambda s: F.struct(
+        F.concat(s["subset"], F.lit("|"), u).alias("subset"), (-s["sign"]).alias("sign")))))
+    return F.filter(grown, lambda s: s["subset"] != "")
+
+
 def person_work_counts(member: DataFrame, affil: DataFrame) -> DataFrame:
     """Distinct collaborators per (person, work) and relation, without pairs.
 
-    The people of a work are first reduced to unit profiles with head counts;
-    each profile then sums the counts of the overlapping profiles.  The cost
-    per work depends on the number of different profiles, not on the number
-    of people.
+    Whoever shares a unit with a person is counted by inclusion and exclusion
+    over the subsets of the person's units: n_T people of the work hold all
+    units of T, so the sum of n_T over odd subsets less that over even ones
+    is the number of people who hold any.  The people of a work are first
+    summed per set of units (in the map tasks); a set of k units brings
+    2^k - 1 rows, k being a few, and no row holds a whole work.
     """
     profiled = (
-        member.join(person_units(affil), "pid", "left")
+        member.filter("NOT is_ext").join(person_units(affil), "pid", "left")
         .withColumn("units", F.coalesce("units", F.array().cast("array<string>")))
-        .withColumn("profile", F.when(F.col("is_ext"), F.lit("")).otherwise(F.array_join("units", ",")))
+        .select("wid", "pid", "units", "n_people", "n_internal")
     )
-    heads = profiled.groupBy("wid", "profile").agg(
-        F.first("units").alias("units"),
-        F.sum(F.when(F.col("is_ext"), 0).otherwise(1)).alias("n"),
-        F.sum(F.when(F.col("is_ext"), 1).otherwise(0)).alias("x"),
-    )
-    works = heads.groupBy("wid").agg(
-        F.collect_list(F.when(F.col("n") > 0, F.struct("profile", "units", "n"))).alias("profiles"),
-        F.sum("n").alias("n_int"),
-        F.sum("x").alias("inter"),
-    )
-    overlap = F.aggregate(
-        F.col("profiles"),
-        F.lit(0).cast("bigint"),
-        lambda acc, q: acc + F.when(F.arrays_overlap(q["units"], F.col("p.units")), q["n"]).otherwise(0),
-    )
-    counts = works.select("wid", "n_int", "inter", "profiles", F.explode("profiles").alias("p")).select(
-        "wid", "p.profile", "n_int", "inter", overlap.alias("near")
-    )
-    own = F.when(F.col("profile") != "", 1).otherwise(0)
-    return (
-        profiled.filter("NOT is_ext")
-        .select("wid", "pid", "profile")
-        .join(counts, ["wid", "profile"])
-        .select(
-            "pid",
-            "wid",
-            (F.col("near") - own).alias("within"),
-            (F.col("n_int") - 1 - (F.col("near") - own)).alias("across"),
-            "inter",
-        )
+    heads = profiled.filter(F.size("units") > 0).groupBy("wid", "units").agg(F.count(F.lit(1)).alias("n"))
+    subsets = heads.select("wid", "units", "n", F.explode(_subsets(F.col("units"))).alias("s")).select("wid", "units", "n", "s.subset", "s.sign")
+    held = F.sum("n").over(Window.partitionBy("wid", "subset"))
+    near = subsets.withColumn("held", held).groupBy("wid", "units").agg(F.sum(F.col("sign") * F.col("held")).alias("near"))
+    within = F.coalesce(F.col("near") - 1, F.lit(0)).cast("bigint")
+    return profiled.join(near, ["wid", "units"], "left").select(
+        "pid", "wid", within.alias("within"), (F.col("n_internal") - 1 - within).cast("bigint").alias("across"),
+        (F.col("n_people") - F.col("n_internal")).cast("bigint").alias("inter"),
     )
 
 

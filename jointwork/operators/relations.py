@@ -1,81 +1,59 @@
 """Anchor-relative buckets, unit and college matrices, partner rankings.
 
-Matrices are built from *work signatures*.  The people of a work are reduced
-to profiles (the set of keys a person has) with head counts; works with the
-same signature are then counted together, and only the distinct signatures
-are expanded to unit pairs.  Works shrink to signatures in map-side
-aggregation, so no works-times-pairs intermediate is shuffled.
+Matrices count pairs of keys by inclusion and exclusion.  On a work, m_a
+people hold key a and m_ab hold both a and b; two different people join a and
+b exactly if m_a * m_b - m_ab > 0, and m_a * (m_b - m_ab) pairs lead from a to
+people of b who are not in a.  Head counts are summed in the map tasks, the
+keys of a work meet in tiles, and no row holds a whole work.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from jointwork.functions.expressions import choose2, flag_sum, per_type_sums, top_k
 from jointwork.functions.text import college_anchor, unit_anchor_key
 from jointwork.model import ACROSS, EXTERNAL, SCOPES, TYPE_COLUMNS, WITHIN, in_kind, level_key
+from jointwork.operators.skew import pair_up
 
 
-def person_profile(affil: DataFrame, kind: str | None, level: str = "department") -> DataFrame:
+def person_keys(affil: DataFrame, kind: str | None, level: str = "department") -> DataFrame:
     """Sorted keys per internal person at a level (a handful per person)."""
     rows = in_kind(affil.filter("NOT is_ext"), kind).select("pid", level_key(level).alias("k")).filter("k IS NOT NULL")
     return rows.groupBy("pid").agg(F.sort_array(F.collect_set("k")).alias("keys"))
 
 
-def work_signatures(
-    member: DataFrame,
-    affil: DataFrame,
-    kind: str | None,
-    level: str = "department",
-    work: DataFrame | None = None,
-    extra: tuple[str, ...] = (),
-    head_cap: int | None = None,
-    author_cap: int | None = None,
-) -> DataFrame:
-    """Distinct work signatures with the number of works that share them.
+def key_heads(member: DataFrame, affil: DataFrame, kind: str | None, level: str = "department", author_cap: int | None = None) -> DataFrame:
+    """(wid, k, m, both): people of a work per key, and per other key those who hold it as well.
 
-    signature = sorted array of (keys, n people).  ``head_cap=2`` is enough
-    for "is there a pair" questions and makes signatures coincide more often.
+    ``both`` has an entry for a key only if somebody on the work holds it with
+    ``k``; it is no longer than the list of keys.
     """
     rows = member if author_cap is None else member.filter(F.col("n_people") <= author_cap)
-    heads = (
-        rows.filter("NOT is_ext")
-        .join(person_profile(affil, kind, level), "pid")
-        .groupBy("wid", "keys")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    n = F.col("n") if head_cap is None else F.least("n", F.lit(head_cap))
-    per_work = heads.groupBy("wid").agg(
-        F.sort_array(F.collect_list(F.struct("keys", n.cast("bigint").alias("n")))).alias("signature")
-    )
-    if extra:
-        per_work = per_work.join(work.select("wid", *extra), "wid")
-    return per_work.groupBy("signature", *extra).agg(F.count(F.lit(1)).alias("n_works"))
-
+    people = rows.filter("NOT is_ext").join(person_keys(affil, kind, level), "pid")
+    same = people.groupBy("wid", "keys").agg(F.count(F.lit(1)).alias("n"))
+    cells = same.select("wid", "keys", "n", F.explode("keys").alias("k")).select("wid", "k", "n", F.explode("keys").alias("other"))
+    counts = cells.groupBy("wid", "k", "other").agg(F.sum("n").alias("n"))
+    joint = F.collect_list(F.when(F.col("other") != F.col("k"), F.struct("other", "n")))
+    return counts.groupBy("wid", "k").agg(F.max(F.when(F.col("other") == F.col("k"), F.col("n"))).alias("m"), F.map_from_entries(joint).alias("both"))
 
-def _holds(profile: Column, key: Column) -> Column:
-    return F.array_contains(profile["keys"], key)
 
+def key_pairs(heads: DataFrame, keep: tuple[str, ...] = (), within: tuple[str, ...] = (), ordered: bool = False) -> DataFrame:
+    """(wid, a, b, m_a, m_b, m_ab) for the keys of a work, a < b, or a <> b if ``ordered``.
 
-def _heads(signature: Column, condition) -> Column:
-    """Number of people in the profiles that satisfy the condition."""
-    return F.aggregate(
-        F.filter(signature, condition), F.lit(0).cast("bigint"), lambda acc, p: acc + p["n"]
+    ``keep`` columns come along from the side of a; only keys with equal
+    ``within`` columns meet.
+    """
+    sizes = heads.groupBy("wid").agg(F.count(F.lit(1)).alias("n_keys"))
+    rows = heads.join(sizes, "wid").select(F.struct("wid", *within).alias("w"), "k", "m", "both", "n_keys", *keep)
+    met = pair_up(rows, "w", "k", "n_keys", ordered=ordered)
+    both = F.coalesce(F.try_element_at("both_l", F.col("k_r")), F.lit(0))
+    return met.select(
+        "w.wid", F.col("k_l").alias("a"), F.col("k_r").alias("b"), F.col("m_l").alias("m_a"), F.col("m_r").alias("m_b"), both.alias("m_ab"),
+        *[F.col(f"{c}_l").alias(c) for c in keep],
     )
 
 
-def _met_pairs(signature: Column) -> Column:
-    """Unordered key pairs joined by two different people of the work."""
-    def across(p: Column, i: Column) -> Column:
-        partners = F.filter(signature, lambda q, j: (j > i) | ((j == i) & (p["n"] > 1)))
-        return F.flatten(F.transform(partners, lambda q: F.flatten(F.transform(
-            p["keys"],
-            lambda a: F.transform(q["keys"], lambda b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))),
-        ))))
-
-    return F.array_distinct(F.flatten(F.transform(signature, across)))
-
-
 def matrix(
     member: DataFrame,
     affil: DataFrame,
@@ -86,16 +64,16 @@ def matrix(
     author_cap: int | None = None,
 ) -> DataFrame:
     """Distinct works per unordered key pair; the diagonal is "within"."""
-    extra = ("work_type",) if by_type else ()
-    sig = work_signatures(member, affil, kind, level, work, extra, head_cap=2, author_cap=author_cap)
-    cells = sig.select(F.explode(_met_pairs(F.col("signature"))).alias("p"), "n_works", *extra).select(
-        "p.a", "p.b", "n_works", *extra
-    )
+    heads = key_heads(member, affil, kind, level, author_cap)
+    if by_type:
+        heads = heads.join(work.select("wid", "work_type"), "wid")
+    keep = ("work_type",) if by_type else ()
+    off = key_pairs(heads, keep).filter(F.col("m_a") * F.col("m_b") > F.col("m_ab")).select("a", "b", *keep)
+    cells = off.unionByName(heads.filter("m >= 2").select(F.col("k").alias("a"), F.col("k").alias("b"), *keep))
+    one = F.lit(1).cast("bigint")
     if not by_type:
-        return cells.groupBy("a", "b").agg(F.sum("n_works").alias("works"))
-    return cells.groupBy("a", "b").agg(
-        *per_type_sums(TYPE_COLUMNS, F.col("n_works")), F.sum("n_works").alias("works")
-    )
+        return cells.groupBy("a", "b").agg(F.count(one).alias("works"))
+    return cells.groupBy("a", "b").agg(*per_type_sums(TYPE_COLUMNS, one), F.count(one).alias("works"))
 
 
 def chord_flows(college_matrix: DataFrame) -> DataFrame:
@@ -137,31 +115,14 @@ def partner_units(member: DataFrame, affil: DataFrame, same_kind: bool = True) -
     the work with someone of the anchor.  With ``same_kind`` the partner must
     have the anchor's unit type.
     """
-    sig = work_signatures(member, affil, None)
-    s = F.col("signature")
-    keys = F.array_distinct(F.flatten(F.transform(s, lambda p: p["keys"])))
-    flat = sig.select("signature", "n_works", keys.alias("ks")).select(
-        "signature", "n_works", "ks", F.explode("ks").alias("anchor")
-    ).select("signature", "n_works", "anchor", F.explode("ks").alias("partner")).filter("anchor <> partner")
-    a, b = F.col("anchor"), F.col("partner")
-    counted = flat.select(
-        "anchor",
-        "partner",
-        "n_works",
-        _heads(s, lambda p: _holds(p, a)).alias("ours"),
-        _heads(s, lambda p: _holds(p, b) & ~_holds(p, a)).alias("theirs"),
-    ).filter("theirs > 0")
-    out = counted.groupBy("anchor", "partner").agg(
-        F.sum("n_works").alias("works"), F.sum(F.col("n_works") * F.col("ours") * F.col("theirs")).alias("pairs")
-    )
-    if not same_kind:
-        return out
-    types = units_of(affil).select("anchor", "unit_type")
-    return (
-        out.join(types, "anchor")
-        .join(types.select(F.col("anchor").alias("partner"), F.col("unit_type").alias("p_type")), "partner")
-        .filter("unit_type = p_type")
-        .select("anchor", "partner", "works", "pairs")
+    heads = key_heads(member, affil, None)
+    within: tuple[str, ...] = ()
+    if same_kind:
+        heads, within = heads.join(units_of(affil).select(F.col("anchor").alias("k"), "unit_type"), "k"), ("unit_type",)
+    theirs = F.col("m_b") - F.col("m_ab")
+    met = key_pairs(heads, within=within, ordered=True).filter(theirs > 0)
+    return met.groupBy(F.col("a").alias("anchor"), F.col("b").alias("partner")).agg(
+        F.count(F.lit(1)).alias("works"), F.sum(F.col("m_a") * theirs).alias("pairs")
     )
 
 

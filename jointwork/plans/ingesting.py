@@ -33,18 +33,21 @@ def _(t):
   SELECT w.* FROM fx_work_all w JOIN lineitem ON w.wid = l_orderkey) GROUP BY wid""")
 def _(t):
     src = t.read("lineitem").select(F.col("l_orderkey").alias("wid")).join(t.work_all, "wid").select("wid", "pub_year", "work_type", "title")
-    store = shared_dir(t.spark, "first-seen")
-    fields = ["pub_year", "work_type", "title"]
-    inc.each_batch(stream(t, src, "works"), shared_dir(t.spark, "ckpt"), inc.first_seen_writer(store, "wid", fields))
-    return inc.read_first_seen(t.spark, store, "wid", fields)
+    return first_seen(t, src, "works", "wid", ["pub_year", "work_type", "title"])
+
+
+def first_seen(t, src, name, key, fields):
+    store = shared_dir(t.spark, f"first-seen-{name}")
+    arriving = stream(t, src, name)
+    inc.first_seen(arriving, key, fields, store, shared_dir(t.spark, "ckpt"))
+    return inc.read_first_seen(t.spark, store, key, fields, inc.first_seen_schema(arriving, key, fields))
 
 
 @register("incremental_counts", "SELECT unit_kind, level, id, category, wid, pairs FROM fx_pairs WHERE unit_kind = 'Department' AND level = 'department'")
 def _(t):
-    members, counts = shared_dir(t.spark, "members"), shared_dir(t.spark, "cells")
-    handle = inc.membership_writer(members, counts, t.person, t.affil)
-    inc.each_batch(stream(t, t.matches, "matches"), shared_dir(t.spark, "ckpt"), handle)
-    return c.pairs_long(inc.read_cells(t.spark, counts))
+    store = shared_dir(t.spark, "changes")
+    inc.count_members(stream(t, t.matches, "matches"), t.person, t.affil, store, shared_dir(t.spark, "ckpt"))
+    return c.pairs_long(inc.read_cells(t.spark, store))
 
 
 @register("anchor_split", """SELECT anchor, COUNT(*) AS n_rows, COUNT(DISTINCT wid) AS works FROM (
@@ -63,9 +66,7 @@ CAST(MIN(year(ts)) AS INT) AS first_year FROM events GROUP BY user_id""")
 def _(t):
     """The same log over the event table: (event, user) membership."""
     src = t.read("events").select("event_id", "user_id", "event_type", F.year("ts").alias("y"))
-    store = shared_dir(t.spark, "events")
-    inc.each_batch(stream(t, src, "events"), shared_dir(t.spark, "ckpt"), inc.first_seen_writer(store, "event_id", ["user_id", "event_type", "y"]))
-    seen = inc.read_first_seen(t.spark, store, "event_id", ["user_id", "event_type", "y"])
+    seen = first_seen(t, src, "events", "event_id", ["user_id", "event_type", "y"])
     return seen.groupBy("user_id").agg(
         F.count_distinct("event_type").alias("n_types"), F.count(F.lit(1)).alias("n_events"), F.min("y").alias("first_year")
     )

@@ -9,7 +9,6 @@ from jointwork.operators import counts as c, extract as ex, network as n, reconc
 from jointwork.operators.lookup import resolve_unit
 from jointwork.plans.fixture import Tables
 from jointwork.sources import readers as rd, writers as wr
-from jointwork.streaming import incremental as inc
 
 SF = "/root/testdata/sf0.001"
 
@@ -190,22 +189,6 @@ def test_sides_of_a_work_come_from_their_own_tables(spark):
     assert sorted(map(tuple, ex.sided_pairs(members).collect())) == [("a", "1", 1, 2), ("a", "1", 1, 3), ("a", "1", 2, 3)]
 
 
-def test_stream_equals_batch_and_replay_is_harmless(spark, tmp_path):
-    t = Tables(spark, SF)
-    members, cells = str(tmp_path / "m"), str(tmp_path / "c")
-    handle = inc.membership_writer(members, cells, t.person, t.affil)
-    src = str(tmp_path / "src")
-    t.matches.repartition(6).write.parquet(src)
-    stream = inc.file_stream(spark, src, t.matches.schema, files_per_trigger=2)
-    inc.each_batch(stream, str(tmp_path / "ck"), handle)
-    want = sorted(map(tuple, c.unit_pairs(t.member, t.affil, "Department", "department").collect()))
-    got = c.pairs_long(inc.read_cells(spark, cells))
-    assert sorted(map(tuple, got.collect())) == want
-    handle(t.matches.limit(0), 3)  # an empty batch
-    handle(t.matches.limit(0), 3)  # and its replay
-    assert sorted(map(tuple, c.pairs_long(inc.read_cells(spark, cells)).collect())) == want
-
-
 def test_duplicated_input_changes_nothing(spark):
     t = Tables(spark, SF)
     twice = ex.membership(t.matches.union(t.matches), t.person)
