@@ -187,7 +187,7 @@ def cells_of(changes: DataFrame) -> DataFrame:
     return heads.join(sums, "wid").select("wid", "unit_kind", "level", "id", "m", "total", F.col("external").alias("n_ext"))
 
 
-def _flags() -> dict[str, Column]:
+def work_flags() -> dict[str, Column]:
     m, total, n_ext = F.col("m"), F.col("total"), F.col("n_ext")
     return {"within": m >= 2, "across": total > m, "inter": n_ext > 0}
 
@@ -199,7 +199,7 @@ def _pairs() -> dict[str, Column]:
 
 def pairs_long(cells: DataFrame) -> DataFrame:
     """(kind, level, id, category, work, pairs), only qualifying categories."""
-    flags, pairs = _flags(), _pairs()
+    flags, pairs = work_flags(), _pairs()
     entry = F.array(
         *[
             F.when(flags[c], F.struct(F.lit(c).alias("category"), pairs[c].alias("pairs")))
@@ -239,7 +239,7 @@ def scope_rollup(cells: DataFrame, labels: DataFrame | None = None) -> DataFrame
     (work, key) is unique in ``cells``, so plain sums replace count-distinct
     and a hot key is reduced inside the map tasks.
     """
-    f, p = _flags(), _pairs()
+    f, p = work_flags(), _pairs()
     out = cells.groupBy("unit_kind", "level", "id").agg(
         flag_sum(f["within"]).alias("within_works"),
         flag_sum(f["across"]).alias("across_works"),
@@ -257,7 +257,7 @@ def scope_rollup(cells: DataFrame, labels: DataFrame | None = None) -> DataFrame
 
 def set_rollup(cells: DataFrame) -> DataFrame:
     """Set sizes |W|, |A|, |I|, |W∪A|, |W∪A∪I| per key, in one aggregation: (work, key) is unique in ``cells``."""
-    f = _flags()
+    f = work_flags()
     any_ = f["within"] | f["across"] | f["inter"]
     return cells.filter(any_).groupBy("unit_kind", "level", "id").agg(
         flag_sum(f["within"]).alias("within_set"), flag_sum(f["across"]).alias("across_set"), flag_sum(f["inter"]).alias("inter_set"),

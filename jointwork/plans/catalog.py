@@ -5,6 +5,7 @@ from jointwork.plans import (  # noqa: F401
     checking,
     counting,
     extracting,
+    filtering,
     ingesting,
     networking,
     relating,
