@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from jointwork.functions.expressions import flag_sum, pct, rank_bucket, ratio, top_k
 from jointwork.model import in_kind
+from jointwork.operators.skew import TILE, cut_lineage, pair_up
 
 
 def roster_load(roster: DataFrame) -> DataFrame:
@@ -114,8 +115,10 @@ def rank_lens(roster: DataFrame, totals: DataFrame) -> DataFrame:
     )
 
 
-def retention(work_counts: DataFrame, active: DataFrame, totals: DataFrame, k: int = 8) -> DataFrame:
-    """Works only one member of a department covers, top k members each.
+def retention(work_counts: DataFrame, active: DataFrame, totals: DataFrame, person: DataFrame, roster: DataFrame, k: int = 8) -> DataFrame:
+    """Works only one member of a department covers, top k members each, with name and rank.
+
+    The rank is that of the roster, else the person's own.
 
     (dept, work) groups are reduced to a head count and one person id; a
     group of one is that person's unique work.  No window over works.
@@ -128,7 +131,11 @@ def retention(work_counts: DataFrame, active: DataFrame, totals: DataFrame, k: i
         .select("dept", "pid", F.col("n_across").alias("across"), F.col("n_inter").alias("inter"),
                 F.coalesce("unique_works", F.lit(0)).alias("unique_works"))
     )
-    return top_k(rows, k, [F.desc("unique_works"), F.desc("across"), F.asc("pid")], ["dept"])
+    best = top_k(rows, k, [F.desc("unique_works"), F.desc("across"), F.asc("pid")], ["dept"])
+    own = person.groupBy("pid").agg(F.min("pname").alias("name"), F.min(rank_bucket(F.col("rank"))).alias("own_rank"))
+    listed = roster.groupBy("pid").agg(F.min("rank").alias("roster_rank"))
+    named = best.join(own, "pid", "left").join(listed, "pid", "left")
+    return named.withColumn("rank", F.coalesce("roster_rank", "own_rank")).drop("roster_rank", "own_rank")
 
 
 def discipline_vector(affil: DataFrame, active: DataFrame, kind: str = "Department") -> DataFrame:
@@ -144,38 +151,61 @@ def dept_sizes(roster: DataFrame, active: DataFrame) -> DataFrame:
     return r.join(a, "dept", "full_outer").select("dept", F.coalesce("faculty", "active").alias("size"))
 
 
+def cosine_candidates(vectors: DataFrame, min_sim: float, tile: int = TILE) -> DataFrame:
+    """(a, b), a < b: every pair whose cosine can reach ``min_sim``, and few others.
+
+    ``vectors``: (dept, discipline, n), n > 0.  In one order of disciplines,
+    rare before frequent, a vector's prefix ends where the length that is left
+    falls below ``min_sim`` of the whole: two vectors without a discipline in
+    both prefixes have a smaller cosine.  Prefixes meet in an inverted list by
+    discipline; a frequent one is cut into tiles.
+    """
+    frequency = vectors.groupBy("discipline").agg(F.count(F.lit(1)).alias("df"))
+    each = Window.partitionBy("dept")
+    behind = each.orderBy("df", "discipline").rowsBetween(0, Window.unboundedFollowing)
+    left = F.sqrt(F.sum(F.col("n") * F.col("n")).over(behind)) / F.sqrt(F.sum(F.col("n") * F.col("n")).over(each))
+    # What is left, the place itself included, must be able to reach the threshold; the margin covers rounding.
+    prefix = vectors.join(frequency, "discipline").withColumn("left", left).filter(F.col("left") >= min_sim * (1 - 1e-9)).select("discipline", "dept", "df")
+    met = pair_up(prefix, "discipline", "dept", "df", tile=tile)
+    return met.select(F.col("dept_l").alias("a"), F.col("dept_r").alias("b")).distinct()
+
+
+def cosine_join(vectors: DataFrame, min_sim: float) -> DataFrame:
+    """(a, b, sim) of all pairs with a cosine of ``min_sim`` or more."""
+    norms = vectors.groupBy("dept").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    side = lambda c: vectors.select(F.col("dept").alias(c), "discipline", F.col("n").alias("n" + c))
+    length = lambda c: norms.select(F.col("dept").alias(c), F.col("norm").alias("norm" + c))
+    dots = cosine_candidates(vectors, min_sim).join(side("a"), "a").join(side("b"), ["b", "discipline"]).groupBy("a", "b").agg(
+        F.sum(F.col("na") * F.col("nb")).alias("dot")
+    )
+    sim = F.col("dot") / (F.col("norma") * F.col("normb"))
+    return dots.join(length("a"), "a").join(length("b"), "b").select("a", "b", sim.alias("sim")).filter(F.col("sim") >= min_sim)
+
+
 def whitespace_pairs(
-    vectors: DataFrame, sizes: DataFrame, shared_works: DataFrame,
+    vectors: DataFrame, sizes: DataFrame, shared_works: DataFrame, colleges: DataFrame,
     min_size: int = 8, min_sim: float = 0.04, n_shared: int = 5, k: int = 30,
 ) -> DataFrame:
-    """Similar departments that collaborate little.
-
-    Cosine similarity over long vectors: departments meet on a common
-    discipline, which every pair above the threshold must have.
-    """
+    """Similar departments that collaborate little, with both colleges (``colleges``: dept, college) and shared disciplines."""
     big = sizes.filter(F.col("size") >= min_size)
-    v = vectors.join(big, "dept", "left_semi")
-    norms = v.groupBy("dept").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    info = big.join(norms, "dept")
-    left = v.select(F.col("dept").alias("a"), "discipline", F.col("n").alias("na"))
-    right = v.select(F.col("dept").alias("b"), "discipline", F.col("n").alias("nb"))
-    met = left.join(right, "discipline").filter("a < b")
-    dots = met.groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"))
-    side = lambda c: info.select(F.col("dept").alias(c), F.col("size").alias("s" + c), F.col("norm").alias("n" + c))
-    sim = F.col("dot") / (F.col("na") * F.col("nb"))
+    v = cut_lineage(vectors.join(big, "dept", "left_semi"))
+    side = lambda c: big.select(F.col("dept").alias(c), F.col("size").alias("s" + c))
+    of = lambda c: colleges.select(F.col("dept").alias(c), F.col("college").alias("college_" + c))
     scored = (
-        dots.join(side("a"), "a").join(side("b"), "b").withColumn("sim", sim).filter(F.col("sim") >= min_sim)
+        cosine_join(v, min_sim).join(side("a"), "a").join(side("b"), "b")
         .join(shared_works, ["a", "b"], "left")
         .withColumn("actual", F.coalesce("works", F.lit(0)))
         .withColumn("score", F.col("sim") / (1 + F.col("actual") / F.sqrt(F.col("sa") * F.col("sb"))))
     )
     best = top_k(scored.select("a", "b", "sa", "sb", "sim", "actual", F.round("score", 4).alias("score")), k,
                  [F.desc("score"), F.asc("a"), F.asc("b")])
-    common = top_k(met.join(best.select("a", "b"), ["a", "b"], "left_semi").withColumn("low", F.least("na", "nb")),
-                   n_shared, [F.desc("low"), F.asc("discipline")], ["a", "b"])
+    best = cut_lineage(best)  # k rows
+    pairs = best.select("a", "b").join(v.select(F.col("dept").alias("a"), "discipline", F.col("n").alias("na")), "a").join(
+        v.select(F.col("dept").alias("b"), "discipline", F.col("n").alias("nb")), ["b", "discipline"])
+    common = top_k(pairs.withColumn("low", F.least("na", "nb")), n_shared, [F.desc("low"), F.asc("discipline")], ["a", "b"])
     names = common.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("rnk", "discipline"))).alias("d"))
-    return best.join(names, ["a", "b"]).select(
-        "a", "b", F.col("sa").alias("size_a"), F.col("sb").alias("size_b"), F.round("sim", 3).alias("sim"), "actual", "score",
+    return best.join(names, ["a", "b"]).join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        "a", "b", "college_a", "college_b", F.col("sa").alias("size_a"), F.col("sb").alias("size_b"), F.round("sim", 3).alias("sim"), "actual", "score",
         F.array_join(F.transform("d", lambda x: x["discipline"]), ",").alias("shared_disc"),
     )
 
@@ -184,7 +214,7 @@ def type_mix(work: DataFrame) -> DataFrame:
     return work.groupBy("work_type").agg(F.count(F.lit(1)).alias("works"))
 
 
-def exec_summary(member: DataFrame, roster: DataFrame, work_flags: DataFrame, dept_cells: DataFrame, active: DataFrame) -> DataFrame:
+def exec_summary(member: DataFrame, roster: DataFrame, work_flags: DataFrame, dept_cells: DataFrame, active: DataFrame, units: DataFrame) -> DataFrame:
     """One row of institution totals.
 
     Every part is a one-row aggregate; they are joined on a constant, which
@@ -200,12 +230,15 @@ def exec_summary(member: DataFrame, roster: DataFrame, work_flags: DataFrame, de
     faculty = roster.agg(F.count_distinct("pid").alias("faculty_total"))
     cross = dept_cells.filter("total > m").agg(F.count_distinct("wid").alias("cross_unit_works"))
     disc = work_flags.agg(flag_sum(F.col("interdisc") == 1).alias("inter_disc"))
+    # Departments of the metrics table: units with works, and those of the roster.
+    with_works = dept_cells.select("id").distinct().join(units, "id").select(F.col("label").alias("dept"))
+    depts = with_works.union(roster.select("dept")).agg(F.count_distinct("dept").alias("dept_count"))
     out = works.select("*", one)
-    for part in (people, faculty, cross, disc):
+    for part in (people, faculty, cross, disc, depts):
         out = out.join(F.broadcast(part.select("*", one)), "one")
     return out.select(
         "universe", "scholars", "faculty_total", pct(F.col("scholars"), F.col("faculty_total")).alias("pct_faculty_active"),
-        "internal_works", "external_works", "cross_unit_works", pct(F.col("inter_disc"), F.col("universe")).alias("interdisc_pct"),
+        "internal_works", "external_works", "cross_unit_works", pct(F.col("inter_disc"), F.col("universe")).alias("interdisc_pct"), "dept_count",
     )
 
 

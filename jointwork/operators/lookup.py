@@ -61,10 +61,10 @@ def resolve_unit(questions: DataFrame, units: DataFrame, aliases: Mapping[str, s
 
 
 def answer(questions: DataFrame, resolved: DataFrame, rollup: DataFrame, partners: DataFrame, n_partners: int = 3) -> DataFrame:
-    """Value of the asked metric; pair counts exist for three scopes only."""
+    """Value of the asked metric in the unit's kind (``unit_kind`` on all sides); pair counts exist for three scopes only."""
     q = F.lower("question")
     asked = questions.select("qid", question_scope(q).alias("scope"), question_metric(q).alias("metric"))
-    names = partners.filter(F.col("rnk") <= n_partners).groupBy(F.col("unit").alias("unit_id")).agg(
+    names = partners.filter(F.col("rnk") <= n_partners).groupBy("unit_kind", F.col("unit").alias("unit_id")).agg(
         F.sort_array(F.collect_list(F.struct("rnk", "partner", "works"))).alias("p")
     )
     value = None
@@ -77,7 +77,7 @@ def answer(questions: DataFrame, resolved: DataFrame, rollup: DataFrame, partner
     text = F.when(F.col("metric") == "partners", F.coalesce(listed, F.lit("none"))).otherwise(F.coalesce(value, F.lit("n/a")))
     return (
         asked.join(resolved, "qid")
-        .join(rollup.withColumnRenamed("id", "unit_id"), "unit_id", "left")
-        .join(names, "unit_id", "left")
-        .select("qid", "unit_id", "scope", "metric", text.alias("answer"))
+        .join(rollup.withColumnRenamed("id", "unit_id"), ["unit_kind", "unit_id"], "left")
+        .join(names, ["unit_kind", "unit_id"], "left")
+        .select("qid", "unit_id", "unit_kind", "scope", "metric", text.alias("answer"))
     )

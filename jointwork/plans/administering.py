@@ -95,17 +95,20 @@ def _(t):
     return ad.rank_lens(roster(t), totals(t))
 
 
-@register("retention", """SELECT dept, pid, across, inter, unique_works, rnk FROM (
+@register("retention", """SELECT q.dept, q.pid, q.across, q.inter, q.unique_works, q.rnk, p.pname AS name, COALESCE(r.rank,
+  CASE WHEN p.rank = 'Professor' THEN 'Professor' WHEN p.rank LIKE 'Associate%' THEN 'Associate Professor'
+    WHEN p.rank LIKE 'Assistant%' THEN 'Assistant Professor' ELSE 'Other ranks' END) AS rank FROM (
   SELECT a.dept, a.pid, p.n_across AS across, p.n_inter AS inter, COALESCE(u.n, 0) AS unique_works,
     CAST(row_number() OVER (PARTITION BY a.dept ORDER BY COALESCE(u.n, 0) DESC, p.n_across DESC, a.pid) AS INT) AS rnk
   FROM act a JOIN ptot p ON a.pid = p.pid LEFT JOIN (
     SELECT dept, pid, COUNT(*) AS n FROM (
       SELECT a.dept, w.pid, w.wid, COUNT(*) OVER (PARTITION BY a.dept, w.wid) AS cover FROM fx_ppw w JOIN act a ON w.pid = a.pid
-      WHERE w.across > 0) WHERE cover = 1 GROUP BY dept, pid) u ON a.dept = u.dept AND a.pid = u.pid) WHERE rnk <= 8""", ctes=BASE)
+      WHERE w.across > 0) WHERE cover = 1 GROUP BY dept, pid) u ON a.dept = u.dept AND a.pid = u.pid) q
+LEFT JOIN fx_person p ON q.pid = p.pid LEFT JOIN (SELECT pid, MIN(rank) AS rank FROM rost GROUP BY pid) r ON q.pid = r.pid WHERE rnk <= 8""", ctes=BASE)
 def _(t):
     act = active(t)
-    wc = c.person_work_counts(t.member, t.affil)
-    return ad.retention(wc, act, totals(t, act))
+    wc = cut_lineage(c.person_work_counts(t.member, t.affil))
+    return ad.retention(wc, act, ad.person_totals(wc, act.select("pid").distinct()), t.person, roster(t))
 
 
 VEC = BASE.rstrip() + """, vec AS (SELECT a.dept, d.discipline, COUNT(*) AS n FROM act a JOIN (
@@ -123,11 +126,11 @@ def _(t):
     return vectors(t, active(t))
 
 
-@register("whitespace_pairs", """SELECT s.a, s.b, s.sa AS size_a, s.sb AS size_b, ROUND(s.sim, 3) AS sim, s.actual, s.score, x.shared_disc
+@register("whitespace_pairs", """SELECT s.a, s.b, ca.college AS college_a, cb.college AS college_b, s.sa AS size_a, s.sb AS size_b, ROUND(s.sim, 3) AS sim, s.actual, s.score, x.shared_disc
 FROM best s JOIN (SELECT a, b, string_agg(discipline, ',' ORDER BY low DESC, discipline) AS shared_disc FROM (
   SELECT m.a, m.b, m.discipline, least(m.na, m.nb) AS low,
     row_number() OVER (PARTITION BY m.a, m.b ORDER BY least(m.na, m.nb) DESC, m.discipline) AS rn FROM met m) WHERE rn <= 5
-  GROUP BY a, b) x ON s.a = x.a AND s.b = x.b""", ctes=VEC.rstrip() + """,
+  GROUP BY a, b) x ON s.a = x.a AND s.b = x.b LEFT JOIN dmet ca ON s.a = ca.dept LEFT JOIN dmet cb ON s.b = cb.dept""", ctes=VEC.rstrip() + """,
 sizes AS (SELECT dept, COALESCE(faculty, active) AS size FROM dmet WHERE COALESCE(faculty, active) >= 8),
 nrm AS (SELECT v.dept, sqrt(SUM(n * n)) AS norm FROM vec v JOIN sizes s ON v.dept = s.dept GROUP BY v.dept),
 met AS (SELECT x.dept AS a, y.dept AS b, x.discipline, x.n AS na, y.n AS nb FROM vec x JOIN vec y ON x.discipline = y.discipline
@@ -152,7 +155,7 @@ def _(t):
         .join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b")
         .select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"), "works")
     )
-    return ad.whitespace_pairs(vec, sizes, cut_lineage(named)).drop("rnk")
+    return ad.whitespace_pairs(vec, sizes, cut_lineage(named), metrics(t).select("dept", "college")).drop("rnk")
 
 
 @register("exec_summary", """SELECT (SELECT COUNT(*) FROM fx_uni) AS universe, (SELECT COUNT(DISTINCT pid) FROM act) AS scholars,
@@ -160,10 +163,12 @@ def _(t):
 CAST(((SELECT COUNT(DISTINCT pid) FROM act) * 2000 + (SELECT COUNT(DISTINCT pid) FROM rost)) // (2 * (SELECT COUNT(DISTINCT pid) FROM rost)) AS BIGINT) / 10.0 AS pct_faculty_active,
 (SELECT COUNT(*) FROM fx_uni WHERE n_internal >= 2) AS internal_works, (SELECT COUNT(*) FROM fx_uni WHERE n_people > n_internal) AS external_works,
 (SELECT COUNT(DISTINCT wid) FROM fx_pairs WHERE unit_kind = 'Department' AND level = 'department' AND category = 'across') AS cross_unit_works,
-CAST(((SELECT COUNT(*) FROM fx_meta WHERE interdisc = 1) * 2000 + (SELECT COUNT(*) FROM fx_uni)) // (2 * (SELECT COUNT(*) FROM fx_uni)) AS BIGINT) / 10.0 AS interdisc_pct""",
+CAST(((SELECT COUNT(*) FROM fx_meta WHERE interdisc = 1) * 2000 + (SELECT COUNT(*) FROM fx_uni)) // (2 * (SELECT COUNT(*) FROM fx_uni)) AS BIGINT) / 10.0 AS interdisc_pct,
+(SELECT COUNT(DISTINCT dept) FROM dmet) AS dept_count""",
           ctes=BASE)
 def _(t):
-    return ad.exec_summary(t.member, roster(t), c.interdisciplinary(t.member, t.affil), cells(t), active(t))
+    units = c.entity_meta(t.affil, "Department", "department")
+    return ad.exec_summary(t.member, roster(t), c.interdisciplinary(t.member, t.affil), cells(t), active(t), units)
 
 
 @register("exec_connected", """SELECT 'top' AS list, CAST(row_number() OVER (ORDER BY rate DESC, dept) AS INT) AS rnk, dept, rate, faculty

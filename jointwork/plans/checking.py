@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from jointwork.model import KINDS
 from jointwork.operators import counts as c, extract as ex, lookup as lk, reconcile as q, relations as r, reports as rp
 from jointwork.plans.counting import entity_labels, rollup
-from jointwork.plans.extracting import ARTICLES, LINES
+from jointwork.plans.extracting import ARTICLES, LINES, UNITS
+from jointwork.plans.fixture import HOME
 from jointwork.plans.networking import pair_counts
 from jointwork.plans.registry import register
 
@@ -98,18 +99,42 @@ def _(t):
     return q.multiset_equal(ours, both, ["anchor"])
 
 
-@register("missing_work_diag", """SELECT wid, n_people, n_in_window, n_known, CASE WHEN n_people = 0 THEN 'no match'
-WHEN n_in_window = 0 THEN 'outside window' WHEN n_known = 0 THEN 'person not in a unit' ELSE 'other' END AS cause FROM (
-  SELECT o.o_orderkey AS wid, COUNT(DISTINCT l.l_suppkey) AS n_people,
-    COUNT(CASE WHEN l.l_suppkey IS NOT NULL AND year(l.l_shipdate) BETWEEN 1997 AND 1999 THEN 1 END) AS n_in_window,
-    COUNT(CASE WHEN a.pid IS NOT NULL THEN 1 END) AS n_known
-  FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey
-  LEFT JOIN (SELECT DISTINCT pid FROM fx_home WHERE unit_type = 'Medical') a ON l.l_suppkey = a.pid GROUP BY o.o_orderkey)""")
+@register("missing_work_diag", """SELECT wid, n_people, n_in_window, n_in_department, n_in_program, n_in_medical, n_in_clinical, n_known,
+CASE WHEN n_people = 0 THEN 'no match' WHEN n_in_window < n_people THEN 'year outside the window'
+  WHEN n_known < n_people THEN 'person in no unit table' ELSE 'dropped by the extract' END AS cause FROM (
+  SELECT o.o_orderkey AS wid, COUNT(m.pid) AS n_people, COUNT(CASE WHEN m.inside THEN 1 END) AS n_in_window,
+    COUNT(d.pid) AS n_in_department, COUNT(p.pid) AS n_in_program, COUNT(e.pid) AS n_in_medical, COUNT(c.pid) AS n_in_clinical,
+    COUNT(COALESCE(d.pid, p.pid, e.pid, c.pid)) AS n_known
+  FROM orders o LEFT JOIN (SELECT l_orderkey AS wid, l_suppkey AS pid, bool_or(year(l_shipdate) BETWEEN 1993 AND 1997) AS inside
+    FROM lineitem GROUP BY l_orderkey, l_suppkey) m ON o.o_orderkey = m.wid
+  LEFT JOIN (SELECT DISTINCT pid FROM ru WHERE unit_type = 'Department' AND inst = 'HOME') d ON m.pid = d.pid
+  LEFT JOIN (SELECT DISTINCT pid FROM ru WHERE unit_type = 'Program' AND inst = 'HOME') p ON m.pid = p.pid
+  LEFT JOIN (SELECT DISTINCT pid FROM ru WHERE unit_type = 'Medical' AND inst = 'HOME') e ON m.pid = e.pid
+  LEFT JOIN (SELECT DISTINCT pid FROM ru WHERE unit_type = 'Clinical' AND inst = 'HOME') c ON m.pid = c.pid GROUP BY o.o_orderkey)""", ctes=UNITS)
 def _(t):
     matches = t.read("lineitem").select(
         F.col("l_orderkey").alias("wid"), F.col("l_suppkey").alias("pid"), F.year("l_shipdate").alias("pub_year")
     )
-    return q.missing_diag(t.work_all.select("wid"), matches, t.affil.filter("NOT is_ext AND unit_type = 'Medical'"), (1997, 1999))
+    ours = {name: df.filter(F.col("inst") == HOME) for name, df in t.raw_units.items()}
+    return q.missing_diag(t.work_all.select("wid"), matches, ours, (1993, 1997))
+
+
+CHANGED = """CASE WHEN l_orderkey % 997 = 5 THEN l_linenumber + 10 ELSE l_linenumber END"""
+
+
+@register("row_difference", f"""SELECT wid, pid, line, CAST(SUM(a) AS BIGINT) AS n_a, CAST(SUM(b) AS BIGINT) AS n_b FROM (
+  SELECT l_orderkey AS wid, l_suppkey AS pid, l_linenumber AS line, 1 AS a, 0 AS b FROM lineitem
+  UNION ALL SELECT l_orderkey, l_suppkey, {CHANGED}, 0, 1 FROM lineitem WHERE NOT (l_orderkey % 991 = 3 AND l_linenumber = 1)
+  UNION ALL SELECT l_orderkey, l_suppkey, l_linenumber, 0, 1 FROM lineitem WHERE l_orderkey % 983 = 7) GROUP BY wid, pid, line
+HAVING SUM(a) <> SUM(b)""")
+def _(t):
+    """A release against the one before: some lines changed, some gone, some twice."""
+    cols = [F.col("l_orderkey").alias("wid"), F.col("l_suppkey").alias("pid")]
+    lines = t.read("lineitem")
+    gone = (F.col("l_orderkey") % 991 == 3) & (F.col("l_linenumber") == 1)
+    line = F.when(F.col("l_orderkey") % 997 == 5, F.col("l_linenumber") + 10).otherwise(F.col("l_linenumber"))
+    later = lines.filter(~gone).select(*cols, line.alias("line")).union(lines.filter("l_orderkey % 983 = 7").select(*cols, "l_linenumber"))
+    return q.row_difference(lines.select(*cols, F.col("l_linenumber").alias("line")), later)
 
 
 @register("source_presence", """SELECT p.wid, COUNT(DISTINCT p.pid) AS n_broad FROM pat p
@@ -160,6 +185,7 @@ words AS (SELECT lower(trim(split_part(label, ',', 1))) AS word, MIN(id) AS unit
   WHERE level IN ('department', 'college') GROUP BY 1 HAVING length(word) > 2),
 qx AS (SELECT qid, lower(question) AS q0, concat(lower(question), CASE WHEN contains(lower(question), 'autos') THEN ' unit_1'
   WHEN contains(lower(question), 'home goods') THEN ' college_2' ELSE '' END) AS q FROM quest),
+ukind AS (SELECT id, MIN(unit_kind) AS unit_kind FROM fx_key WHERE level IN ('department', 'college') GROUP BY id),
 res AS (SELECT qid, unit_id, word FROM (
   SELECT x.qid, w.unit_id, w.word, row_number() OVER (PARTITION BY x.qid ORDER BY length(w.word) DESC, w.unit_id, w.word) AS rn
   FROM qx x JOIN words w ON contains(x.q, w.word)) WHERE rn = 1)
@@ -190,29 +216,35 @@ def _(t):
     return resolved(t)
 
 
-@register("question_to_metric", """SELECT x.qid, r.unit_id, x.scope, x.metric,
+@register("question_to_metric", """SELECT x.qid, r.unit_id, k.unit_kind, x.scope, x.metric,
 CASE WHEN x.metric = 'partners' THEN COALESCE(p.names, 'none') WHEN x.metric = 'works' THEN COALESCE(CAST(CASE x.scope
     WHEN 'within' THEN v.ww WHEN 'across' THEN v.aw WHEN 'intra' THEN v.nw WHEN 'inter' THEN v.iw ELSE v.lw END AS STRING), 'n/a')
   ELSE COALESCE(CAST(CASE x.scope WHEN 'within' THEN v.wc WHEN 'across' THEN v.ac WHEN 'inter' THEN v.ic END AS STRING), 'n/a') END AS answer
 FROM (SELECT qid, CASE WHEN contains(q0, 'within') THEN 'within' WHEN contains(q0, 'across') THEN 'across'
     WHEN contains(q0, 'intra') THEN 'intra' WHEN contains(q0, 'inter') THEN 'inter' ELSE 'all' END AS scope,
     CASE WHEN contains(q0, 'partner') THEN 'partners' WHEN contains(q0, 'collab') THEN 'collabs' ELSE 'works' END AS metric FROM qx) x
-JOIN res r ON x.qid = r.qid LEFT JOIN (
-  SELECT id, COUNT(CASE WHEN m >= 2 THEN 1 END) AS ww, COUNT(CASE WHEN total > m THEN 1 END) AS aw,
+JOIN res r ON x.qid = r.qid JOIN ukind k ON r.unit_id = k.id LEFT JOIN (
+  SELECT unit_kind, id, COUNT(CASE WHEN m >= 2 THEN 1 END) AS ww, COUNT(CASE WHEN total > m THEN 1 END) AS aw,
     COUNT(CASE WHEN m >= 2 OR total > m THEN 1 END) AS nw, COUNT(CASE WHEN n_ext > 0 THEN 1 END) AS iw,
     COUNT(CASE WHEN m >= 2 OR total > m OR n_ext > 0 THEN 1 END) AS lw, CAST(SUM(m * (m - 1) // 2) AS BIGINT) AS wc,
     CAST(SUM(m * (total - m)) AS BIGINT) AS ac, CAST(SUM(m * n_ext) AS BIGINT) AS ic
-  FROM fx_cells WHERE unit_kind = 'Department' AND level IN ('department', 'college') GROUP BY id) v ON r.unit_id = v.id
-LEFT JOIN (SELECT unit, string_agg(concat(partner, ':', CAST(works AS STRING)), ';' ORDER BY works DESC, partner) AS names FROM (
-  SELECT unit, partner, works, row_number() OVER (PARTITION BY unit ORDER BY works DESC, partner) AS rn FROM (
-    SELECT a AS unit, b AS partner, works FROM fx_umatrix WHERE unit_kind = 'Department' AND a <> b
-    UNION ALL SELECT b, a, works FROM fx_umatrix WHERE unit_kind = 'Department' AND a <> b)) WHERE rn <= 3 GROUP BY unit) p
-ON r.unit_id = p.unit""", ctes=QUESTION_SQL)
+  FROM fx_cells WHERE level IN ('department', 'college') GROUP BY unit_kind, id) v ON r.unit_id = v.id AND k.unit_kind = v.unit_kind
+LEFT JOIN (SELECT unit_kind, unit, string_agg(concat(partner, ':', CAST(works AS STRING)), ';' ORDER BY works DESC, partner) AS names FROM (
+  SELECT unit_kind, unit, partner, works, row_number() OVER (PARTITION BY unit_kind, unit ORDER BY works DESC, partner) AS rn FROM (
+    SELECT unit_kind, a AS unit, b AS partner, works FROM fx_umatrix WHERE a <> b
+    UNION ALL SELECT unit_kind, b, a, works FROM fx_umatrix WHERE a <> b)) WHERE rn <= 3 GROUP BY unit_kind, unit) p
+ON r.unit_id = p.unit AND k.unit_kind = p.unit_kind""", ctes=QUESTION_SQL)
 def _(t):
     levels = ["department", "college"]
-    roll = c.scope_rollup(c.work_cells(t.member, t.affil, ["Department"], levels)).drop("unit_kind", "level")
-    tops = [r.top_partners(r.matrix(t.member, t.affil, "Department", v), 3) for v in levels]
-    return lk.answer(questions(t), resolved(t), roll, tops[0].union(tops[1]))
+    roll = c.scope_rollup(c.work_cells(t.member, t.affil, KINDS, levels)).drop("level")
+    tops = None
+    for kind in KINDS:
+        for level in levels:
+            part = r.top_partners(r.matrix(t.member, t.affil, kind, level), 3).withColumn("unit_kind", F.lit(kind))
+            tops = part if tops is None else tops.unionByName(part)
+    # A unit or college that is in both kinds answers as a Department.
+    kinds = entity_labels(t).filter(F.col("level").isin(*levels)).groupBy(F.col("id").alias("unit_id")).agg(F.min("unit_kind").alias("unit_kind"))
+    return lk.answer(questions(t), resolved(t).join(kinds, "unit_id"), roll, tops)
 
 
 @register("summary_dataset", """SELECT r.*, COALESCE(p.top_partners, '') AS top_partners FROM roll r LEFT JOIN (

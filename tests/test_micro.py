@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from jointwork.operators import counts as c, extract as ex, network as n, relations as r, scopes as s
+from jointwork.operators import admin as ad, bitmaps as bm, counts as c, extract as ex, network as n, reconcile as q, relations as r, scopes as s
 from jointwork.operators.skew import dense_index, pair_up
 
 AFFIL = "pid bigint, is_ext boolean, inst string, unit_type string, unit_id bigint, unit_label string, college string, discipline string, broad_field string"
@@ -129,3 +129,58 @@ def test_dense_index(spark):
     df = spark.range(0, 500).select((F.col("id") * 7 % 1000).alias("k")).repartition(7)
     got = [(x["k"], x["pos"]) for x in dense_index(df, ["k"], "pos").collect()]
     assert sorted(got) == [(k, i) for i, k in enumerate(sorted(k for k, _ in got))]
+
+
+def test_cosine_join_is_exact_and_prunes(spark):
+    """Against all pairs, for several thresholds; a discipline that everybody has is cut into tiles."""
+    import itertools
+    import math
+    import random
+
+    rng = random.Random(3)
+    vectors = {}
+    for d in range(60):
+        own = {f"x{rng.randrange(40)}": rng.randrange(1, 9) for _ in range(rng.randrange(1, 6))}
+        vectors[f"d{d:02}"] = own | {"common": rng.randrange(1, 3)}
+    frame = spark.createDataFrame([(d, k, n) for d, v in vectors.items() for k, n in v.items()], "dept string, discipline string, n long")
+    norm = {d: math.sqrt(sum(n * n for n in v.values())) for d, v in vectors.items()}
+    sims = {(a, b): sum(n * vectors[b].get(k, 0) for k, n in vectors[a].items()) / (norm[a] * norm[b]) for a, b in itertools.combinations(sorted(vectors), 2)}
+    for t in (0.04, 0.5, 0.9):
+        got = {(r["a"], r["b"]): r["sim"] for r in ad.cosine_join(frame, t).collect()}
+        want = {p: s_ for p, s_ in sims.items() if s_ >= t}
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
+        met = {(r["a"], r["b"]) for r in ad.cosine_candidates(frame, t, tile=16).collect()}
+        assert want.keys() <= met
+        if t >= 0.5:
+            assert len(met) < len(sims) / 2
+
+
+def test_row_difference_of_any_rows(spark):
+    a = spark.range(5000).selectExpr("id % 900 AS k", "CASE WHEN id % 7 = 0 THEN NULL ELSE CAST(id % 3 AS STRING) END AS v")
+    rows = [(k, v) for k, v in a.collect()]
+    assert q.row_difference(a, a.repartition(3), ranges=64).count() == 0
+    b = spark.createDataFrame(rows[3:] + [(1, None), (2, "new"), rows[50], rows[50]], "k long, v string")
+    import collections
+
+    ca, cb = collections.Counter(rows), collections.Counter(map(tuple, b.collect()))
+    want = {(*r, ca[r], cb[r]) for r in ca.keys() | cb.keys() if ca[r] != cb[r]}
+    for levels in (1, 3):
+        assert {tuple(r) for r in q.row_difference(a, b, ranges=64, levels=levels).collect()} == want
+    differ = q.differing_ranges(*[df.selectExpr("*", "xxhash64(k, v) AS _h", "xxhash64(1, k, v) AS _g", "pmod(xxhash64(1, k, v), 256) AS r") for df in (a, b)], 256, ["r"])
+    assert 0 < differ.count() <= len(want)
+
+
+def test_bitmaps_equal_distinct_counts(spark, micro):
+    """Works whose type, year or size is unknown are counted where no filter asks for them."""
+    affil, _, member = micro
+    cells = c.work_cells(member, affil, ["Department"], ["department"])
+    work = spark.createDataFrame([(1, "Article", 2000), (2, None, 2001), (3, "Book", None)], "wid long, work_type string, pub_year int")
+    maps = bm.work_bitmaps(cells, bm.numbered_works(member, work))
+    count = lambda where: {r["id"]: r["n_works"] for r in bm.count_works(maps.filter(where), "id").collect()}
+    assert count(bm.chosen()) == {"10": 4, "20": 2}
+    assert count(bm.chosen(["within"])) == {"10": 3, "20": 1}
+    assert count(bm.chosen(types=["Article", "Book"])) == {"10": 2}
+    assert count(bm.chosen(years=(2000, 2001), cap=20)) == {"10": 2, "20": 1}
+    assert bm.count_works(maps, F.lit("x").alias("all")).first()["n_works"] == 4
+    with pytest.raises(ValueError):
+        bm.chosen(cap=7)
