@@ -7,6 +7,8 @@ the frame at once; filter the frame to ask for one.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from jointwork.functions.expressions import flag_sum, per_type_sums, top_k
@@ -288,7 +290,7 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None, batch: int =
     numbered = cut_lineage(starts.withColumn("part", F.pmod(F.xxhash64("s"), F.lit(n_batches))))
     total = people.select("v", F.lit(0.0).alias("delta"))
     for part in range(n_batches):
-        total = total.union(_dependencies(arcs, numbered.filter(F.col("part") == part).select("s")))
+        total = total.union(_dependencies(arcs, numbered.filter(F.col("part") == part).select("s")).select("v", "delta"))
     scale = F.lit(0.5)
     if sources is not None:
         counts = people.agg(F.count(F.lit(1)).alias("n_all")).withColumn("one", F.lit(1)).join(
@@ -299,8 +301,48 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None, batch: int =
     return total.groupBy(F.col("v").alias("pid")).agg(F.round(F.sum(F.col("delta") * scale), 6).alias("betweenness"))
 
 
+def sampled_betweenness(edges: DataFrame, eps: float, delta: float, first: int = 64) -> DataFrame:
+    """(pid, betweenness, error, n_sources): centrality from sampled sources, with a stated error.
+
+    With probability 1 - ``delta`` every value is within its ``error`` of the
+    exact one, and no error exceeds ``eps`` * n * (n - 2) / 2, the scale of the
+    measure.  A source's share in a person lies between 0 and n - 2, so the
+    empirical Bernstein bound holds for the mean over the sources; it is taken
+    for all people and rounds at once.  Sources come in the order of the hash
+    of their id; their number doubles until the bound is met, so at most about
+    ln(n / delta) / eps^2 sources are used and the number of jobs depends on
+    the longest path, not on n.  When every person is a source the values are
+    exact and the error is 0.
+    """
+    arcs = cut_lineage(both_ways(edges.select("a", "b")).select(F.col("pid").alias("v"), F.col("other").alias("w")).distinct())
+    people = cut_lineage(arcs.select("v").distinct())
+    n = people.count()
+    if n < 3:
+        return people.select(F.col("v").alias("pid"), F.lit(0.0).alias("betweenness"), F.lit(0.0).alias("error"), F.lit(n).cast("bigint").alias("n_sources"))
+    rounds = max(1, math.ceil(math.log2(max(2.0, n / first))) + 1)
+    log_term = math.log(3 * n * rounds / delta)
+    # Samples are nested: each round adds the sources between two places in the order of the hash.
+    order = people.select(F.col("v").alias("s"), F.xxhash64("v").alias("h"))
+    done, used, sums = 0, min(first, n), None
+    while True:
+        taken = order.orderBy("h", "s").limit(used)
+        new = cut_lineage(taken if done == 0 else taken.join(order.orderBy("h", "s").limit(done), ["s", "h"], "left_anti")).select("s")
+        part = _dependencies(arcs, new)
+        sums = part if sums is None else sums.union(part).groupBy("v").agg(F.sum("delta").alias("delta"), F.sum("squares").alias("squares"))
+        sums = cut_lineage(sums)
+        mean = F.coalesce("delta", F.lit(0.0)) / (used * (n - 2))
+        variance = F.greatest(F.lit(0.0), F.coalesce("squares", F.lit(0.0)) / (used * (n - 2) ** 2) - mean * mean)
+        width = F.lit(0.0) if used == n else F.sqrt(2 * variance * log_term / used) + 3 * log_term / used
+        found = people.join(sums, "v", "left").select(F.col("v").alias("pid"), mean.alias("mean"), width.alias("width"))
+        if used == n or found.agg(F.max("width")).first()[0] <= eps:
+            break
+        done, used = used, min(2 * used, n)
+    scale = 0.5 * n * (n - 2)
+    return found.select("pid", F.round(F.col("mean") * scale, 6).alias("betweenness"), F.round(F.col("width") * scale, 6).alias("error"), F.lit(used).cast("bigint").alias("n_sources"))
+
+
 def _dependencies(arcs: DataFrame, starts: DataFrame) -> DataFrame:
-    """(v, delta) summed over the given sources."""
+    """(v, delta, squares): what persons have from each of the given sources, and its square, summed over the sources."""
     layers = [cut_lineage(starts.select("s", F.col("s").alias("v"), F.lit(1.0).alias("sigma")))]
     visited = layers[0].select("s", "v")
     while True:
@@ -327,11 +369,12 @@ def _dependencies(arcs: DataFrame, starts: DataFrame) -> DataFrame:
             here = cut_lineage(
                 layer.join(handed, ["s", "v"], "left").select("s", "v", "sigma", F.coalesce("delta", F.lit(0.0)).alias("delta"))
             )
+        # A person stands in one layer of a source, so each row is the whole share.
         shares = here.select("v", "delta") if shares is None else shares.union(here.select("v", "delta"))
         below = here
     if shares is None:
-        return layers[0].select("v", F.lit(0.0).alias("delta"))
-    return cut_lineage(shares.groupBy("v").agg(F.sum("delta").alias("delta")))
+        return layers[0].select("v", F.lit(0.0).alias("delta"), F.lit(0.0).alias("squares"))
+    return cut_lineage(shares.groupBy("v").agg(F.sum("delta").alias("delta"), F.sum(F.col("delta") * F.col("delta")).alias("squares")))
 
 
 def bridge_details(anchor_edges: DataFrame, members: DataFrame, unit_kind: DataFrame) -> DataFrame:

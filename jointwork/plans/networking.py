@@ -250,6 +250,11 @@ def _(t):
     return n.betweenness(n.pair_works(t.member))
 
 
+@register("betweenness_sampled")
+def _(t):
+    return n.sampled_betweenness(n.pair_works(t.member), eps=0.1, delta=0.05)
+
+
 @register("bridge_scholars", """SELECT anchor, pid, n_units, n_collaborators, works, rnk FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY anchor ORDER BY n_units DESC, works DESC, pid) AS INT) AS rnk FROM bscore)
 WHERE rnk <= 30""", ctes="""bdet AS (

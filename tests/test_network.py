@@ -169,6 +169,24 @@ def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
     assert skew.shared_base(Session())
 
 
+def test_sampled_betweenness_keeps_its_error(spark):
+    """A ring of cliques: exact values within the stated error, fewer sources than people, errors within the scale."""
+    import itertools
+
+    pairs = [(5 * g + i, 5 * g + j) for g in range(30) for i, j in itertools.combinations(range(5), 2)]
+    pairs += [(min(5 * g, 5 * ((g + 1) % 30)), max(5 * g, 5 * ((g + 1) % 30))) for g in range(30)]
+    edges = spark.createDataFrame([(a, b, 1) for a, b in pairs], "a bigint, b bigint, works bigint")
+    exact = {r["pid"]: r["betweenness"] for r in n.betweenness(edges).collect()}
+    found = n.sampled_betweenness(edges, eps=0.9, delta=0.05, first=40).collect()
+    people = 150
+    assert {r["pid"] for r in found} == exact.keys()
+    assert {r["n_sources"] for r in found} <= {40, 80}
+    assert all(abs(r["betweenness"] - exact[r["pid"]]) <= r["error"] <= 0.9 * people * (people - 2) / 2 for r in found)
+    whole = n.sampled_betweenness(edges, eps=1e-6, delta=0.05).collect()
+    assert all(r["error"] == 0 and r["n_sources"] == people and abs(r["betweenness"] - exact[r["pid"]]) < 1e-4 for r in whole)
+    assert n.sampled_betweenness(edges.limit(0), 0.1, 0.1).count() == 0
+
+
 def test_one_work_with_very_many_people_is_tiled(spark):
     people = spark.range(3000).select(F.lit("article").alias("source"), F.lit(1).cast("bigint").alias("wid"), F.col("id").alias("pid"))
     members = ex.sided_members(people.filter("pid < 50"), people, people.filter("pid >= 10"), people.filter("pid <> 7"))
