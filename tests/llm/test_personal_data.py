@@ -1,6 +1,6 @@
 import re
 
-from jointwork.llm.personal_data import KINDS, bootstrap, find_spans, places, redact
+from jointwork.llm.personal_data import CONTEXT, KINDS, bootstrap, find_spans, places, redact
 from tests.llm.data import corpus, frame
 
 PATTERNS = [
@@ -66,7 +66,7 @@ def test_redaction_keeps_rows_and_columns(spark):
 
 def test_empty(spark):
     docs = frame(spark, [(1, "a")])
-    assert find_spans(docs).count() == 0 and bootstrap(places(docs)).count() == 0
+    assert find_spans(docs).count() == 0 and bootstrap(places(docs), docs).count() == 0
     assert redact(docs.limit(0), find_spans(docs.limit(0))).count() == 0
     assert len(KINDS) == 4
 
@@ -86,7 +86,7 @@ def test_contexts_are_taken_from_the_whole_text(spark):
     text = "order 2024 ref: a@b.cd 17 18 x1 +1 (767) 555-5699 é\n" + "7 " * 60 + "c@d.ef,g@h.ij end"
     for r in places(frame(spark, [(1, text)])).collect():
         assert text[r["start"] : r["end"]] == r["match"]
-        assert (r["left"], r["right"]) == (text[max(0, r["start"] - 40) : r["start"]], text[r["end"] : r["end"] + 40])
+        assert (r["left"], r["right"]) == (text[max(0, r["start"] - CONTEXT) : r["start"]], text[r["end"] : r["end"] + CONTEXT])
     rows = [(i, f"order {2000 + i} ref: user{i}@mail.example.com yes 18") for i in range(30)] + [(100, "order 2024 ref: x#7 yes 18")]
     new = [(r["doc_id"], r["kind"], r["start"], r["end"]) for r in find_spans(frame(spark, rows)).filter("kind > 3").collect()]
     assert new == [(100, 4, 16, 19)]
