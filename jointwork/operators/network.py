@@ -77,6 +77,19 @@ def pair_type_counts(edges: DataFrame, affil: DataFrame, kind_units: DataFrame)
     )
 
 
+def pair_file_rows(details: DataFrame, work: DataFrame, person: DataFrame) -> DataFrame:
+    """What the pair files hold: per unit and pair of internal people the works of each kind, across units per partner unit.
+
+    Counted from detail rows (``both_sides_explode``), so it checks the pair
+    counts that come from edges.
+    """
+    inside = details.filter("rel < 2").withColumn("partner_unit", F.when(F.col("rel") == 1, F.col("c_unit_id").cast("string")))
+    one = inside.select(F.col("unit_id").cast("string").alias("unit"), "rel", "pid", "partner_unit", "cpid", "wid").distinct().join(work.select("wid", "work_type"), "wid")
+    counts = one.groupBy("unit", "rel", "pid", "partner_unit", "cpid").agg(*[flag_sum(F.col("work_type") == t).alias(c) for t, c in TYPE_COLUMNS.items()])
+    name = lambda pid, out: person.groupBy(F.col("pid").alias(pid)).agg(F.min("pname").alias(out))
+    return counts.join(name("pid", "scholar"), "pid").join(name("cpid", "partner"), "cpid")
+
+
 def degree(edges: DataFrame) -> DataFrame:
     """Distinct collaborators per person."""
     return both_ways(edges.select("a", "b")).groupBy("pid").agg(F.count_distinct("other").alias("degree"))

@@ -9,7 +9,6 @@ from jointwork.operators import counts as c, extract as ex, lookup as lk, reconc
 from jointwork.plans.counting import entity_labels, rollup
 from jointwork.plans.extracting import ARTICLES, LINES, UNITS
 from jointwork.plans.fixture import HOME
-from jointwork.plans.networking import pair_counts
 from jointwork.plans.registry import register
 
 COLS = ["within_works", "across_works", "inter_works", "across_collabs"]
@@ -40,26 +39,6 @@ def _(t):
     return q.reconcile(a, b, ["id"], COLS)
 
 
-PAIRS = """pt AS (SELECT CAST(unit_id AS STRING) AS unit_id, rel, pid, cpid, COUNT(DISTINCT wid) AS works FROM fx_details
-  WHERE rel IN (0, 1) AND unit_type IN ('Department', 'Medical', 'Clinical') GROUP BY unit_id, rel, pid, cpid)
-"""
-
-
-@register("reconcile_summary", """SELECT unit_id, scope, COUNT(*) AS checked, CAST(SUM(d) AS BIGINT) AS mismatched,
-CAST(0 AS BIGINT) AS missing_in_a, CAST(SUM(d) AS BIGINT) AS missing_in_b FROM (
-  SELECT unit_id, CASE rel WHEN 0 THEN 'Within Unit' ELSE 'Across Units' END AS scope,
-    CASE WHEN works >= 2 THEN 0 ELSE 1 END AS d FROM pt) GROUP BY unit_id, scope""", ctes=PAIRS)
-def _(t):
-    from jointwork.model import TYPE_COLUMNS
-    from jointwork.sources.writers import stored
-
-    works = sum((F.col(x) for x in TYPE_COLUMNS.values()), F.lit(0))
-    ours = stored(pair_counts(t).withColumn("works", works.cast("bigint")), "pair-counts")
-    repeat = ours.filter("works >= 2")
-    diff = q.reconcile(ours, repeat, ["unit_id", "scope", "pid", "cpid"], ["works"])
-    return q.reconcile_summary(diff, ["unit_id", "scope"])
-
-
 @register("bulk_set_diff", """SELECT is_confproc, COUNT(CASE WHEN ia = 1 AND ib = 1 THEN 1 END) AS matched,
 COUNT(CASE WHEN ia = 1 AND ib = 0 THEN 1 END) AS missing, COUNT(CASE WHEN ia = 0 AND ib = 1 THEN 1 END) AS extra FROM (
   SELECT doi, pid, is_confproc, MAX(ia) AS ia, MAX(ib) AS ib FROM (

@@ -11,14 +11,15 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from jointwork.functions.text import college_anchor_key, compact_unit, payload_filename, unit_anchor_key
-from jointwork.model import KINDS, TYPE_COLUMNS
-from jointwork.operators import counts as c, extract as ex, relations as r, reports as rp
+from jointwork.model import KIND_UNIT_TYPES, KINDS, TYPE_COLUMNS
+from jointwork.operators import counts as c, extract as ex, network as n, reconcile as q, relations as r, reports as rp
 from jointwork.operators.skew import shared_dir
 from jointwork.plans.counting import entity_labels
 from jointwork.plans.networking import pair_counts
 from jointwork.plans.extracting import DETAILS_SQL, flat_fact
 from jointwork.plans.registry import register
 from jointwork.sources import readers as rd, writers as wr
+from jointwork.sources.writers import stored
 
 
 def details(t):
@@ -258,42 +259,62 @@ def _(t):
     )
 
 
-PAIR_SQL = """SELECT {cols} FROM (
-  SELECT CAST(unit_id AS STRING) AS unit_id, CASE rel WHEN 0 THEN 'Within Unit' ELSE 'Across Units' END AS scope, pid, cpid,
-    COUNT(DISTINCT CASE WHEN work_type = 'Article' THEN d.wid END) AS n_articles, COUNT(DISTINCT CASE WHEN work_type = 'Patent' THEN d.wid END) AS n_patents
-  FROM fx_details d JOIN fx_work w ON d.wid = w.wid
-  WHERE rel IN (0, 1) AND unit_type IN ('Department', 'Medical', 'Clinical') GROUP BY unit_id, rel, pid, cpid) GROUP BY {by}"""
+# Rows of the pair files: within a unit one per pair, across units one per pair and partner unit.
+PAIR_FILES = """pf AS (SELECT unit, rel, pid, partner_unit, cpid, COUNT(CASE WHEN work_type = 'Article' THEN 1 END) AS n_articles,
+    COUNT(CASE WHEN work_type = 'Patent' THEN 1 END) AS n_patents, COUNT(*) AS works FROM (
+    SELECT DISTINCT CAST(unit_id AS STRING) AS unit, rel, pid, CASE WHEN rel = 1 THEN CAST(c_unit_id AS STRING) END AS partner_unit, cpid, wid
+    FROM fx_details WHERE rel IN (0, 1) AND unit_type IN ('Department', 'Medical', 'Clinical')) d JOIN fx_work w ON d.wid = w.wid
+  GROUP BY unit, rel, pid, partner_unit, cpid)
+"""
 
 
-def _oracle_folders(t):
-    """Pair counts as one folder per unit and scope, with long headers."""
-    long_names = {"pid": "Unit Scholar ID", "cpid": "Collab Scholar ID", **{v: f"Co Authored {k}" for k, v in TYPE_COLUMNS.items()}}
-    rows = pair_counts(t)
-    for old, new in long_names.items():
-        rows = rows.withColumnRenamed(old, new)
-    out = rows.select(
-        F.concat(F.lit("dept_"), "unit_id").alias("folder"), F.when(F.col("scope") == "Within Unit", "within").otherwise("across").alias("view"),
-        F.col("unit_id").alias("Unit"), *long_names.values(),
-    )
-    path = shared_dir(t.spark, "oracle-folders")
-    out.hint("rebalance", "folder", "view").write.mode("overwrite").option("header", True).partitionBy("folder", "view").csv(path)
+def pair_files(t):
+    """Pair counts as one folder per view and unit, each view in its own layout, with long headers."""
+    kinds = F.col("unit_type").isin(*KIND_UNIT_TYPES["Department"])
+    rows = stored(n.pair_file_rows(details(t).filter(kinds), t.work_all, t.person), "pair-rows")
+    path = shared_dir(t.spark, "pair-files")
+    long = {"unit": "Unit", "scholar": "Unit Scholar", "pid": "Unit Scholar ID", "partner_unit": "Collab Unit", "partner": "Collab Scholar", "cpid": "Collab Scholar ID"}
+    for rel, view, schema in ((0, "within", rd.PAIR_WITHIN_SCHEMA), (1, "across", rd.PAIR_ACROSS_SCHEMA)):
+        out = rows.filter(F.col("rel") == rel).select(
+            F.concat(F.lit("dept_"), "unit").alias("folder"), *[F.col(c).alias(long.get(c, f"Co Authored {c}")) for c in schema.names]
+        )
+        out.hint("rebalance", "folder").write.mode("overwrite").option("header", True).partitionBy("folder").csv(f"{path}/view={view}")
     return path
 
 
-@register("read_csv_positional", PAIR_SQL.format(by="unit_id", cols="""unit_id AS unit, COUNT(*) AS n_rows, CAST(SUM(n_articles) AS BIGINT) AS n_articles,
-CAST(SUM(n_patents) AS BIGINT) AS n_patents"""))
+def read_back_pairs(t):
+    return rd.read_pair_files(t.spark, pair_files(t), r"folder=[^/]*_([^/_]+)/")
+
+
+@register("read_csv_positional", """SELECT unit, COUNT(*) AS n_rows, CAST(SUM(n_articles) AS BIGINT) AS n_articles, CAST(SUM(n_patents) AS BIGINT) AS n_patents,
+MIN(p.pname) AS first_partner FROM pf JOIN fx_person p ON cpid = p.pid WHERE rel = 0 GROUP BY unit""", ctes=PAIR_FILES)
 def _(t):
-    path = _oracle_folders(t)
-    df = rd.read_csv_positional(t.spark, f"{path}/folder=*/view=*/*.csv", rd.PAIR_SCOPE_SCHEMA)
-    return df.groupBy("unit").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_articles").alias("n_articles"), F.sum("n_patents").alias("n_patents"))
+    df = rd.read_csv_positional(t.spark, f"{pair_files(t)}/view=within/*/*.csv", rd.PAIR_WITHIN_SCHEMA)
+    return df.groupBy("unit").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("n_articles").alias("n_articles"), F.sum("n_patents").alias("n_patents"), F.min("partner").alias("first_partner")
+    )
+
+
+@register("read_folders_union", """SELECT unit AS folder_unit, CASE rel WHEN 0 THEN 'within' ELSE 'across' END AS folder_scope, COUNT(*) AS n_rows,
+CAST(SUM(n_articles) AS BIGINT) AS n_articles, COUNT(DISTINCT partner_unit) AS partner_units FROM pf GROUP BY unit, rel""", ctes=PAIR_FILES)
+def _(t):
+    return read_back_pairs(t).groupBy("folder_unit", "folder_scope").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("n_articles").alias("n_articles"), F.count_distinct("partner_unit").alias("partner_units")
+    )
 
 
-@register("read_folders_union", PAIR_SQL.format(by="unit_id, scope", cols="""unit_id AS folder_unit, CASE scope WHEN 'Within Unit' THEN 'within' ELSE 'across' END AS folder_scope,
-COUNT(*) AS n_rows, CAST(SUM(n_articles) AS BIGINT) AS n_articles"""))
+@register("reconcile_summary", """SELECT unit AS unit_id, CASE rel WHEN 0 THEN 'Within Unit' ELSE 'Across Units' END AS scope, COUNT(*) AS checked,
+CAST(0 AS BIGINT) AS mismatched, CAST(0 AS BIGINT) AS missing_in_a, CAST(0 AS BIGINT) AS missing_in_b
+FROM (SELECT DISTINCT unit, rel, pid, cpid FROM pf) GROUP BY unit, rel""", ctes=PAIR_FILES)
 def _(t):
-    path = _oracle_folders(t)
-    df = rd.read_folders_union(t.spark, f"{path}/folder=*/view=*/*.csv", rd.PAIR_SCOPE_SCHEMA, r"folder=[^/]*_([^/_]+)/", r"view=([^/]+)/")
-    return df.groupBy("folder_unit", "folder_scope").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_articles").alias("n_articles"))
+    """Pair counts from edges against the pair files, which come from detail rows and are read back in both layouts."""
+    works = sum((F.col(x) for x in TYPE_COLUMNS.values()), F.lit(0)).cast("bigint").alias("works")
+    key = ["unit_id", "scope", "pid", "cpid"]
+    ours = pair_counts(t).select(*key, works)
+    scope = F.when(F.col("folder_scope") == "within", "Within Unit").otherwise("Across Units")
+    theirs = read_back_pairs(t).select(F.col("unit").alias("unit_id"), scope.alias("scope"), "pid", "cpid", works)
+    # A pair has a row per partner unit, each with all its works.
+    return q.reconcile_summary(q.reconcile(ours, theirs.groupBy(*key).agg(F.max("works").alias("works")), key, ["works"]), ["unit_id", "scope"])
 
 
 @register("read_parquet_projected", "SELECT o_orderkey, o_orderdate FROM orders")
