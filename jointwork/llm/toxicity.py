@@ -1,8 +1,8 @@
 """Toxicity: a small recurrent network over all overlapping windows of a text.
 
 The network (``toxicity_model``) is fitted in numpy on a bounded sample of the
-labelled documents: the ``TRAIN_DOCS`` with the smallest hash of their id,
-whole texts of at most ``TRAIN_CHARS`` characters, without the held-out third (crc32 of the id as text, modulo 3, is
+labelled documents: whole texts of the ``TRAIN_DOCS`` with the smallest hash
+of their id, without the held-out third (crc32 of the id as text, modulo 3, is
 1).  Labels, language, source and id are no inputs.  Scoring sees every word
 of every document in windows of 16 words that overlap by half; the highest
 window scores and the number of windows make the score.
@@ -30,7 +30,6 @@ from jointwork.llm.token_ids import in_blocks
 from jointwork.llm.toxicity_model import Model, train
 
 TRAIN_DOCS = 3000
-TRAIN_CHARS = 65_536
 THRESHOLD = 0.7
 
 
@@ -46,7 +45,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, size: int = TRAIN_DOCS)
     )
     chosen = usable.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
     # At most ``size`` rows are broadcast, and as many texts come to the driver.
-    rows = docs.select("doc_id", "text").filter(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return [r["text"] or "" for r in rows], [int(r["toxic"] > 0) for r in rows]
 

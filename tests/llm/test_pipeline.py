@@ -11,6 +11,9 @@ def source(spark, tmp_path):
     import random
 
     rows, items = test_decontamination.case()
+    # Different texts under one id, one of them a copy; copies without id; a repeated row.
+    rows += [(5000, "a b c d e f g h"), (5000, "totally other words stand in this one here"), (4999, "a b c d e f g h"), (None, "a b c d e f g h")]
+    rows += [(None, "no id but words of its own stand here"), (None, "no id but words of its own stand here"), (5001, "x y z u v w"), (5001, "x y z u v w")]
     rng = random.Random(8)
     labels = []
     for i in range(120):
@@ -47,18 +50,16 @@ def test_each_stage_on_its_own_input(spark, tmp_path):
             assert sum((i in gone) == bool(toxic[i]) for i in held) >= 0.9 * len(held)
             assert not after - before
         elif name == "jaccard":
-            want = collections.Counter()
-            parts = test_jaccard_join.brute(list(before.elements()))
-            keep = {c for d, _, c in parts if d is not None}
-            done = set()
-            for d, t in before.elements():
-                if d is None or (d in keep and d not in done):
-                    want[(d, t)] += 1
-                    done.add(d)
-            assert {d for d, _ in after} == {d for d, _ in want} and after.total() == want.total() and not after - before
+            rows = sorted(set(before), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+            groups = {}
+            for i, _, c in test_jaccard_join.brute([(i, t) for i, (_, t) in enumerate(rows)]):
+                groups.setdefault(c, []).append(i)
+            ids = lambda found: collections.Counter(d for d, _ in found)
+            assert not after - collections.Counter(rows) and ids(after) == ids(rows[min(g)] for g in groups.values())
         elif name == "decontamination":
-            hit = {d for d, _, n, _ in test_decontamination.brute(list(before), items) if n}
-            assert {d for d, _ in after} == {d for d, _ in before} - hit
+            rows = list(before.elements())
+            hit = {i for i, _, n, _ in test_decontamination.brute([(i, t) for i, (_, t) in enumerate(rows)], items) if n}
+            assert after == collections.Counter(r for i, r in enumerate(rows) if i not in hit)
         elif name == "personal_data":
             assert [d for d, _ in sorted(after.elements(), key=str)] == [d for d, _ in sorted(before.elements(), key=str)] or len(after) == len(before)
             assert not any(test_personal_data.brute(t) for _, t in after)
