@@ -4,13 +4,13 @@ Each stage takes what its predecessor kept, written as Parquet and read again,
 and returns the columns of ``documents``; the last returns packed pieces.
 
     toxicity          documents that the network rejects go
-    jaccard           of documents linked by Jaccard >= 0.8 the smallest doc_id stays
+    jaccard           of rows linked by Jaccard >= 0.8 that with the smallest doc_id stays
     decontamination   documents that hold a benchmark window go
     personal_data     spans are replaced by their kind in brackets
     packing           pieces with sequence and offset
 
-Rows without doc_id pass the jaccard stage, as no id can stand for them; of
-repeated rows one stays there.  An empty table stays empty through all stages.
+In the jaccard stage rows without doc_id come after all others, different texts
+under one doc_id are rows of their own, and of equal rows one stays.  An empty table stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -34,15 +34,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Decided row by row: a row is known by its doc_id and the hash of id and text, so texts under one id are told apart."""
     ship(spark)
-    found = stored(jaccard_join.jaccard_components(docs).select("doc_id", "component_id"), "near-copies")
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(small(stored(gone, "gone"), DROPPED_ROWS), docs["doc_id"] == F.col("_gone"), "left_anti")
-    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    key = row_key("doc_id", "text")
+    found = stored(jaccard_component_keys(docs.select(key.alias("doc_id"), "text")), "near-copies")
+    rows = found.join(docs.select("doc_id", key.alias("k")).distinct(), "k")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
+    stays = rows.groupBy("component_id").agg(F.min(order).alias("stays"), F.max(order).alias("last")).filter("stays <> last").select("component_id", "stays")
+    gone = rows.join(stays, "component_id").filter(order != F.col("stays")).select(F.col("doc_id").alias("_doc"), F.col("k").alias("_k"))
+    kept = docs.join(small(stored(gone, "gone"), DROPPED_ROWS), (key == F.col("_k")) & docs["doc_id"].eqNullSafe(F.col("_doc")), "left_anti")
+    if found.filter("copies > 1").limit(1).count():
+        kept = kept.withColumn("_k", key).dropDuplicates(["doc_id", "_k"]).drop("_k")
     return kept
 
 
+def jaccard_component_keys(rows: DataFrame) -> DataFrame:
+    """(k, component_id, copies) of the keys that stand for ids in ``rows``."""
+    return jaccard_join.jaccard_components(rows).groupBy(F.col("doc_id").alias("k")).agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("copies"))
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     hit = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0")
