@@ -491,6 +491,26 @@ def tie_detail(anchor_edges: DataFrame, members: DataFrame, partners: DataFrame,
     return by_unit.select(*cols).union(by_inst.select(*cols)).join(partners, ["anchor", "partner", "rel"], "left_semi")
 
 
+def tie_work_titles(ties: DataFrame, member: DataFrame, person: DataFrame, work: DataFrame, limit: int = 150) -> DataFrame:
+    """Works behind a unit's or institution's ties, labelled by the pair of people.
+
+    ``ties`` as ``tie_detail`` gives them.  A work is listed once per anchor
+    and partner, under its strongest pair, at most ``limit`` of them.  The
+    works of the anchor's person are looked up for the partner's person, so a
+    work with very many people brings no pairs beyond the ties.  Names and
+    titles join after the cut.
+    """
+    m = member.select("wid", "pid")
+    shared = ties.join(m, "pid").join(m.withColumnRenamed("pid", "other"), ["wid", "other"], "left_semi")
+    key = ["anchor", "partner", "rel"]
+    first = shared.groupBy(*key, "wid").agg(F.min(F.struct((-F.col("works")).alias("w"), "pid", "other")).alias("best"))
+    cut = top_k(first, limit, [F.asc("best"), F.asc("wid")], key).select(*key, "wid", "best.pid", "best.other", "rnk")
+    name = lambda pid, out: person.groupBy(F.col("pid").alias(pid)).agg(F.min("pname").alias(out))
+    return cut.join(name("pid", "_p"), "pid").join(name("other", "_o"), "other").join(work.select("wid", "title", "pub_year", "work_type"), "wid").select(
+        *key, "rnk", "wid", F.concat("_p", F.lit(" & "), "_o").alias("pair"), "title", "pub_year", "work_type"
+    )
+
+
 def node_partners(edges: DataFrame) -> DataFrame:
     """Partners and cross-links of every node of a graph."""
     return both_ways(edges.select("a", "b", "works")).groupBy(F.col("pid").alias("node")).agg(

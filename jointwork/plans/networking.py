@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from jointwork.functions.expressions import top_k
 from jointwork.model import KIND_UNIT_TYPES, SCOPES
 from jointwork.operators import network as n, relations as r, scopes as s
 from jointwork.operators.skew import cut_lineage
@@ -331,8 +332,7 @@ def _(t):
     return n.top_institutions(anchor_edges(t), members(t), t.person)
 
 
-@register("tie_detail", """SELECT anchor, partner, rel, pid, other, works FROM ties
-WHERE (partner, anchor, rel) IN (SELECT (partner, anchor, rel) FROM best)""", ctes="""arc2 AS (
+_TIES = """arc2 AS (
   SELECT x.* FROM fx_arcs x JOIN fx_anchor m ON x.anchor = m.anchor AND x.pid = m.pid
   LEFT JOIN fx_anchor o ON x.anchor = o.anchor AND x.other = o.pid WHERE o.pid IS NULL OR x.pid < x.other),
 ties AS (
@@ -344,10 +344,17 @@ best AS (SELECT anchor, partner, rel FROM (
   UNION ALL SELECT anchor, partner, rel FROM (
   SELECT concat('U', anchor) AS anchor, concat('U', partner) AS partner, 1 AS rel,
     row_number() OVER (PARTITION BY anchor ORDER BY works DESC, partner) AS rn FROM fx_punit) WHERE rn = 1)
-""")
+"""
+
+
+@register("tie_detail", """SELECT anchor, partner, rel, pid, other, works FROM ties
+WHERE (partner, anchor, rel) IN (SELECT (partner, anchor, rel) FROM best)""", ctes=_TIES)
 def _(t):
-    from jointwork.functions.expressions import top_k
+    return best_ties(t)
+
 
+def best_ties(t):
+    """Person pairs behind each unit's strongest partner unit and institution."""
     u = lambda c: F.concat(F.lit("U"), F.col(c))
     inst = top_k(r.partner_institutions(t.member, t.affil, t.person), 1, [F.desc("works"), F.asc("inst")], ["anchor"])
     unit = top_k(r.partner_units(t.member, t.affil), 1, [F.desc("works"), F.asc("partner")], ["anchor"])
@@ -357,6 +364,16 @@ def _(t):
     return n.tie_detail(anchor_edges(t, stored=True), members(t), best, t.person)
 
 
+@register("tie_work_titles", """SELECT x.anchor, x.partner, x.rel, x.rnk, x.wid, concat(p.pname, ' & ', q.pname) AS pair, w.title, w.pub_year, w.work_type FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY anchor, partner, rel ORDER BY works DESC, pid, other, wid) AS INT) AS rnk FROM (
+    SELECT t.*, a.wid, row_number() OVER (PARTITION BY t.anchor, t.partner, t.rel, a.wid ORDER BY t.works DESC, t.pid, t.other) AS first_rn
+    FROM ties t JOIN best b ON t.anchor = b.anchor AND t.partner = b.partner AND t.rel = b.rel
+    JOIN fx_member a ON a.pid = t.pid JOIN fx_member o ON o.pid = t.other AND o.wid = a.wid) WHERE first_rn = 1) x
+JOIN fx_person p ON x.pid = p.pid JOIN fx_person q ON x.other = q.pid JOIN fx_work w ON x.wid = w.wid WHERE x.rnk <= 150""", ctes=_TIES)
+def _(t):
+    return n.tie_work_titles(best_ties(t), t.member, t.person, t.work_all, 150)
+
+
 @register("node_partners", """SELECT node, COUNT(*) AS partners, CAST(SUM(works) AS BIGINT) AS cross_links FROM (
   SELECT a AS node, works FROM fx_umatrix WHERE unit_kind = 'Department' AND level = 'department' AND a <> b
   UNION ALL SELECT b, works FROM fx_umatrix WHERE unit_kind = 'Department' AND level = 'department' AND a <> b) GROUP BY node""")
