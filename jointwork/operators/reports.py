@@ -6,10 +6,10 @@ is ever collected whole into one row; the parts together hold every row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from jointwork.functions.expressions import joined_set, top_k
-from jointwork.functions.text import truncate
+from jointwork.functions.text import college_anchor, truncate, unit_anchor_key
 from jointwork.model import UNIT_TYPES, WORK_TYPES, in_kind
 from jointwork.operators.skew import CHUNK, chunk_no, dense_index, pair_up
 
@@ -71,8 +71,6 @@ def truncate_columns(df: DataFrame, widths: dict[str, int]) -> DataFrame:
 
 
 def _anchors_of_row() -> Column:
-    from jointwork.functions.text import college_anchor, unit_anchor_key
-
     return F.filter(
         F.array(unit_anchor_key(F.col("unit_id")), college_anchor(F.col("college"))), lambda a: a.isNotNull()
     )
@@ -99,56 +97,63 @@ def anchor_payload(rows: DataFrame, entry: list[str], work_size: str | None = No
     )
 
 
-def interned_payload(rows: DataFrame, strings: list[str], plain: list[str], chunk: int = CHUNK) -> DataFrame:
-    """Self-contained payload parts with a shared string table each.
+# Entry of a payload row: name there, column of the flat fact.
+PAYLOAD_ROW = {
+    "pid": "PersonId", "college": "College", "unit": "Department", "unit_type": "UnitType", "discipline": "Discipline", "field": "Broad_Field",
+    "cpid": "Collab_PersonID", "c_college": "Collab_College", "c_unit": "Collab_Department", "c_unit_type": "Collab_UnitType",
+    "c_discipline": "Collab_Disc", "c_field": "Collab_BF", "c_inst": "Collab_Institution", "rel": "Relationship", "dir": "Collab_Dir",
+}
 
-    The number of parts of an anchor follows from its row count; rows go to
-    parts by hash, so a huge anchor or a huge work spreads evenly.  Every
-    part carries its own sorted ``strs`` and the rows hold positions in it.
-    A part is packed by a vectorised Arrow function: array functions would
-    scan the string table once per cell.
-    """
-    a = anchor_rows(rows).select("anchor", "wid", *plain, *[F.col(c).cast("string").alias(c) for c in strings])
-    sizes = a.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n"))
-    ident = F.concat_ws("-", *[F.col(c).cast("string") for c in ["wid", *plain, *strings]])
-    parts = a.join(sizes, "anchor").withColumn("part", chunk_no(ident, F.col("_n"), chunk)).drop("_n")
-    kept = ["wid", *plain]
-    entry = T.StructType([parts.schema[c] for c in kept] + [T.StructField(c, T.IntegerType()) for c in strings])
-    schema = T.StructType([
-        T.StructField("anchor", T.StringType()), T.StructField("part", T.LongType()),
-        T.StructField("strs", T.ArrayType(T.StringType())), T.StructField("rows", T.ArrayType(entry)),
-    ])
-
-    def pack(key, table):
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        cells = {c: table.column(c).combine_chunks() for c in table.column_names}
-        words = pc.drop_null(pc.unique(pa.chunked_array([cells[c] for c in strings])))
-        words = words.take(pc.sort_indices(words))
-        coded = [cells[c] for c in kept] + [pc.index_in(cells[c], value_set=words) for c in strings]
-        entries = pa.StructArray.from_arrays(coded, names=kept + strings)
-        return pa.table({
-            "anchor": pa.array([key[0].as_py()]),
-            "part": pa.array([key[1].as_py()], pa.int64()),
-            "strs": pa.ListArray.from_arrays([0, len(words)], words),
-            "rows": pa.ListArray.from_arrays([0, len(entries)], entries),
-        })
-
-    return parts.groupBy("anchor", "part").applyInArrow(pack, schema)
-
-
-def explode_payload(payload: DataFrame, strings: list[str], plain: list[str]) -> DataFrame:
-    """Payload parts back to flat rows, decoding the string positions.
-
-    Parts are never empty.  ``explode_outer`` keeps the optimizer from adding
-    a "not empty" filter that would build the coded rows a second time.
+
+def self_contained_payload(fact: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(anchor, part, people, works, rows_by_work): the flat fact nested so that a part can be read alone.
+
+    ``people`` maps id to (name, rank), partners without rank; ``works`` maps
+    id to (title, type, year, detail), long texts cut; ``rows_by_work`` maps id
+    to its rows of 15 fields.  Values are plain: the file format encodes
+    repeats.  An anchor has a part per ``chunk`` rows.  The rows of a work stay
+    together; only a work of more rows than a part is spread by row.
     """
-    flat = payload.select("anchor", "strs", F.explode_outer("rows").alias("r"))
-    return flat.select(
-        "anchor", F.col("r.wid").alias("wid"), *[F.col(f"r.{c}").alias(c) for c in plain],
-        *[F.when(F.col(f"r.{c}") >= 0, F.element_at("strs", F.col(f"r.{c}") + 1)).alias(c) for c in strings],
+    anchors = F.filter(F.array(unit_anchor_key(F.col("UnitId")), college_anchor(F.col("College"))), lambda k: k.isNotNull())
+    rows = fact.withColumn("anchor", F.explode(anchors)).withColumnRenamed("Collab_ID", "wid")
+    per_work = rows.groupBy("anchor", "wid").agg(F.count(F.lit(1)).alias("_w"))
+    sizes = per_work.join(per_work.groupBy("anchor").agg(F.sum("_w").alias("_n")), "anchor")
+    ident = F.when(F.col("_w") <= chunk, F.col("wid")).otherwise(F.concat_ws("-", "wid", *PAYLOAD_ROW.values()))
+    placed = rows.join(sizes, ["anchor", "wid"]).withColumn("part", chunk_no(ident, F.col("_n"), chunk))
+    entry = F.struct(*[F.col(c).alias(n) for n, c in PAYLOAD_ROW.items()])
+    about = F.struct(
+        F.substring("Collab_Title", 1, 200).alias("title"), F.col("CollaborationType").alias("type"), F.col("Year").alias("year"),
+        F.substring("Collab_Detail", 1, 100).alias("detail"),
+    )
+    person = lambda pid, name, rank: F.struct(F.col(pid).alias("id"), F.struct(F.col(name).alias("name"), rank.alias("rank")).alias("about"))
+    met = F.array(person("PersonId", "PersonName", F.col("Rank")), person("Collab_PersonID", "Collab_PersonName", F.lit("")))
+    # A work of a part is one row here, with its rows and the people in them.
+    works = placed.groupBy("anchor", "part", "wid").agg(
+        F.collect_list(entry).alias("rows"), F.min(about).alias("about"), F.array_distinct(F.flatten(F.collect_set(met))).alias("met")
+    )
+    people = (
+        works.select("anchor", "part", F.explode("met").alias("p")).groupBy("anchor", "part", "p.id").agg(F.max(F.struct("p.about.rank", "p.about.name")).alias("a"))
+        .groupBy("anchor", "part").agg(F.map_from_entries(F.collect_list(F.struct("id", F.struct("a.name", "a.rank")))).alias("people"))
     )
+    nested = works.groupBy("anchor", "part").agg(
+        F.map_from_entries(F.collect_list(F.struct("wid", "about"))).alias("works"), F.map_from_entries(F.collect_list(F.struct("wid", "rows"))).alias("rows_by_work")
+    )
+    return people.join(nested, ["anchor", "part"]).select("anchor", "part", "people", "works", "rows_by_work")
+
+
+def explode_payload(payload: DataFrame) -> DataFrame:
+    """Payload parts back to flat rows, with names, ranks and the work's columns from the part's own maps.
+
+    The maps are unfolded to rows and joined by part and id: a row never
+    carries the maps of its part.  ``payload`` is read once per map.
+    """
+    part = ["anchor", "part"]
+    rows = payload.select(*part, F.explode("rows_by_work").alias("wid", "rows")).select(*part, "wid", F.explode("rows").alias("r")).select(*part, "wid", "r.*")
+    works = payload.select(*part, F.explode("works").alias("wid", "w")).select(*part, "wid", "w.*")
+    people = payload.select(*part, F.explode("people").alias("id", "p"))
+    one = people.select(*part, F.col("id").alias("pid"), F.col("p.name").alias("name"), F.col("p.rank").alias("rank"))
+    other = people.select(*part, F.col("id").alias("cpid"), F.col("p.name").alias("c_name"))
+    return rows.join(works, [*part, "wid"]).join(one, [*part, "pid"]).join(other, [*part, "cpid"]).drop("part")
 
 
 def string_dictionary(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -101,19 +101,16 @@ DET_ANCHOR = """danch AS (
 CAST(SUM(rel) AS BIGINT) AS rel_sum FROM danch GROUP BY anchor, wid""", ctes=DET_ANCHOR)
 def _(t):
     rows = ex.both_sides_explode(ex.collab_pairs(t.member, keep_size=True), t.affil)
-    sized = rows.withColumn("bound", F.col("n_people") * F.col("n_people"))
+    # Rows of a work are at most its people squared times the places of a person on either side.
+    places = t.affil.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    sized = rows.withColumn("bound", F.col("n_people") * F.col("n_people") * places**2)
     nested = rp.anchor_payload(sized, ["pid", "unit_label", "discipline", "cpid", "c_unit_label", "c_inst", "rel"], "bound")
     e = F.col("rows")
-    per_part = nested.select(
-        "anchor", "wid", "n_rows", F.array_distinct(F.transform(e, lambda x: x["pid"])).alias("pids"),
-        F.array_max(F.transform(e, lambda x: x["cpid"])).alias("last_partner"),
-        F.aggregate(e, F.lit(0).cast("bigint"), lambda acc, x: acc + x["rel"]).alias("rel_sum"),
-    )
-    return per_part.groupBy("anchor", "wid").agg(
-        F.sum("n_rows").alias("n_rows"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("pids")))).cast("bigint").alias("n_people"),
-        F.max("last_partner").alias("last_partner"),
-        F.sum("rel_sum").alias("rel_sum"),
+    flat = nested.select("anchor", "wid", F.explode("rows").alias("r")).select("anchor", "wid", "r.pid", "r.cpid", "r.rel")
+    # People of a work are counted per person first, so no row holds them all.
+    per_person = flat.groupBy("anchor", "wid", "pid").agg(F.count(F.lit(1)).alias("n"), F.max("cpid").alias("last"), F.sum("rel").alias("rels"))
+    return per_person.groupBy("anchor", "wid").agg(
+        F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_people"), F.max("last").alias("last_partner"), F.sum("rels").alias("rel_sum"),
     )
 
 
@@ -169,40 +166,63 @@ def _(t):
     )
 
 
-STRINGS = ["college", "unit_label", "unit_type", "inst_id", "country", "sector"]
 INTL_ANCHOR = """ianch AS (
   SELECT concat('U', CAST(unit_id AS STRING)) AS anchor, * FROM fx_intl
   UNION ALL SELECT concat('C', college), * FROM fx_intl WHERE college IS NOT NULL)
 """
 
 
-def intl_payload(t):
-    return rp.interned_payload(t.intl, STRINGS, ["pid"])
+FACT_ANCHOR = "fact AS (" + DETAILS_SQL + """), fanch AS (
+  SELECT concat('U', UnitId) AS anchor, * FROM fact UNION ALL SELECT concat('C', College), * FROM fact WHERE College IS NOT NULL)
+"""
+
 
+def details_payload(t):
+    return rp.self_contained_payload(stored(flat_fact(t), "fact"))
 
-@register("explode_payload", """SELECT anchor, wid, pid, college, unit_label, unit_type, CAST(inst_id AS STRING) AS inst_id, country, sector
-FROM ianch""", ctes=INTL_ANCHOR)
+
+@register("explode_payload", """SELECT anchor, Relationship AS rel, CollaborationType AS type, COUNT(*) AS n_rows, COUNT(DISTINCT PersonName) AS names,
+COUNT(DISTINCT Collab_PersonName) AS partners, MIN(Collab_Title) AS first_title, MAX(Collab_Detail) AS last_detail, CAST(SUM(Year) AS BIGINT) AS years,
+MIN(Rank) AS first_rank, COUNT(DISTINCT concat(Collab_Department, Collab_UnitType, Collab_Institution)) AS partner_units
+FROM fanch GROUP BY anchor, Relationship, CollaborationType""", ctes=FACT_ANCHOR)
 def _(t):
-    return rp.explode_payload(intl_payload(t), STRINGS, ["pid"])
+    flat = rp.explode_payload(stored(details_payload(t), "payload"))
+    return flat.groupBy("anchor", "rel", "type").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("name").alias("names"), F.count_distinct("c_name").alias("partners"), F.min("title").alias("first_title"),
+        F.max("detail").alias("last_detail"), F.sum("year").alias("years"), F.min("rank").alias("first_rank"),
+        F.count_distinct(F.concat("c_unit", "c_unit_type", "c_inst")).alias("partner_units"),
+    )
 
 
-@register("read_json_payload", """SELECT anchor, COUNT(*) AS n_rows, COUNT(DISTINCT wid) AS works, COUNT(DISTINCT country) AS countries
-FROM ianch GROUP BY anchor""", ctes=INTL_ANCHOR)
+@register("read_json_payload", """SELECT a.anchor, a.n_rows, a.works, b.people, b.first_name, b.last_name FROM (
+  SELECT anchor, COUNT(*) AS n_rows, COUNT(DISTINCT Collab_ID) AS works FROM fanch GROUP BY anchor) a JOIN (
+  SELECT anchor, COUNT(DISTINCT p) AS people, MIN(n) AS first_name, MAX(n) AS last_name FROM (
+    SELECT anchor, PersonId AS p, PersonName AS n FROM fanch UNION SELECT anchor, Collab_PersonID, Collab_PersonName FROM fanch) GROUP BY anchor) b
+ON a.anchor = b.anchor""", ctes=FACT_ANCHOR)
 def _(t):
-    payload = intl_payload(t)
+    """Written as JSON, one folder per anchor, and read back by schema: every part stands alone."""
+    payload = details_payload(t)
     path = shared_dir(t.spark, "payload-json")
-    payload.write.mode("overwrite").json(path)
-    flat = rp.explode_payload(rd.read_json_payload(t.spark, path, payload.schema), STRINGS, ["pid"])
-    return flat.groupBy("anchor").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("wid").alias("works"), F.count_distinct("country").alias("countries")
+    wr.write_by(payload, path, "anchor", "json")
+    back = rd.read_json_payload(t.spark, path, payload.schema)
+    lengths = F.aggregate(F.map_values("rows_by_work"), F.lit(0).cast("bigint"), lambda n, r: n + F.size(r))
+    rows = back.select("anchor", lengths.alias("n"), F.map_keys("works").alias("w"))
+    works = rows.select("anchor", F.explode("w").alias("wid")).groupBy("anchor").agg(F.count_distinct("wid").alias("works"))
+    people = back.select("anchor", F.explode("people").alias("pid", "p")).groupBy("anchor").agg(
+        F.count_distinct("pid").alias("people"), F.min("p.name").alias("first_name"), F.max("p.name").alias("last_name")
     )
+    return rows.groupBy("anchor").agg(F.sum("n").alias("n_rows")).join(works, "anchor").join(people, "anchor")
 
 
-@register("write_per_anchor", "SELECT anchor, COUNT(*) AS n_rows FROM ianch GROUP BY anchor", ctes=INTL_ANCHOR)
+@register("write_per_anchor", """SELECT n.anchor AS key, a.label, a.kind, a.unit_type, a.unit_id, concat('anchor=', n.anchor) AS file, n.n_rows FROM (
+  SELECT anchor, COUNT(*) AS n_rows FROM ianch GROUP BY anchor) n JOIN (
+  SELECT concat('U', CAST(unit_id AS STRING)) AS anchor, MIN(unit_label) AS label, 'unit' AS kind, MIN(unit_type) AS unit_type,
+    CAST(unit_id AS STRING) AS unit_id FROM fx_home GROUP BY unit_id
+  UNION ALL SELECT DISTINCT concat('C', college), college, 'college', NULL, NULL FROM fx_home WHERE college IS NOT NULL) a ON n.anchor = a.anchor""", ctes=INTL_ANCHOR)
 def _(t):
     path = shared_dir(t.spark, "per-anchor")
     wr.write_by(rp.anchor_rows(t.intl).select("anchor", "wid", "pid", "inst_id", "country"), path, "anchor")
-    return wr.anchor_index(t.spark.read.parquet(path))
+    return wr.anchor_index(t.spark.read.parquet(path), r.anchor_list(t.affil))
 
 
 @register("write_long_csv", """SELECT 'work_meta' AS tbl, COUNT(*) AS n_rows, CAST(SUM(n_authors) AS BIGINT) AS total FROM fx_meta

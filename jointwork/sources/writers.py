@@ -16,9 +16,13 @@ def write_by(df: DataFrame, path: str, by: str, fmt: str = "parquet", mode: str
     df.hint("rebalance", by).write.mode(mode).options(**options).partitionBy(by).format(fmt).save(path)
 
 
-def anchor_index(df: DataFrame) -> DataFrame:
-    """Which anchors were written, with their row counts."""
-    return df.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_rows"))
+def anchor_index(written: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Which anchors were written: key, label, kind, unit type and id, folder, rows.
+
+    ``anchors`` as ``anchor_list`` gives them; ``written`` is the table read back.
+    """
+    n = written.groupBy(F.col("anchor").alias("key")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return n.join(anchors, "key").select("key", "label", "kind", "unit_type", "unit_id", F.concat(F.lit("anchor="), "key").alias("file"), "n_rows")
 
 
 def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:

@@ -76,15 +76,24 @@ def test_betweenness_against_brute_force(spark, chain):
     assert got == pytest.approx(want, abs=1e-5)
 
 
-def test_payload_parts_hold_every_row(spark):
+def test_payload_parts_stand_alone_and_hold_every_row(spark):
     t = Tables(spark, SF)
-    strings, plain = ["college", "unit_label", "country"], ["pid"]
-    rows = t.intl.select("wid", "pid", "unit_id", "college", "unit_label", "country")
-    payload = rp.interned_payload(rows, strings, plain, chunk=50)
-    assert payload.select(F.max(F.size("rows"))).first()[0] < 200
-    back = rp.explode_payload(payload, strings, plain)
-    want = rp.anchor_rows(rows).select("anchor", "wid", *plain, *strings)
-    assert q.multiset_equal(back.select(*want.columns), want, ["anchor"]).filter("equal = 0").count() == 0
+    few = t.member.filter("wid < 300")
+    fact = wr.stored(ex.details_base(ex.collab_pairs(few), t.affil, t.person, t.work_all, "HOME"), "fact")
+    payload = wr.stored(rp.self_contained_payload(fact, chunk=60), "payload")
+    lengths = F.aggregate(F.map_values("rows_by_work"), F.lit(0), lambda m, r: m + F.size(r))
+    assert payload.select(F.max(lengths)).first()[0] < 300 and payload.groupBy("anchor").count().agg(F.max("count")).first()[0] > 3
+    # Every work and person of a part is described in it, and nothing else is.
+    used = F.array_distinct(F.flatten(F.transform(F.flatten(F.map_values("rows_by_work")), lambda r: F.array(r["pid"], r["cpid"]))))
+    same = lambda x, y: (F.size(x) == F.size(y)) & (F.size(F.array_except(x, y)) == 0)
+    bad = payload.filter(~same(used, F.map_keys("people")) | ~same(F.map_keys("works"), F.map_keys("rows_by_work")))
+    assert bad.count() == 0
+    back = wr.stored(rp.explode_payload(payload), "back")
+    names = {"name": "PersonName", "rank": "Rank", "c_name": "Collab_PersonName", "title": "Collab_Title", "type": "CollaborationType", "year": "Year", "detail": "Collab_Detail", "wid": "Collab_ID"}
+    columns = {**rp.PAYLOAD_ROW, **names}
+    want = fact.withColumn("anchor", F.explode(F.array_compact(F.array(F.concat(F.lit("U"), "UnitId"), F.concat(F.lit("C"), "College")))))
+    want = want.select("anchor", *[F.col(c_).alias(n_) for n_, c_ in columns.items()])
+    assert q.row_difference(back.select(*want.columns), want, ranges=16).count() == 0
 
 
 def test_nested_export_is_cut_into_parts(spark):
