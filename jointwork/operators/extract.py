@@ -162,6 +162,22 @@ def collab_pairs(member: DataFrame, keep_size: bool = False) -> DataFrame:
     return pairs.select("wid", F.col("pid_l").alias("pid"), F.col("pid_r").alias("cpid"), *size)
 
 
+def pairs_of(member: DataFrame, people: DataFrame, works: DataFrame | None = None) -> DataFrame:
+    """Pairs of ``collab_pairs`` whose focal person is one of ``people`` (internal), on ``works`` if given.
+
+    People and works are chosen before pairs are built, so a report on one
+    unit costs that unit's works and not all of them.
+    """
+    focal = people.select("pid").distinct()
+    mine = member.join(focal, "pid", "left_semi").select("wid").distinct()
+    if works is not None:
+        mine = mine.join(works.select("wid").distinct(), "wid", "left_semi")
+    rows = member.join(mine, "wid", "left_semi").join(focal.withColumn("f", F.lit(True)), "pid", "left")
+    rows = rows.select("wid", "pid", F.coalesce("f", F.lit(False)).alias("f"), "n_people")
+    pairs = pair_up(rows, "wid", "pid", "n_people", ordered=True, focal=F.col("f"))
+    return pairs.select("wid", F.col("pid_l").alias("pid"), F.col("pid_r").alias("cpid"))
+
+
 def sided_members(focal: DataFrame, partners: DataFrame, home: DataFrame, known: DataFrame) -> DataFrame:
     """One row per (source, work, person) with the sides it may stand on: ``f`` focal, ``p`` partner.
 
@@ -191,13 +207,13 @@ def relation_code(focal_unit: Column, partner_unit: Column, partner_ext: Column)
     return F.when(partner_ext, 2).when(focal_unit == partner_unit, 0).otherwise(1)
 
 
-def both_sides_explode(pairs: DataFrame, affil: DataFrame) -> DataFrame:
-    """Every affiliation of the focal person times every one of the partner.
+def both_sides_explode(pairs: DataFrame, affil: DataFrame, focal_affil: DataFrame | None = None) -> DataFrame:
+    """Every affiliation of the focal person (of ``focal_affil``, if given) times every one of the partner.
 
     This is the row-level fact; the count operators never need it.  The two
     joins are on person id and leave the strategy to AQE.
     """
-    focal = affil.filter("NOT is_ext").select(
+    focal = (affil if focal_affil is None else focal_affil).filter("NOT is_ext").select(
         "pid", "unit_type", "unit_id", "unit_label", "college", "discipline", "broad_field"
     )
     partner = affil.select(

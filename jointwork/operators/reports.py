@@ -164,8 +164,7 @@ def string_dictionary(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def extract_anchor_rows(details: DataFrame, unit_id) -> DataFrame:
-    """All rows of one unit; the filter reaches the affiliation scan, or the
-    partition directory when the fact is stored by unit."""
+    """All rows of one unit, of details or of affiliations: filtered there, before pairs are built, a report costs one unit only."""
     return details.filter(F.col("unit_id") == unit_id)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jointwork.model import KINDS
-from jointwork.operators import counts as c, relations as r, scopes as s
+from jointwork.operators import counts as c, extract as ex, relations as r, scopes as s
 from jointwork.plans.registry import register
 
 
@@ -214,8 +214,6 @@ def _(t):
 
 
 def details(t):
-    from jointwork.operators import extract as ex
-
     return ex.both_sides_explode(ex.collab_pairs(t.member), t.affil)
 
 
@@ -223,10 +221,11 @@ def details(t):
 JOIN fx_work w ON d.wid = w.wid WHERE d.college = 'COLLEGE_1' AND d.unit_label = 'UNIT_1' AND w.pub_year IN (1997, 1998)
 AND d.c_discipline IN ('DISC_1', 'DISC_4') AND lower(w.title) LIKE '%title 1%' AND lower(w.detail) LIKE '%urgent%'""")
 def _(t):
-    return s.detail_filters(
-        details(t).join(t.work_all, "wid"), "COLLEGE_1", "UNIT_1", partner_disciplines=["DISC_1", "DISC_4"],
-        years=[1997, 1998], title_contains="Title 1", detail_contains="URGENT",
-    ).select("wid", "pid", "unit_id", "cpid", "c_unit_id", "pub_year", "title")
+    # Filters on the focal side and on works come before the pairs, those on partners after them.
+    own = s.detail_filters(t.affil.filter("NOT is_ext"), "COLLEGE_1", "UNIT_1")
+    works = s.detail_filters(t.work_all, years=[1997, 1998], title_contains="Title 1", detail_contains="URGENT")
+    rows = ex.both_sides_explode(ex.pairs_of(t.member, own, works), t.affil, own).join(works, "wid")
+    return s.detail_filters(rows, partner_disciplines=["DISC_1", "DISC_4"]).select("wid", "pid", "unit_id", "cpid", "c_unit_id", "pub_year", "title")
 
 
 @register("country_filter", """SELECT unit_label, COUNT(DISTINCT wid) AS works FROM fx_intl

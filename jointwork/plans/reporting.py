@@ -124,7 +124,8 @@ def _(t):
 
 @register("extract_anchor_rows", "SELECT wid, pid, cpid, c_unit_id, rel FROM fx_details WHERE unit_id = 3")
 def _(t):
-    return rp.extract_anchor_rows(details(t), 3).select("wid", "pid", "cpid", "c_unit_id", "rel")
+    own = rp.extract_anchor_rows(t.affil.filter("NOT is_ext"), 3)
+    return ex.both_sides_explode(ex.pairs_of(t.member, own), t.affil, own).select("wid", "pid", "cpid", "c_unit_id", "rel")
 
 
 @register("payload_stats", """SELECT a.anchor, a.n_rows, a.n_works, a.max_rows, b.n_people, ROUND(a.n_rows * 1.0 / a.n_works, 3) AS rows_per_work
