@@ -20,7 +20,7 @@ from itertools import chain
 
 from jointwork.llm.remember import held
 
-REMEMBERED = 1_200_000
+REMEMBERED = 600_000
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*#$%&|]*)")
 
 
